@@ -6,10 +6,13 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 UID = "__vf_uid"
 _staged: dict[str, SparkSession] = {}
@@ -82,3 +85,23 @@ def binaries(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null counts as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [x or b"" for x in column.cast(kind).to_pylist()]
+
+
+def append_columns(docs: DataFrame, keep: dict[str, Column], text: Column, columns: str, make: Callable[[], Callable[[pa.Array], list]]) -> DataFrame:
+    """The columns named in ``keep`` and those of the DDL in ``columns``, row by row.
+
+    ``make`` runs once in each task and gives a function from an Arrow array of texts to
+    the new columns, as sequences in the DDL's order."""
+    rows = docs.select(*(c.alias(k) for k, c in keep.items()), text.alias("__vf_text"))
+    new = T._parse_datatype_string(columns)
+    schema = T.StructType(rows.schema.fields[: len(keep)] + new.fields)
+    names, kinds, n = schema.names, to_arrow_schema(new).types, len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = make()
+        for batch in batches:
+            if batch.num_rows:
+                made = [pa.array(x, k) for x, k in zip(of(batch.column(n)), kinds)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), *made], names)
+
+    return rows.mapInArrow(run, schema)

@@ -8,8 +8,9 @@ from round to round, so a text of n bytes takes about log8(n) rounds. Equality i
 by the bytes alone; the digest in the result is a label.
 
 Groups are never gathered: a round counts its (group, digit) keys with partial
-aggregation and joins the counts of keys with several rows back to the rows. Both sides
-of that join are plain shuffles of staged tables, so a hot key is split by AQE.
+aggregation and joins the counts of keys with several rows back to the rows. Counts of a
+measured size up to 32 MB are broadcast, so the texts of decided rows never move; beyond
+that both sides of the join are plain shuffles of staged tables, and AQE splits a hot key.
 
 Defined results: null text counts as empty; empty and blank texts form one group; of
 equal texts the row with the most code points in the original text stays, then the
@@ -27,95 +28,88 @@ from .common import UID, drop_staged, stage, with_uid
 FIRST_WIDTH = 32
 GROWTH = 8
 LAST_WIDTH = 1 << 20
+BROADCAST_BYTES = 32 << 20
+KEY = ["grp", "digit", "ended"]
 
 
 def normalised(text: str):
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", "").cast("binary")
 
 
-def _split(rows: DataFrame, carry: list[str], label: str) -> DataFrame:
-    """One round: rows (carry..., grp, digit, ended) get the size and the winner of their key.
-    A key with one row has no partner in the counts and is decided by itself."""
-    key = ["grp", "digit", "ended"]
-    counts = stage(
-        rows.groupBy(*key)
-        .agg(
-            F.count(F.lit(1)).alias("size"),
-            F.max(F.struct("points", (-F.col("id")).alias("nid"), (-F.col(UID)).alias("nuid"))).alias("best"),
-            F.min(UID).alias("next"),
-        )
-        .where("size > 1")
-        .select(*(F.col(k).alias(f"k_{k}") for k in key), "size", "next", (-F.col("best.nid")).alias("keep_id"), (-F.col("best.nuid")).alias("keep_uid")),
-        f"{label}-keys",
+def _counts(rows: DataFrame, label: str) -> DataFrame:
+    """The keys with several rows: their size, a new group id, and the row that stays."""
+    best = F.max(F.struct("points", (-F.col("id")).alias("nid"), (-F.col(UID)).alias("nuid"))).alias("best")
+    grouped = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("size"), best, F.min(UID).alias("next")).where("size > 1")
+    return stage(
+        grouped.select(*(F.col(k).alias(f"k_{k}") for k in KEY), "size", "next", (-F.col("best.nid")).alias("keep_id"), (-F.col("best.nuid")).alias("keep_uid")),
+        label,
     )
-    joined = rows.join(counts, (rows.grp == counts.k_grp) & (rows.digit == counts.k_digit) & (rows.ended == counts.k_ended), "left")
+
+
+def _with_counts(rows: DataFrame, counts: DataFrame, how: str) -> DataFrame:
+    """Rows with the counts of their key. Counts of a measured size under the limit are
+    broadcast, so that texts stay where they are; larger ones are joined by a shuffle."""
+    n, size = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("k_digit")), F.lit(0))).first()
+    side = F.broadcast(counts) if size + 64 * n <= BROADCAST_BYTES else counts
+    return rows.join(side, (rows.grp == side.k_grp) & (rows.digit == side.k_digit) & (rows.ended == side.k_ended), how)
+
+
+def _decided(rows: DataFrame, counts: DataFrame, label: str) -> DataFrame:
+    """Rows whose group is a singleton, and so has no counts, or whose text has ended."""
     single = F.col("size").isNull()
-    out = joined.select(
+    return stage(
+        _with_counts(rows.select(UID, "id", "sha", *KEY), counts, "left")
+        .where(single | F.col("ended"))
+        .select(
+            UID,
+            "id",
+            F.when(single, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
+            F.when(single, F.col(UID)).otherwise(F.col("keep_uid")).alias("keep_uid"),
+            F.coalesce("size", F.lit(1).cast("long")).alias("group_size"),
+            F.col("sha").alias("text_sha256"),
+        ),
+        label,
+    )
+
+
+def _digits(rows: DataFrame, carry: list, grp, norm: str, width: int) -> DataFrame:
+    return rows.select(
         *carry,
-        F.coalesce("next", F.col(UID)).alias("grp"),
-        F.coalesce("size", F.lit(1).cast("long")).alias("size"),
-        F.when(single, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.when(single, F.col(UID)).otherwise(F.col("keep_uid")).alias("keep_uid"),
-        (single | F.col("ended")).alias("done"),
-        *([F.when(~(single | F.col("ended")), F.col("tail")).alias("tail")] if "tail" in rows.columns else []),
+        grp.alias("grp"),
+        F.substring(norm, 1, width).alias("digit"),
+        (F.octet_length(norm) <= width).alias("ended"),
+        F.substring(norm, width + 1, 1 << 30).alias("tail"),
     )
-    staged = stage(out, label)
-    drop_staged(counts)
-    return staged
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: __vf_uid, id, keep_id, keep_uid, group_size, text_sha256."""
-    base = with_uid(docs).select(UID, F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    carry = [UID, "id", "points", "sha"]
-    norm = base.select(UID, "id", F.char_length(F.coalesce("text", F.lit(""))).alias("points"), normalised("text").alias("norm"))
-    heads = stage(
-        norm.select(
-            UID,
-            "id",
-            "points",
-            F.sha2("norm", 256).alias("sha"),
-            F.lit(0).cast("long").alias("grp"),
-            F.substring("norm", 1, FIRST_WIDTH).alias("digit"),
-            (F.octet_length("norm") <= FIRST_WIDTH).alias("ended"),
-        ),
-        "radix-heads",
+    norm = with_uid(docs).select(
+        UID, F.col(id_col).alias("id"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("points"), normalised(text_col).alias("norm")
     )
-    first = _split(heads, carry, "radix-0")
-    drop_staged(heads)
-    decided, read = [first], FIRST_WIDTH
-    left = first.where("not done").select(*carry, "grp")
-    if left.isEmpty():
-        rows = None
-    else:
-        texts = base.select(F.col(UID).alias("t_uid"), "text")
-        rows = stage(
-            left.join(texts, left[UID] == texts.t_uid).select(*carry, "grp", F.substring(normalised("text"), read + 1, 1 << 30).alias("tail")), "radix-tails"
-        )
-    width, k = FIRST_WIDTH * (GROWTH - 1), 0
-    before = rows
+    carry = [UID, "id", "points", "sha"]
+    width, k = FIRST_WIDTH, 0
+    # the first digits are staged without the texts, which are read again for open groups only
+    texts = _digits(norm, [UID, "id", "points", F.sha2("norm", 256).alias("sha")], F.lit(0).cast("long"), "norm", width)
+    rows = stage(texts.drop("tail"), "radix-heads")
+    found = []
     while rows is not None:
-        k += 1
-        keyed = rows.select(
-            *carry,
-            "grp",
-            F.substring("tail", 1, width).alias("digit"),
-            (F.octet_length("tail") <= width).alias("ended"),
-            F.substring("tail", width + 1, 1 << 30).alias("tail"),
-        )
-        done = _split(keyed, carry, f"radix-{k}")
-        drop_staged(before)
-        before = None
-        decided.append(done)
-        width = min(width * GROWTH, LAST_WIDTH)
-        rest = done.where("not done")
-        rows = None if rest.isEmpty() else rest.select(*carry, "grp", "tail")
-    out = None
-    for part in decided:
-        part = part.where("done").select(
-            UID, "id", "keep_id", "keep_uid", F.col("size").alias("group_size"), F.col("sha").alias("text_sha256")
-        )
-        out = part if out is None else out.unionByName(part)
+        counts = _counts(rows, f"radix-{k}-keys")
+        found.append(_decided(rows, counts, f"radix-{k}"))
+        open_keys = counts.where("not k_ended")
+        before = rows
+        if open_keys.isEmpty():
+            rows = None
+        else:
+            source = texts if k == 0 else rows
+            next_width = min(width * GROWTH, LAST_WIDTH) if k else FIRST_WIDTH * (GROWTH - 1)
+            still = _with_counts(source, open_keys, "inner").select(*carry, "next", "tail")
+            rows = stage(_digits(still, carry, F.col("next"), "tail", next_width), f"radix-{k}-open")
+            width, k = next_width, k + 1
+        drop_staged(before, counts)
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
     return out
 
 

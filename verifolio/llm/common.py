@@ -87,6 +87,13 @@ def binaries(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, which bound what Python holds at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def append_columns(docs: DataFrame, keep: dict[str, Column], text: Column, columns: str, make: Callable[[], Callable[[pa.Array], list]]) -> DataFrame:
     """The columns named in ``keep`` and those of the DDL in ``columns``, row by row.
 
@@ -99,7 +106,7 @@ def append_columns(docs: DataFrame, keep: dict[str, Column], text: Column, colum
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = make()
-        for batch in batches:
+        for batch in sliced(batches):
             if batch.num_rows:
                 made = [pa.array(x, k) for x, k in zip(of(batch.column(n)), kinds)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), *made], names)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,16 @@ def local_session(cpus: int | None = None, partitions: int | None = None) -> Spa
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver imported it."""
+    env = spark.sparkContext.environment
+    root = str(Path(__file__).resolve().parent.parent)
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, *known) if x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; only Spark's reader touches the path."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1 +1 @@
-"""Functions of the document engine."""
+"""Column functions of the document engine."""

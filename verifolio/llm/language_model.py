@@ -25,10 +25,12 @@ repeated ids keep their rows; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -89,36 +91,71 @@ def _discount(histogram: list[tuple[int, int]]) -> float:
 
 @dataclass
 class Automaton:
-    """Arcs by (state << 20 | word): weight and target; failure arcs by state."""
-
-    words: dict[bytes, int]
-    arc: dict[int, int]
-    weight: list[float]
-    target: list[int]
-    fail: list[int]
-    fail_weight: list[float]
+    """Arcs of the root by word number (0: no word), other arcs by (state << 20 | word);
+    failure arcs by state, and their sum down to the root. It travels as arrays, and each
+    Python worker makes its lookup tables once."""
+
+    words: list[bytes]  # from number 1
+    limit: int  # words up to this number have states and arcs outside the root
+    root: np.ndarray
+    root_target: np.ndarray
+    keys: np.ndarray
+    weight: np.ndarray
+    target: np.ndarray
+    fail: np.ndarray
+    fail_weight: np.ndarray
     start: int
     unknown: float
-
-    def traverse(self, text: bytes) -> tuple[float, list[bytes]]:
-        """Log10 weight of the path, without the root weights of the words handed on."""
-        arc, weight, target, fail, fail_weight = self.arc.get, self.weight, self.target, self.fail, self.fail_weight
-        word_of = self.words.get
-        state, total, beyond = self.start, 0.0, []
-        for token in tokens(text):
-            word = word_of(token)
-            if word is None:
-                while state:
-                    total += fail_weight[state]
-                    state = fail[state]
-                beyond.append(token)
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def tables(self) -> tuple:
+        if self.key not in _tables:
+            _tables.clear()
+            down = np.zeros(len(self.fail))
+            at = np.arange(len(self.fail))
+            while at.any():
+                down += self.fail_weight[at]
+                at = self.fail[at]
+            number = {w: i + 1 for i, w in enumerate(self.words)}
+            arc = dict(zip(self.keys.tolist(), range(len(self.keys))))
+            lists = (x.tolist() for x in (self.root, self.root_target, self.weight, self.target, self.fail, self.fail_weight, down))
+            _tables[self.key] = (number, arc, *lists)
+            gc.freeze()
+        return _tables[self.key]
+
+    def numbers(self, text: bytes) -> tuple[list[bytes], list[int]]:
+        """Tokens and their word numbers; 0 for words beyond the root's."""
+        found = tokens(text)
+        get = self.tables()[0].get
+        return found, [get(t, 0) for t in found]
+
+    def traverse(self, numbers: list[int]) -> float:
+        """Log10 weight of the path; words beyond the root's weigh nothing there."""
+        _, arcs, root, root_target, weight, target, fail, fail_weight, down = self.tables()
+        arc, limit = arcs.get, self.limit
+        state, total = self.start, 0.0
+        for word in numbers:
+            if not 0 < word <= limit:
+                # no state but the root has an arc for it
+                total += down[state] + root[word]
+                state = 0
                 continue
-            while (found := arc(state << _BITS | word)) is None:
+            while state:
+                found = arc(state << _BITS | word)
+                if found is not None:
+                    total += weight[found]
+                    state = target[found]
+                    break
                 total += fail_weight[state]
                 state = fail[state]
-            total += weight[found]
-            state = target[found]
-        return total, beyond
+            else:
+                total += root[word]
+                state = root_target[word]
+        return total
+
+
+#: Lookup tables of the automaton that this process used last.
+_tables: dict[str, tuple] = {}
 
 
 @dataclass
@@ -228,10 +265,10 @@ def learn(docs: DataFrame, text_col: str = "text", order: int = ORDER, root_word
         weights.append(np.log10((c - d) / whole))
         if not len(kept):
             break
-    return Model(_build(words, begin, root, lower, weights, math.log10(discount * v / n) if n else 0.0), counts, n, v, discount, base)
+    return Model(_build([w for _, w in listed], limit, begin, root, lower, weights, math.log10(discount * v / n) if n else 0.0), counts, n, v, discount, base)
 
 
-def _build(words: dict[bytes, int], begin: int, root: np.ndarray, lower: list[np.ndarray], weights: list[np.ndarray], unknown: float) -> Automaton:
+def _build(words: list[bytes], limit: int, begin: int, root: np.ndarray, lower: list[np.ndarray], weights: list[np.ndarray], unknown: float) -> Automaton:
     """Numbers the states, sets targets, and weighs the failure arcs."""
     mask = (1 << _BITS) - 1
     # a state for each context that has arcs: single words, then the arcs of each order
@@ -241,10 +278,13 @@ def _build(words: dict[bytes, int], begin: int, root: np.ndarray, lower: list[np
         own = np.unique(known >> _BITS).tolist()
         states.append(dict(zip(own, range(number, number + len(own)))))
         number += len(own)
-    fail, fail_weight = [0] * number, [0.0] * number
-    arc = {w: w - 1 for w in range(1, len(words) + 1)}
-    weight = root[1:].tolist()
-    target = [states[0].get(w, 0) if states else 0 for w in range(1, len(words) + 1)]
+    fail, fail_weight = np.zeros(number, np.int64), np.zeros(number)
+    keys: list[np.ndarray] = [np.zeros(0, np.int64)]
+    targets: list[np.ndarray] = [np.zeros(0, np.int64)]
+    first = states[0] if states else {}
+    root_target = np.array([first.get(w, 0) for w in range(len(words) + 1)], np.int64)
+    root_target[0] = 0
+    root = np.append(0.0, root[1:])
     longest: list[np.ndarray] = []  # per order: the state after each arc
     for k, known in enumerate(lower):
         context, follows = known >> _BITS, known & mask
@@ -262,23 +302,20 @@ def _build(words: dict[bytes, int], begin: int, root: np.ndarray, lower: list[np
             deeper = np.array([states[k + 1].get(i + 1, 0) for i in range(len(known))], np.int64)
             after = np.where(deeper > 0, deeper, after)
         longest.append(after)
-        first = len(weight)
-        arc.update(zip((own << _BITS | follows).tolist(), range(first, first + len(known))))
-        weight.extend(weights[k].tolist())
-        target.extend(after.tolist())
+        keys.append(own << _BITS | follows)
+        targets.append(after)
         taken = np.bincount(own, 10 ** weights[k], number)
         would = np.bincount(own, 10**back, number)
         ids = np.unique(own)
         left = np.log10(np.maximum(1 - taken[ids], 1e-12) / np.maximum(1 - would[ids], 1e-12))
-        for s, x in zip(ids.tolist(), left.tolist()):
-            fail_weight[s] = x
+        fail_weight[ids] = left
         if k:
             # a context is an arc of the order before; its failure is the state after that arc's last words
             for c, s in states[k].items():
                 w = int(lower[k - 1][c - 1] & mask)
                 fail[s] = states[0].get(w, 0) if k == 1 else int(longest[k - 2][_suffix_arc(lower, k - 1, lower[k - 1][c - 1 : c])[0]])
-    start = states[0].get(begin, 0) if states else 0
-    return Automaton(words, arc, weight, target, fail, fail_weight, start, unknown)
+    weight = np.concatenate([np.zeros(0), *weights])
+    return Automaton(words, limit, root, root_target, np.concatenate(keys), weight, np.concatenate(targets), fail, fail_weight, first.get(begin, 0), unknown)
 
 
 def _suffix_arc(lower: list[np.ndarray], k: int, known: np.ndarray) -> np.ndarray:
@@ -294,21 +331,31 @@ _SCORED = "uid long, id long, held_out boolean, n_tokens long, n_known long, bas
 
 
 def _scorer(automaton: Automaton, counts: np.ndarray, n: int, v: int):
+    names = [x.split()[0] for x in _SCORED.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
-        names = [x.split()[0] for x in _SCORED.split(", ")]
-        base = dict(zip(automaton.words, np.log10((counts[1:] + 1) / (n + (v + 1))).tolist()))
-        base_of = base.get
+        """A row for each text, and one for each word of a text beyond the root's."""
+        base = np.log10((counts + 1) / (n + (v + 1)))
+        base[0] = 0.0
         for batch in sliced(batches):
             rows: list[tuple] = []
-            uids, ids, held = (batch.column(i).to_pylist() for i in range(3))
-            for uid, key, out, text in zip(uids, ids, held, binaries(batch.column(3))):
-                score, beyond = automaton.traverse(text)
-                listed = list(map(base_of, tokens(text)))
-                known = len(listed) - len(beyond)
-                rows.append((uid, key, out, len(listed), known, sum(x for x in listed if x is not None), score, None, None))
-                rows.extend((uid, None, None, None, None, None, None, token, k) for token, k in Counter(beyond).items())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
+            rare_uid: list[int] = []
+            rare: list[bytes] = []
+            times: list[int] = []
+            for uid, text in zip(batch.column(0).to_pylist(), binaries(batch.column(3))):
+                found, numbers = automaton.numbers(text)
+                array = np.array(numbers)
+                beyond = Counter([found[i] for i in np.nonzero(array == 0)[0].tolist()])
+                rows.append((len(found), len(found) - beyond.total(), float(base[array].sum()), automaton.traverse(numbers)))
+                rare_uid.extend([uid] * len(beyond))
+                rare.extend(beyond.keys())
+                times.extend(beyond.values())
+            whole = [pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+            own = [*(batch.column(i) for i in range(3)), *whole, pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.int64())]
+            yield pa.RecordBatch.from_arrays(own, names)
+            if rare:
+                none = [pa.nulls(len(rare), k) for k in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array(rare_uid, pa.int64()), *none, pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names)
 
     return run
 

@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -86,13 +85,10 @@ class PieceTransducer:
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
-    def __getstate__(self):
-        return self.__dict__ | {"known": {}, "older": {}, "pairs": {}}
-
     def normalise(self, text: str) -> str:
         if self._rule:
             text = self._rule.sub(lambda m: self.rules[m[0]], text)
@@ -188,20 +184,25 @@ class PieceTransducer:
             at = back[at]
         return path[::-1]
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
+        """The ids of a word, four bytes each."""
         found = self.older.get(word)
         if found is None:
-            found = self._emit(self._cheapest_path(word) if self.unigram else self._only_path(word))
+            ids = self._emit(self._cheapest_path(word) if self.unigram else self._only_path(word))
+            found = np.array(ids, np.int32).tobytes()
         self.known[word] = found
         return found
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode_array(self, text: str | None) -> np.ndarray:
         if not text:
-            return []
+            return np.zeros(0, np.int32)
         if len(self.known) > _WORDS_HELD:
             self.older, self.known = self.known, {}
-        known = self.known
-        return list(chain.from_iterable(known[w] if w in known else self._word(w) for w in self.words.findall(self.normalise(text))))
+        known, make = self.known.get, self._word
+        return np.frombuffer(b"".join([known(w) or make(w) for w in self.words.findall(self.normalise(text))]), np.int32)
+
+    def encode(self, text: str | None) -> list[int]:
+        return self.encode_array(text).tolist()
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
@@ -213,27 +214,50 @@ def _loaded(path: str | None) -> bytes:
         return file.read()
 
 
+#: The transducer that this process compiled last, with its caches, by model and rules.
+_compiled: dict[tuple, PieceTransducer] = {}
+
+
+def _transducer(model: bytes, rules: tuple | None) -> PieceTransducer:
+    key = (hashlib.sha256(model).digest(), rules)
+    if key not in _compiled:
+        _compiled.clear()
+        _compiled[key] = PieceTransducer(model, None if rules is None else dict(rules))
+    return _compiled[key]
+
+
 def encode_documents(docs: DataFrame, keep: dict[str, Column], text_col: str = "text", path: str | None = None, rules: dict[str, str] | None = None) -> DataFrame:
     """The columns named in ``keep``, then ids, n_pieces, decoded_sha256, and whether
-    decoding gives the text back. The model is read once, on the driver."""
-    model = PieceTransducer(_loaded(path), rules)
+    decoding gives the text back. The driver reads the model, each worker compiles it once."""
+    raw, fixed = _loaded(path), None if rules is None else tuple(sorted(rules.items()))
+    PieceTransducer(raw, rules)  # what it can't support fails here
+
+    def make():
+        model = _transducer(raw, fixed)
 
-    def of(texts: pa.Array) -> list:
-        values = [x or "" for x in texts.to_pylist()]
-        ids = [model.encode(x) for x in values]
-        decoded = list(map(model.decode, ids))
-        sizes = list(map(len, ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(sizes))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat))
-        return [lists, sizes, [hashlib.sha256(x.encode()).hexdigest() for x in decoded], [a == b for a, b in zip(decoded, values)]]
+        def of(texts: pa.Array) -> list:
+            values = [x or "" for x in texts.to_pylist()]
+            ids = [model.encode_array(x) for x in values]
+            decoded = [model.decode(x.tolist()) for x in ids]
+            sizes = list(map(len, ids))
+            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+            return [lists, sizes, [hashlib.sha256(x.encode()).hexdigest() for x in decoded], [a == b for a, b in zip(decoded, values)]]
 
-    return append_columns(docs, keep, F.col(text_col), "ids array<int>, n_pieces long, decoded_sha256 string, exact boolean", lambda: of)
+        return of
 
+    return append_columns(docs, keep, F.col(text_col), "ids array<int>, n_pieces long, decoded_sha256 string, exact boolean", make)
 
-def decode_documents(rows: DataFrame, keep: dict[str, Column], ids_col: str = "ids", path: str | None = None) -> DataFrame:
+
+def decode_documents(rows: DataFrame, keep: dict[str, Column], ids_col: str = "ids", path: str | None = None, rules: dict[str, str] | None = None) -> DataFrame:
     """The columns named in ``keep``, then the text that each list of ids decodes to."""
-    model = PieceTransducer(_loaded(path))
-    return append_columns(rows, keep, F.col(ids_col), "text string", lambda: lambda ids: [[model.decode(x or []) for x in ids.to_pylist()]])
+    raw, fixed = _loaded(path), None if rules is None else tuple(sorted(rules.items()))
+
+    def make():
+        model = _transducer(raw, fixed)
+        return lambda ids: [[model.decode(x or []) for x in ids.to_pylist()]]
+
+    return append_columns(rows, keep, F.col(ids_col), "text string", make)
 
 
 def sentencepiece(docs: DataFrame) -> DataFrame:

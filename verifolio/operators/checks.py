@@ -86,7 +86,7 @@ def source_words(source: Column) -> Column:
 
 def missing_words(source: Column, produced: Column) -> Column:
     """Distinct source words that the produced text does not contain, in code point order."""
-    return T.let(T.squash(produced), lambda p: F.array_sort(F.filter(source_words(source), lambda w: ~F.contains(p, w))))
+    return T.let(T.squash(F.coalesce(produced, F.lit(""))), lambda p: F.array_sort(F.filter(source_words(source), lambda w: ~F.contains(p, w))))
 
 
 def coverage_share(n_words: Column, n_missing: Column, source: Column) -> Column:

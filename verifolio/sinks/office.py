@@ -191,10 +191,12 @@ def sheet_files(cells: DataFrame, widths: DataFrame) -> DataFrame:
     """(path, content): an Excel file per document."""
 
     def build(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        made = sheet_bytes(left.to_dict("records"), dict(zip(right["col"].astype(int), right["width"].astype(int))))
+        made = sheet_bytes(left.to_dict("records"), dict(zip(right["w_col"].astype(int), right["width"].astype(int))))
         return pd.DataFrame({"path": [f"{key[0]}.xlsx"], "content": [made]})
 
-    return cells.groupBy("doc_id").cogroup(widths.groupBy("doc_id")).applyInPandas(build, "path string, content binary")
+    # a name of its own: cells and widths come from the same plan
+    wide = widths.select(F.col("doc_id").alias("w_doc"), F.col("col").alias("w_col"), "width")
+    return cells.groupBy("doc_id").cogroup(wide.groupBy("w_doc")).applyInPandas(build, "path string, content binary")
 
 
 def save_files(made: DataFrame, folder: str) -> None:

@@ -20,6 +20,7 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import _parse_datatype_string
 
 PDF_PAGES = (
     "page_no int, width_pt double, height_pt double, source_text string, "
@@ -64,6 +65,7 @@ def provided(files: DataFrame, made_by: Provider, keep: tuple[str, ...] = ("path
     """The kept columns, the provider's, and error, for every row that it makes of content."""
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in files.select(*keep).schema.fields), made_by.columns, "error string"])
     names = files.select(*keep).columns
+    columns = [*names, *(f.name for f in _parse_datatype_string(made_by.columns).fields), "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -74,19 +76,12 @@ def provided(files: DataFrame, made_by: Provider, keep: tuple[str, ...] = ("path
                 except Exception as error:  # any engine, any fault: the row says which
                     rows = [{"error": f"{type(error).__name__}: {error}"}]
                 if rows:
-                    columns = [*names, *(f.name for f in _fields(made_by.columns)), "error"]
                     frame = pd.DataFrame([{**dict.fromkeys(columns), **r, **values} for r in rows], columns=columns)
                     yield frame.astype(object).where(frame.notna(), None)
 
     return files.select(*keep, "content").mapInPandas(run, schema)
 
 
-def _fields(ddl: str):
-    from pyspark.sql.types import _parse_datatype_string
-
-    return _parse_datatype_string(ddl).fields
-
-
 class FakePdf:
     """Reads a JSON list of pages with the fields of ``PDF_PAGES``."""
 

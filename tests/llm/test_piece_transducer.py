@@ -43,11 +43,12 @@ def test_corner_cases(text):
 
 
 def test_unigram_paths_cost_the_same():
+    """The library's lattice search; its fast encoder is not exact for these scores."""
     raw = unigram_model()
     model, library = PieceTransducer(raw), sentencepiece.SentencePieceProcessor(model_proto=raw)
     cost = lambda ids: sum(library.get_score(i) for i in ids)
     for text in ("hello world", "internationalisation", "the quick brown fox", "Donaudampfschiff", "x"):
-        assert cost(model.encode(text)) == cost(library.encode(text))
+        assert cost(model.encode(text)) == cost(library.nbest_encode_as_ids(text, 2)[0])
         assert model.decode(model.encode(text)) == text
 
 

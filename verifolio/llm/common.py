@@ -76,6 +76,17 @@ def with_uid(df: DataFrame) -> DataFrame:
     return df.withColumn(UID, F.monotonically_increasing_id())
 
 
+#: Decisions on rows that are few enough are broadcast, so that whole rows stay in place.
+BROADCAST_ROWS = 2_000_000
+
+
+def decided(rows: DataFrame, decisions: DataFrame, how: str) -> DataFrame:
+    """Rows (with __vf_uid) joined with decisions (with __vf_k and what else is needed):
+    the few by a broadcast, after they were counted, more by a shuffle."""
+    few = decisions.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(decisions) if few else decisions, F.col(UID) == F.col("__vf_k"), how)
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of an id written as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
@@ -94,17 +105,34 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
             yield batch.slice(i, rows)
 
 
-def append_columns(docs: DataFrame, keep: dict[str, Column], text: Column, columns: str, make: Callable[[], Callable[[pa.Array], list]]) -> DataFrame:
+_cache: dict = {}
+_cache_owner: str | None = None
+
+
+def worker_cache(owner: str | None) -> dict:
+    """What an operator keeps in a Python worker from task to task. A worker keeps one
+    operator's things at a time, so that memory is bounded by the largest of them."""
+    global _cache, _cache_owner
+    if owner != _cache_owner:
+        _cache, _cache_owner = {}, owner
+    return _cache
+
+
+def append_columns(
+    docs: DataFrame, keep: dict[str, Column], text: Column, columns: str, make: Callable[[], Callable[[pa.Array], list]], owner: str | None = None
+) -> DataFrame:
     """The columns named in ``keep`` and those of the DDL in ``columns``, row by row.
 
     ``make`` runs once in each task and gives a function from an Arrow array of texts to
-    the new columns, as sequences in the DDL's order."""
+    the new columns, as sequences in the DDL's order. ``owner`` names the worker cache that
+    it uses."""
     rows = docs.select(*(c.alias(k) for k, c in keep.items()), text.alias("__vf_text"))
     new = T._parse_datatype_string(columns)
     schema = T.StructType(rows.schema.fields[: len(keep)] + new.fields)
     names, kinds, n = schema.names, to_arrow_schema(new).types, len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache(owner)
         of = make()
         for batch in sliced(batches):
             if batch.num_rows:

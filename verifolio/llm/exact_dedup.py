@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UID, drop_staged, stage, with_uid
+from .common import UID, decided, drop_staged, stage, with_uid
 
 FIRST_WIDTH = 32
 GROWTH = 8
@@ -54,7 +54,7 @@ def _with_counts(rows: DataFrame, counts: DataFrame, how: str) -> DataFrame:
     return rows.join(side, (rows.grp == side.k_grp) & (rows.digit == side.k_digit) & (rows.ended == side.k_ended), how)
 
 
-def _decided(rows: DataFrame, counts: DataFrame, label: str) -> DataFrame:
+def _closed(rows: DataFrame, counts: DataFrame, label: str) -> DataFrame:
     """Rows whose group is a singleton, and so has no counts, or whose text has ended."""
     single = F.col("size").isNull()
     return stage(
@@ -95,7 +95,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = []
     while rows is not None:
         counts = _counts(rows, f"radix-{k}-keys")
-        found.append(_decided(rows, counts, f"radix-{k}"))
+        found.append(_closed(rows, counts, f"radix-{k}"))
         open_keys = counts.where("not k_ended")
         before = rows
         if open_keys.isEmpty():
@@ -127,5 +127,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that stay."""
     rows = with_uid(docs)
-    stays = exact_groups(rows.drop(UID), id_col, text_col).where(F.col(UID) == F.col("keep_uid")).select(UID)
-    return rows.join(stays, UID, "left_semi").select(*(rows[c] for c in docs.columns))
+    groups = exact_groups(rows.drop(UID), id_col, text_col)
+    gone = stage(groups.where(F.col(UID) != F.col("keep_uid")).select(F.col(UID).alias("__vf_k")), "exact-gone")
+    return decided(rows, gone, "left_anti").select(*(rows[c] for c in docs.columns))

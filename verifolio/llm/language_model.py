@@ -34,10 +34,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UID, binaries, crc_mod, drop_staged, sliced, stage, with_uid
+from .common import UID, binaries, crc_mod, drop_staged, sliced, stage, with_uid, worker_cache
 
 ORDER = 3
 #: Words at the root, words that n-grams are made of, and arcs of each higher order.
@@ -71,14 +71,25 @@ def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _level(count: Column) -> Column:
+    """Counts up to 4,096 as they are, larger ones in 64 steps an octave, so that a
+    histogram of them has a few thousand rows however large counts grow."""
+    step = F.floor(F.log2(count.cast("double")) * 64)
+    return F.when(count < 4096, count).otherwise(F.floor(F.pow(F.lit(2.0), step / 64))).cast("long")
+
+
+def _histogram(counts: DataFrame, column: str) -> list[tuple[int, int]]:
+    return [(r.level, r["count"]) for r in counts.groupBy(_level(F.col(column)).alias("level")).count().collect()]
+
+
 def _cut(histogram: list[tuple[int, int]], most: int) -> int:
-    """The smallest count such that at most ``most`` entries have it or more."""
+    """The smallest level such that at most ``most`` entries have it or more."""
     total, cut = 0, max((c for c, _ in histogram), default=0) + 1
-    for count, n in sorted(histogram, reverse=True):
+    for level, n in sorted(histogram, reverse=True):
         total += n
         if total > most:
             break
-        cut = count
+        cut = level
     return cut
 
 
@@ -109,8 +120,9 @@ class Automaton:
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def tables(self) -> tuple:
-        if self.key not in _tables:
-            _tables.clear()
+        tables = worker_cache(__name__)
+        if self.key not in tables:
+            tables.clear()
             down = np.zeros(len(self.fail))
             at = np.arange(len(self.fail))
             while at.any():
@@ -119,9 +131,9 @@ class Automaton:
             number = {w: i + 1 for i, w in enumerate(self.words)}
             arc = dict(zip(self.keys.tolist(), range(len(self.keys))))
             lists = (x.tolist() for x in (self.root, self.root_target, self.weight, self.target, self.fail, self.fail_weight, down))
-            _tables[self.key] = (number, arc, *lists)
+            tables[self.key] = (number, arc, *lists)
             gc.freeze()
-        return _tables[self.key]
+        return tables[self.key]
 
     def numbers(self, text: bytes) -> tuple[list[bytes], list[int]]:
         """Tokens and their word numbers; 0 for words beyond the root's."""
@@ -154,10 +166,6 @@ class Automaton:
         return total
 
 
-#: Lookup tables of the automaton that this process used last.
-_tables: dict[str, tuple] = {}
-
-
 @dataclass
 class Model:
     """What learning gives: the automaton, totals, and the staged table of all counts."""
@@ -233,10 +241,10 @@ def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
 def learn(docs: DataFrame, text_col: str = "text", order: int = ORDER, root_words: int = ROOT_WORDS, gram_words: int = GRAM_WORDS, max_arcs: int = MAX_ARCS) -> Model:
     texts = docs.select(F.col(text_col))
     counts = stage(texts.mapInArrow(_unigrams, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c")), "lm-counts")
-    histogram = [(r.c, r["count"]) for r in counts.groupBy("c").count().collect()]
-    n, v = sum(c * k for c, k in histogram), sum(k for _, k in histogram)
+    histogram = _histogram(counts, "c")
+    n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
     discount = _discount(histogram)
-    top = counts.where((F.col("c") >= _cut(histogram, root_words)) | (F.octet_length("token") == 0)).toArrow()
+    top = counts.where((_level(F.col("c")) >= _cut(histogram, root_words)) | (F.octet_length("token") == 0)).toArrow()
     listed = sorted(zip(top.column(1).to_pylist(), top.column(0).to_pylist()), key=lambda x: (-x[0], x[1]))
     words = {w: i + 1 for i, (_, w) in enumerate(listed)}
     base = np.array([0] + [c for c, _ in listed], np.int64)
@@ -249,8 +257,8 @@ def learn(docs: DataFrame, text_col: str = "text", order: int = ORDER, root_word
     arc_counts: list[np.ndarray] = []
     for k in range(2, order + 1):
         grams = stage(texts.mapInArrow(_gram_counter(words, limit, begin, lower), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), f"lm-{k}-grams")
-        shape = [(r.n, r["count"]) for r in grams.groupBy("n").count().collect()]
-        kept, c = _columns(grams.where(F.col("n") >= max(2, _cut(shape, max_arcs))), "gram", "n")
+        shape = _histogram(grams, "n")
+        kept, c = _columns(grams.where(_level(F.col("n")) >= max(2, _cut(shape, max_arcs))), "gram", "n")
         drop_staged(grams)
         at = np.argsort(kept)
         kept, c = kept[at], c[at]

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UID, binaries, drop_staged, sliced, stage, with_uid
+from .common import UID, binaries, decided, drop_staged, sliced, stage, with_uid
 
 MAX_FIT_ROWS = 6_000
 MAX_SOURCES = 256
@@ -208,9 +208,11 @@ def fit_rates(
 def mixed(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs, with all their columns, each as many times as the mix asks."""
     rows = with_uid(docs)
-    counts = fit_rates(rows.drop(UID), labels, **options).where("copies > 0").select(F.col(UID).alias("__vf_k"), "copies")
-    out = rows.join(counts, F.col(UID) == F.col("__vf_k")).withColumn("__vf_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return out.select(*(rows[c] for c in docs.columns))
+    rated = fit_rates(rows.drop(UID), labels, **options)
+    other = stage(rated.where("copies <> 1").select(F.col(UID).alias("__vf_k"), F.col("copies").alias("__vf_copies")), "mix-copies")
+    copies = F.coalesce("__vf_copies", F.lit(1).cast("long"))
+    once = F.array_repeat(F.lit(1), copies.cast("int"))
+    return decided(rows, other, "left").withColumn("__vf_copy", F.explode(once)).select(*(rows[c] for c in docs.columns))
 
 
 def mixing(docs: DataFrame, labels: DataFrame) -> DataFrame:

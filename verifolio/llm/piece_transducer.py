@@ -35,11 +35,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns
+from .common import append_columns, worker_cache
 
 BLANK = "▁"
 _WORDS_HELD = 200_000
-_PAIRS_HELD = 500_000
+_PAIRS_HELD = 300_000
 #: Beyond the worst score of a model, as the library weighs unknown characters.
 _UNKNOWN = 10.0
 
@@ -87,7 +87,7 @@ class PieceTransducer:
     def _reset(self) -> None:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def normalise(self, text: str) -> str:
         if self._rule:
@@ -134,9 +134,16 @@ class PieceTransducer:
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
         return parts
 
+    def _number(self, part: str) -> int:
+        """A piece's id, or a number behind all ids for another character; 0 for none."""
+        if not part:
+            return 0
+        found = self.ids.get(part)
+        return len(self.surface) + ord(part) if found is None else found + 1
+
     def _allowed(self, left: str, right: str) -> bool:
         """Whether the pair weighs 0; an empty left stands for the start."""
-        key = (left, right)
+        key = self._number(left) << 22 | self._number(right)
         found = self.pairs.get(key)
         if found is None:
             if len(self.pairs) > _PAIRS_HELD:
@@ -214,16 +221,14 @@ def _loaded(path: str | None) -> bytes:
         return file.read()
 
 
-#: The transducer that this process compiled last, with its caches, by model and rules.
-_compiled: dict[tuple, PieceTransducer] = {}
-
-
 def _transducer(model: bytes, rules: tuple | None) -> PieceTransducer:
+    """Compiled once a worker, with its caches."""
+    cache = worker_cache(__name__)
     key = (hashlib.sha256(model).digest(), rules)
-    if key not in _compiled:
-        _compiled.clear()
-        _compiled[key] = PieceTransducer(model, None if rules is None else dict(rules))
-    return _compiled[key]
+    if key not in cache:
+        cache.clear()
+        cache[key] = PieceTransducer(model, None if rules is None else dict(rules))
+    return cache[key]
 
 
 def encode_documents(docs: DataFrame, keep: dict[str, Column], text_col: str = "text", path: str | None = None, rules: dict[str, str] | None = None) -> DataFrame:
@@ -246,7 +251,7 @@ def encode_documents(docs: DataFrame, keep: dict[str, Column], text_col: str = "
 
         return of
 
-    return append_columns(docs, keep, F.col(text_col), "ids array<int>, n_pieces long, decoded_sha256 string, exact boolean", make)
+    return append_columns(docs, keep, F.col(text_col), "ids array<int>, n_pieces long, decoded_sha256 string, exact boolean", make, __name__)
 
 
 def decode_documents(rows: DataFrame, keep: dict[str, Column], ids_col: str = "ids", path: str | None = None, rules: dict[str, str] | None = None) -> DataFrame:
@@ -257,7 +262,7 @@ def decode_documents(rows: DataFrame, keep: dict[str, Column], ids_col: str = "i
         model = _transducer(raw, fixed)
         return lambda ids: [[model.decode(x or []) for x in ids.to_pylist()]]
 
-    return append_columns(rows, keep, F.col(ids_col), "text string", make)
+    return append_columns(rows, keep, F.col(ids_col), "text string", make, __name__)
 
 
 def sentencepiece(docs: DataFrame) -> DataFrame:

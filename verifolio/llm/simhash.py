@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UID, binaries, drop_staged, stage, with_uid
+from .common import UID, binaries, decided, drop_staged, stage, with_uid
 
 RADIUS = 3
 BANDS = 4
@@ -70,7 +70,7 @@ def _forest(left: np.ndarray, right: np.ndarray | None, radius: int, step: int =
     n = len(own)
     found_i, found_j = [], []
     for a in range(0, n, step):
-        x, low, high = own[a : a + step], counts[a], counts[min(a + step, n) - 1]
+        x, high = own[a : a + step], counts[min(a + step, n) - 1]
         for b in range(a, n, step):
             if counts[b] - high > radius:
                 break
@@ -79,7 +79,6 @@ def _forest(left: np.ndarray, right: np.ndarray | None, radius: int, step: int =
             keep = i < j
             found_i.append(i[keep])
             found_j.append(j[keep])
-        del low
     i, j = np.concatenate(found_i), np.concatenate(found_j)
     if not len(i):
         return own[:0], own[:0]
@@ -149,7 +148,6 @@ def _tile_pairs(blocks: DataFrame, tile: int, radius: int) -> DataFrame:
     )
     big = cells.join(totals.where(F.col("total") > tile).select("block"), "block", "left_semi").withColumn("subs", F.ceil(F.col("n") / tile).cast("int"))
     tiles = stage(big.select("block", "ones", "subs", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub")), "simhash-tiles")
-    drop_staged()
     if tiles.isEmpty():
         return small
     a, b = tiles.alias("a"), tiles.alias("b")
@@ -238,5 +236,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that stay: one of each component."""
     rows = with_uid(docs)
-    stays = simhash_groups(rows.drop(UID), id_col, text_col).where(F.col(UID) == F.col("keep_uid")).select(UID)
-    return rows.join(stays, UID, "left_semi").select(*(rows[c] for c in docs.columns))
+    groups = simhash_groups(rows.drop(UID), id_col, text_col)
+    gone = stage(groups.where(F.col(UID) != F.col("keep_uid")).select(F.col(UID).alias("__vf_k")), "simhash-gone")
+    return decided(rows, gone, "left_anti").select(*(rows[c] for c in docs.columns))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, crc_mod, drop_staged, stage
+from .common import UID, append_columns, crc_mod, decided, drop_staged, stage, with_uid
 
 #: Labelled rows used for fitting: those with the smallest hash of their id.
 MAX_FIT_ROWS = 20_000
@@ -342,6 +342,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose score is below the threshold.
 
     A deployed filter learns from every label it has; rows are judged by their text only."""
-    names = {f"__vf_{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)}
-    scored = score_documents(docs, fit(docs, labels), names)
-    return scored.where("predicted = 0").select(*(F.col(k).alias(c) for k, c in zip(names, docs.columns)))
+    rows = with_uid(docs)
+    scored = score_documents(rows, fit(docs, labels), {"__vf_k": F.col(UID)})
+    gone = stage(scored.where("predicted = 1").select("__vf_k"), "toxic-gone")
+    return decided(rows, gone, "left_anti").select(*(rows[c] for c in docs.columns))

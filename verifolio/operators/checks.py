@@ -105,10 +105,12 @@ def missing_lines(pages: DataFrame, source: str, produced: str, keys: list[str]
     normalise alike the first is kept, as it stands there; lines of under eight characters,
     and pages without words to look for, have none."""
     keys = keys or KEY
-    rows = pages.where(F.size(source_words(F.col(source))) > 0).select(*keys, T.squash(F.col(produced)).alias("squashed"), F.posexplode(split(F.col(source))).alias("ord", "raw"))
-    keyed = rows.withColumn("key", T.normalize(F.col("raw"))).where(F.length("key") >= LEAST_LINE)
-    gone = keyed.where(~F.contains("squashed", F.replace("key", F.lit(" "), F.lit(""))))
-    first = gone.groupBy(*keys, "key").agg(F.min(F.struct("ord", "raw")).alias("f"))
+    line = lambda raw, i: F.struct(i.alias("ord"), raw.alias("raw"), T.normalize(raw).alias("key"))
+    absent = lambda q: lambda x: (F.length(x["key"]) >= LEAST_LINE) & ~F.contains(q, F.replace(x["key"], F.lit(" "), F.lit("")))
+    # looked up in the row of the text, so that only missing lines become rows
+    gone = T.let(T.squash(F.coalesce(F.col(produced), F.lit(""))), lambda q: F.filter(F.transform(split(F.col(source)), line), absent(q)))
+    rows = pages.where(F.size(source_words(F.col(source))) > 0).select(*keys, F.explode(gone).alias("g"))
+    first = rows.groupBy(*keys, F.col("g.key").alias("key")).agg(F.min(F.struct("g.ord", "g.raw")).alias("f"))
     return first.select(*keys, F.col("f.ord").alias("ord"), T.strip(F.col("f.raw")).alias("line"))
 
 
@@ -128,48 +130,69 @@ def coverage_findings(pages: DataFrame, source: str, produced: str, threshold: f
     ).select(*KEY, F.lit(None).cast("int").alias("block_ord"), "check", "severity", "message")
 
 
-def _word_share(text: Column, source: Column) -> Column:
+def word_share(text: Column, source: Column) -> Column:
     """Share of a text's longer words, duplicates included, that the source contains."""
     words = T.words(T.normalize(text), T.SHORT)
     return T.let(words, lambda w: F.when(F.size(w) > 0, F.size(F.filter(w, lambda x: F.contains(source, x))) / F.size(w)).otherwise(0.0))
 
 
-def text_grounded(text: Column, source: str = "norm", squashed: str = "squashed") -> Column:
+def text_grounded(text: Column, source: Column, squashed: Column) -> Column:
     """Whether a text is in the source, or nine in ten of its longer words are."""
-    return T.contained(text, F.col(squashed)) | (_word_share(text, F.col(source)) >= GROUNDED_WORDS)
+    return T.contained(text, squashed) | (word_share(text, source) >= GROUNDED_WORDS)
 
 
-def with_source(df: DataFrame, column: str) -> DataFrame:
-    """Adds norm and squashed of a source text."""
-    return df.withColumn("norm", T.normalize(F.col(column))).withColumn("squashed", F.replace("norm", F.lit(" "), F.lit("")))
+def judged_blocks(blocks: DataFrame, pages: DataFrame, source: str, judge) -> DataFrame:
+    """``judge(block, normalised source, squashed source)``, a struct, for every block.
+
+    The blocks of a page meet its source in one row, where it is normalised once: joined
+    to each block it would be copied as often as the page has blocks. Pages without source
+    text drop out."""
+    item = F.struct("block_ord", "kind", "text", "header", "rows")
+    gathered = blocks.groupBy(*KEY).agg(F.collect_list(item).alias("bs"))
+    rows = pages.select(*KEY, F.col(source).alias("s")).join(gathered, KEY)
+    judged = T.let(
+        T.normalize(F.col("s")),
+        lambda n: F.when(n != "", T.let(F.replace(n, F.lit(" "), F.lit("")), lambda q: F.transform("bs", lambda b: judge(b, n, q)))),
+    )
+    return rows.select(*KEY, F.explode(judged).alias("j")).select(*KEY, "j.*")
 
 
-def block_source(blocks: DataFrame, pages: DataFrame, source: str) -> DataFrame:
-    """Blocks with their page's normalised source; pages without text drop out."""
-    src = with_source(pages.select(*KEY, F.col(source).alias("__s")), "__s").drop("__s").where("norm <> ''")
-    return blocks.join(src, KEY)
+def _filled_cells(b: Column) -> Column:
+    return F.filter(_cells(b), lambda c: ~T.blank(c))
 
 
 def grounding(blocks: DataFrame, pages: DataFrame, source: str) -> DataFrame:
     """Per block: found, total and a message where something is missing. Pages without
     source text give no rows: nothing can be verified there."""
-    b = block_source(blocks, pages, source)
-    empty = F.array().cast("array<string>")
-    cells = F.filter(F.concat(F.coalesce("header", empty), F.coalesce(F.flatten("rows"), empty)), lambda c: ~T.blank(c))
-    table = F.col("kind") == "table"
-    gone = F.filter(cells, lambda c: ~T.contained(c, F.col("squashed")))
-    b = b.where(table | ~T.blank(F.col("text"))).withColumn("n_cells", F.when(table, F.size(cells))).withColumn("gone", F.when(table, gone))
-    b = b.withColumn("grounded", F.when(~table, text_grounded(F.col("text")))).withColumn("share", F.when(~table, _word_share(F.col("text"), F.col("norm"))))
-    label = block_label(F.col("block_ord"), F.col("kind"))
-    lost = F.concat(label, F.lit(": "), F.size("gone").cast("string"), F.lit(" cell(s) not in the source: "), T.preview(F.col("gone"), 6, ", "))
-    astray = F.concat(label, F.lit(": text not in the source ("), T.percent(F.col("share")), F.lit(" of its words are)"))
-    return b.select(
-        *KEY,
-        "block_ord",
-        F.when(table, F.col("n_cells") - F.size("gone")).otherwise(F.col("grounded").cast("int")).cast("long").alias("found"),
-        F.when(table, F.col("n_cells")).otherwise(1).cast("long").alias("total"),
-        F.when(table & (F.size("gone") > 0), lost).when(~table & ~F.col("grounded"), astray).alias("message"),
-    )
+
+    def judge(b: Column, n: Column, q: Column) -> Column:
+        label = block_label(b["block_ord"], b["kind"])
+
+        def table(cells: Column) -> Column:
+            return T.let(
+                F.filter(cells, lambda c: ~T.contained(c, q)),
+                lambda gone: F.struct(
+                    b["block_ord"].alias("block_ord"),
+                    (F.size(cells) - F.size(gone)).cast("long").alias("found"),
+                    F.size(cells).cast("long").alias("total"),
+                    F.when(F.size(gone) > 0, F.concat(label, F.lit(": "), F.size(gone).cast("string"), F.lit(" cell(s) not in the source: "), T.preview(gone, 6, ", "))).alias("message"),
+                ),
+            )
+
+        def prose(share: Column) -> Column:
+            held = share >= GROUNDED_WORDS
+            return F.struct(
+                b["block_ord"].alias("block_ord"),
+                held.cast("long").alias("found"),
+                F.lit(1).cast("long").alias("total"),
+                F.when(~held, F.concat(label, F.lit(": text not in the source ("), T.percent(share), F.lit(" of its words are)"))).alias("message"),
+            )
+
+        # a text that is held whole has all of its words there, whatever their share
+        share = F.when(T.contained(b["text"], q), 1.0).otherwise(word_share(b["text"], n))
+        return F.when(_is_table(b), T.let(_filled_cells(b), table)).when(~T.blank(b["text"]), T.let(share, prose))
+
+    return judged_blocks(blocks, pages, source, judge).where("total is not null")
 
 
 def grounding_share(grounded: DataFrame) -> DataFrame:
@@ -179,8 +202,12 @@ def grounding_share(grounded: DataFrame) -> DataFrame:
 
 def ungrounded_text(blocks: DataFrame, pages: DataFrame, source: str) -> DataFrame:
     """Keys of text blocks that the source does not hold."""
-    b = block_source(blocks, pages, source).where((F.col("kind") != "table") & ~T.blank(F.col("text")))
-    return b.where(~text_grounded(F.col("text"))).select(*KEY, "block_ord")
+
+    def judge(b: Column, n: Column, q: Column) -> Column:
+        gone = ~_is_table(b) & ~T.blank(b["text"]) & ~text_grounded(b["text"], n, q)
+        return F.struct(b["block_ord"].alias("block_ord"), gone.alias("gone"))
+
+    return judged_blocks(blocks, pages, source, judge).where("gone").select(*KEY, "block_ord")
 
 
 def cell_grounded(cell: Column, words: Column, squashed: Column) -> Column:
@@ -193,12 +220,16 @@ def cell_grounded(cell: Column, words: Column, squashed: Column) -> Column:
 
 def ungrounded_cells(blocks: DataFrame, pages: DataFrame, source: str) -> DataFrame:
     """Tables with the number of their filled cells and of those the source lacks."""
-    b = block_source(blocks, pages, source).where(F.col("kind") == "table")
-    b = b.withColumn("source_words", F.array_distinct(T.words(F.col("norm"))))
-    empty = F.array().cast("array<string>")
-    cells = F.filter(F.concat(F.coalesce("header", empty), F.coalesce(F.flatten("rows"), empty)), lambda c: ~T.blank(c))
-    gone = F.filter(cells, lambda c: ~cell_grounded(c, F.col("source_words"), F.col("squashed")))
-    return b.select(*KEY, "block_ord", F.size(cells).alias("cells"), F.size(gone).alias("gone")).where("cells > 0")
+
+    def judge(b: Column, n: Column, q: Column) -> Column:
+        gone = lambda cells, words: F.size(F.filter(cells, lambda c: ~cell_grounded(c, words, q)))
+        found = T.let(
+            F.array_distinct(T.words(n)),
+            lambda words: T.let(_filled_cells(b), lambda cells: F.struct(b["block_ord"].alias("block_ord"), F.size(cells).alias("cells"), gone(cells, words).alias("gone"))),
+        )
+        return F.when(_is_table(b), found)
+
+    return judged_blocks(blocks, pages, source, judge).where("cells > 0")
 
 
 def ungrounded_tables(blocks: DataFrame, pages: DataFrame, source: str) -> DataFrame:

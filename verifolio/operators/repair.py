@@ -86,10 +86,13 @@ def missing_rows(pairs: DataFrame) -> DataFrame:
     filled up to its columns; pos is where an equal row first stands."""
     grid = F.transform(real_rows(F.col("grid")), lambda r: F.transform(r, lambda c: T.collapse(F.coalesce(c, F.lit("")))))
     data = F.when(F.col("has_header"), F.slice(grid, 2, 1 << 30)).otherwise(grid)
-    rows = pairs.withColumn("data", data).withColumn("have", F.transform("rows", row_key))
-    lack = F.filter("data", lambda r: (row_key(r) != "") & ~F.array_contains(F.col("have"), row_key(r)))
+    rows = pairs.withColumn("data", data)
+    lack = T.let(
+        F.transform("rows", row_key),
+        lambda have: F.filter("data", lambda r: T.let(row_key(r), lambda k: (k != "") & ~F.array_contains(have, k))),
+    )
     new = F.transform(lack, lambda r: F.struct((F.array_position(F.col("data"), r) - 1).cast("int").alias("pos"), T.padded(r, F.col("n_cols")).alias("item")))
-    return rows.withColumn("new", new).drop("data", "have")
+    return rows.withColumn("new", new).drop("data")
 
 
 def restore_rows(pairs: DataFrame) -> DataFrame:

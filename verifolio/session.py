@@ -25,8 +25,15 @@ def local_session(cpus: int | None = None, partitions: int | None = None) -> Spa
     return spark
 
 
+#: Rows that Spark hands to Python at once, where the session has Spark's default.
+ARROW_ROWS = 2048
+
+
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver imported it."""
+    """Lets Python workers import this package from where the driver imported it, and
+    bounds the texts that a worker holds at once."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     env = spark.sparkContext.environment
     root = str(Path(__file__).resolve().parent.parent)
     known = env.get("PYTHONPATH", "").split(os.pathsep)

@@ -54,7 +54,9 @@ def blank(text: Column) -> Column:
 def normalize(text: Column) -> Column:
     """Folds typographic punctuation, collapses whitespace, lower-cases."""
     folded = F.replace(F.translate(text, FOLD_FROM, FOLD_TO), F.lit(ELLIPSIS), F.lit("..."))
-    return F.lower(collapse(folded))
+    # looking for the characters is much cheaper than translating every one
+    found = F.rlike(text, F.lit(f"[{FOLD_FROM}{ELLIPSIS}]"))
+    return F.lower(collapse(F.when(found, folded).otherwise(text)))
 
 
 def squash(text: Column) -> Column:

@@ -84,9 +84,21 @@ def source_words(source: Column) -> Column:
     return F.array_distinct(T.words(T.normalize(source), T.SHORT))
 
 
+def absent_words(words: Column, produced: Column) -> Column:
+    """Distinct words that the produced text does not contain, in code point order. Most
+    are words of it, which a set tells; only the others are searched for in the text."""
+    return T.let(
+        T.normalize(F.coalesce(produced, F.lit(""))),
+        lambda n: T.let(
+            F.replace(n, F.lit(" "), F.lit("")),
+            lambda q: F.array_sort(F.filter(F.array_except(words, F.split(n, " ")), lambda w: ~F.contains(q, w))),
+        ),
+    )
+
+
 def missing_words(source: Column, produced: Column) -> Column:
-    """Distinct source words that the produced text does not contain, in code point order."""
-    return T.let(T.squash(F.coalesce(produced, F.lit(""))), lambda p: F.array_sort(F.filter(source_words(source), lambda w: ~F.contains(p, w))))
+    """The source's words that the produced text does not contain."""
+    return absent_words(source_words(source), produced)
 
 
 def coverage_share(n_words: Column, n_missing: Column, source: Column) -> Column:
@@ -96,7 +108,8 @@ def coverage_share(n_words: Column, n_missing: Column, source: Column) -> Column
 
 def coverage(pages: DataFrame, source: str, produced: str) -> DataFrame:
     """Adds n_words, missing (array) and coverage."""
-    out = pages.withColumn("n_words", F.size(source_words(F.col(source)))).withColumn("missing", missing_words(F.col(source), F.col(produced)))
+    out = pages.withColumn("__words", source_words(F.col(source)))
+    out = out.withColumns({"n_words": F.size("__words"), "missing": absent_words(F.col("__words"), F.col(produced))}).drop("__words")
     return out.withColumn("coverage", coverage_share(F.col("n_words"), F.size("missing"), F.col(source)))
 
 
@@ -310,12 +323,12 @@ def converted(src: DataFrame, out: DataFrame, key: str = "doc_id") -> DataFrame:
     and total cells and paragraphs, and findings (array of severity and message)."""
     s = src.select(key, *(F.col(c).alias(f"s_{c}") for c in ("text", "paragraphs", "tables", "images")))
     o = out.select(key, *(F.col(c).alias(f"o_{c}") for c in ("text", "tables", "images")))
-    both = s.join(o, key).withColumn("squashed", T.squash(F.col("o_text")))
-    sought = source_words(F.col("s_text"))
-    lost = F.array_sort(F.filter(sought, lambda w: ~F.contains(F.col("squashed"), w)))
-    gone = F.filter("s_paragraphs", lambda p: (F.length(T.normalize(p)) >= LEAST_LINE) & ~T.contained(p, F.col("squashed")))
-    tables = F.transform("s_tables", lambda t: F.struct(t["rows"].alias("rows"), t["cols"].alias("cols"), F.size(t["cells"]).alias("n"), F.filter(t["cells"], lambda c: ~T.contained(c, F.col("squashed"))).alias("gone")))
-    rows = both.select("*", F.size(sought).alias("n_words"), lost.alias("lost"), gone.alias("gone"), tables.alias("t"))
+    both = s.join(o, key).withColumn("sought", source_words(F.col("s_text")))
+    away = lambda q: F.filter("s_paragraphs", lambda p: T.let(T.normalize(p), lambda n: (F.length(n) >= LEAST_LINE) & ~F.contains(q, F.replace(n, F.lit(" "), F.lit("")))))
+    missing_cells = lambda q: lambda t: F.struct(t["rows"].alias("rows"), t["cols"].alias("cols"), F.size(t["cells"]).alias("n"), F.filter(t["cells"], lambda c: ~T.contained(c, q)).alias("gone"))
+    found = T.let(T.squash(F.col("o_text")), lambda q: F.struct(away(q).alias("gone"), F.transform("s_tables", missing_cells(q)).alias("t")))
+    rows = both.select("*", F.size("sought").alias("n_words"), absent_words(F.col("sought"), F.col("o_text")).alias("lost"), found.alias("found"))
+    rows = rows.select("*", "found.*").drop("found")
     rows = rows.withColumn("coverage", F.when(F.col("n_words") == 0, 1.0).otherwise(1 - F.size("lost") / F.col("n_words")))
     add = lambda values: F.aggregate(values, F.lit(0), lambda a, x: a + x)
     cells, missing = add(F.transform("t", lambda t: t["n"])), add(F.transform("t", lambda t: F.size(t["gone"])))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import checks, repair, select, spatial
 from .plans import markdown, ordered, sheet, word
-from .session import table
+from .session import spread, table
 from .sources import history
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,15 +89,19 @@ _NATIONS = (
 # --- Derived tables ----------------------------------------------------------------------
 
 
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as pages: source_text, and what a lossy extraction kept of it."""
-    d = table(spark, sf, "documents")
+    d = _documents(spark, sf)
     kept = F.filter(F.split("text", "\n"), lambda x, i: (i * 7 + F.col("doc_id")) % 10 != 0)
     return d.select("doc_id", F.lit(1).alias("page_no"), F.col("text").alias("source_text"), F.array_join(kept, "\n").alias("produced"))
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = _documents(spark, sf)
     raw = d.select("doc_id", F.lit(1).alias("page_no"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
     kept = raw.where(~T.blank(F.col("text")))
     x0 = 72.0 + (F.col("line") % 3) * 40
@@ -180,7 +184,7 @@ def _nation_tables(spark: SparkSession, sf: str) -> DataFrame:
 
 def _doc_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as pages of text blocks: the first line a heading, the fourth a list, the fifth a caption."""
-    d = table(spark, sf, "documents")
+    d = _documents(spark, sf)
     kinds = lambda i: F.when(i == 0, "heading").when(i == 3, "list").when(i == 4, "caption").otherwise("paragraph")
     sizes = lambda i: F.when(i == 0, "large").when(i % 5 == 4, "small").otherwise("normal")
     block = lambda x, i: F.struct(kinds(i).alias("kind"), x.alias("text"), F.lit("left").alias("align"), sizes(i).alias("size"), (i == 0).alias("bold"), *_no_table()[3:])
@@ -188,7 +192,7 @@ def _doc_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pictures(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = _documents(spark, sf)
     return d.select(
         "doc_id",
         F.lit(1).alias("page_no"),
@@ -207,12 +211,12 @@ def _pictures(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT doc_id, {_n('text')} AS normalized FROM documents")
 def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", T.normalize(F.col("text")).alias("normalized"))
+    return _documents(spark, sf).select("doc_id", T.normalize(F.col("text")).alias("normalized"))
 
 
 @query(f"SELECT doc_id, {_q('text')} AS squashed FROM documents")
 def squash_text(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", T.squash(F.col("text")).alias("squashed"))
+    return _documents(spark, sf).select("doc_id", T.squash(F.col("text")).alias("squashed"))
 
 
 @query(rf"SELECT page_id, {_n('html')} AS normalized, {_strip('html')} AS stripped FROM pages")
@@ -230,7 +234,7 @@ def normalize_pages(spark: SparkSession, sf: str) -> DataFrame:
 )
 def list_splitting(spark: SparkSession, sf: str) -> DataFrame:
     """One-line documents whose sentences were written as items with spelled-out line ends."""
-    d = table(spark, sf, "documents").where(~F.contains("text", F.lit("\n")))
+    d = _documents(spark, sf).where(~F.contains("text", F.lit("\n")))
     items = T.list_items(F.replace("text", F.lit(". "), F.lit("\\n- ")))
     return d.select("doc_id", F.size(items).cast("long").alias("n"), F.array_join(items, "|").alias("items"))
 
@@ -283,7 +287,7 @@ def coverage_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sources(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.lit(1).alias("page_no"), F.col("text").alias("source_text"))
+    return _documents(spark, sf).select("doc_id", F.lit(1).alias("page_no"), F.col("text").alias("source_text"))
 
 
 @query(f"WITH {_JUDGED} SELECT doc_id, sum((held OR share >= 0.9)::INT)::BIGINT AS found, count(*)::BIGINT AS total FROM judged GROUP BY doc_id")
@@ -366,7 +370,7 @@ _ROUTED = (
 
 
 def _routed(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = _documents(spark, sf)
     pages = d.select(
         "doc_id",
         F.lit(1).alias("page_no"),
@@ -468,7 +472,7 @@ def text_above(spark: SparkSession, sf: str) -> DataFrame:
     FROM j GROUP BY doc_id, ord"""
 )
 def image_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", F.lit(1).alias("page_no"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("ord"))
+    d = _documents(spark, sf).select("doc_id", F.lit(1).alias("page_no"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("ord"))
     y0 = 30.0 * F.col("ord") + F.col("doc_id") % 11
     found = spatial.image_places(d.select("*", y0.alias("y0"), (y0 + 25).alias("y1")), _lines(spark, sf))
     return found.select("doc_id", F.col("ord").cast("long"), F.bround("frac_above", 6).alias("frac_above"), "text_before", "text_after")
@@ -480,7 +484,7 @@ def image_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     WHERE greatest(least(x1, bx1) - greatest(x0, bx0), 0) * greatest(least(y1, by1) - greatest(y0, by0), 0) / greatest((x1 - x0) * (y1 - y0), 1) <= 0.5"""
 )
 def overlap_antijoin(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = _documents(spark, sf)
     y0 = 24.0 * (F.col("doc_id") % 4)
     boxes = d.select("doc_id", F.lit(1).alias("page_no"), F.lit(60.0).alias("x0"), y0.alias("y0"), F.lit(300.0).alias("x1"), (y0 + 30).alias("y1"))
     return spatial.outside_tables(_lines(spark, sf), boxes).select("doc_id", F.col("line").cast("long").alias("line"))
@@ -706,4 +710,4 @@ def bench_delta(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id, sha1(text) AS digest FROM documents")
 def image_digest(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.sha1(F.col("text").cast("binary")).alias("digest"))
+    return _documents(spark, sf).select("doc_id", F.sha1(F.col("text").cast("binary")).alias("digest"))

@@ -45,3 +45,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; only Spark's reader touches the path."""
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan that fills less than the session's cores, dealt out over them. Large tables
+    have more splits than that and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

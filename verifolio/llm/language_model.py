@@ -31,6 +31,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,9 @@ _HELD = 400_000
 
 
 def tokens(text: bytes) -> list[bytes]:
-    return [*text.lower().split(), END]
+    found = text.lower().split()
+    found.append(END)
+    return found
 
 
 def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,8 +141,7 @@ class Automaton:
     def numbers(self, text: bytes) -> tuple[list[bytes], list[int]]:
         """Tokens and their word numbers; 0 for words beyond the root's."""
         found = tokens(text)
-        get = self.tables()[0].get
-        return found, [get(t, 0) for t in found]
+        return found, list(map(self.tables()[0].get, found, repeat(0)))
 
     def traverse(self, numbers: list[int]) -> float:
         """Log10 weight of the path; words beyond the root's weigh nothing there."""
@@ -181,13 +183,14 @@ class Model:
 def _numbers(texts: list[bytes], words: dict[bytes, int], limit: int, begin: int) -> np.ndarray:
     """Word numbers of all texts, each after ``begin`` and before a 0; 0 also stands for
     words that n-grams are not made of."""
-    get = words.get
     out: list[int] = []
     for text in texts:
         out.append(begin)
-        out.extend([w if (w := get(t, 0)) <= limit else 0 for t in tokens(text)])
+        out.extend(map(words.get, tokens(text), repeat(0)))
         out.append(0)
-    return np.array(out, np.int64)
+    at = np.array(out, np.int64)
+    at[(at > limit) & (at != begin)] = 0
+    return at
 
 
 def _arcs_at(context: np.ndarray, follows: np.ndarray, lower: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -221,7 +224,9 @@ def _gram_counter(words: dict[bytes, int], limit: int, begin: int, lower: list[n
             if lower:
                 suffix, after, there = _arcs_at(at[1:-1], at[2:], lower[:-1])
                 key = np.where(there, suffix << _BITS | after, -1)
-                ok &= np.isin(key, lower[-1])
+                place = np.searchsorted(lower[-1], key)
+                place[place == len(lower[-1])] = 0
+                ok &= lower[-1][place] == key
             held.append(context[ok] << _BITS | follows[ok])
             size += len(held[-1])
             if size > 4 * _HELD:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import append_columns, worker_cache
 
 BLANK = "▁"
-_WORDS_HELD = 200_000
+_WORDS_HELD = 180_000
 _PAIRS_HELD = 300_000
 #: Beyond the worst score of a model, as the library weighs unknown characters.
 _UNKNOWN = 10.0
@@ -134,38 +134,37 @@ class PieceTransducer:
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
         return parts
 
-    def _number(self, part: str) -> int:
-        """A piece's id, or a number behind all ids for another character; 0 for none."""
-        if not part:
-            return 0
-        found = self.ids.get(part)
-        return len(self.surface) + ord(part) if found is None else found + 1
-
-    def _allowed(self, left: str, right: str) -> bool:
+    def _allowed(self, left: str, right: str, key: int) -> bool:
         """Whether the pair weighs 0; an empty left stands for the start."""
-        key = self._number(left) << 22 | self._number(right)
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) > _PAIRS_HELD:
-                self.pairs.clear()
-            found = self.pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
+        if len(self.pairs) > _PAIRS_HELD:
+            self.pairs.clear()
+        found = self.pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
         return found
 
     def _only_path(self, text: str) -> list[str]:
-        """The path of finite weight: states are (place, last piece)."""
+        """The path of finite weight: states are (place, last piece). A piece is numbered
+        by its id, another character behind all ids, the start by 0."""
         n, path = len(text), []
-        queue = [(0, "", self._arcs(text, 0))]
+        ids, pairs, behind = self.ids.get, self.pairs.get, len(self.surface)
+        queue = [(0, "", 0, self._arcs(text, 0))]
         dead: set[tuple[int, str]] = set()
         while queue:
-            at, last, arcs = queue[-1]
+            at, last, number, arcs = queue[-1]
             moved = False
             while arcs:
                 part = arcs.pop()
-                if (at + len(part), part) not in dead and self._allowed(last, part):
+                own = ids(part)
+                own = behind + ord(part) if own is None else own + 1
+                key = number << 22 | own
+                allowed = pairs(key)
+                if allowed is None:
+                    allowed = self._allowed(last, part, key)
+                to = at + len(part)
+                if allowed and not (dead and (to, part) in dead):
                     path.append(part)
-                    if at + len(part) == n:
+                    if to == n:
                         return path
-                    queue.append((at + len(part), part, self._arcs(text, at + len(part))))
+                    queue.append((to, part, own, self._arcs(text, to)))
                     moved = True
                     break
             if not moved:

@@ -5,7 +5,7 @@ returns a DataFrame, which ``run`` writes as Parquet and reads back as the next
 documents. All but the last return the columns of documents. Nulls, empty texts, ties,
 repeated rows, empty tables and extra columns give what the operators' docstrings say.
 
-The stages cannot be put in SQL (learned models, SimHash, sub-word pieces), so
+The stages cannot be put in SQL (learned models, near copies, sub-word pieces), so
 ``ORACLE_SQL`` is None and tests compare each stage with a brute-force version.
 """
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verifolio.llm import exact_dedup, mixing, piece_transducer, simhash, toxicity
+from verifolio.llm import exact_dedup, mixing, near_copies, piece_transducer, toxicity
 from verifolio.llm.common import drop_staged, stage
 from verifolio.session import ship, table
 
@@ -32,9 +32,10 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
+    """One document of each group of near copies (Jaccard similarity of five-word shingles of
+    0.8 or more): the one with the smallest id."""
     ship(spark)
-    return simhash.drop_near_copies(docs)
+    return near_copies.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", reject_toxic),
     ("exact dedup", drop_exact),
-    ("SimHash near-dedup", drop_near),
+    ("Jaccard near-dedup", drop_near),
     ("mixing sources to target weights", mix_sources),
     ("SentencePiece encoding and decoding", encode),
 ]

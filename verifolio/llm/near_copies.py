@@ -1,0 +1,184 @@
+"""Near copies by the Jaccard similarity of word shingles, exact.
+
+A text is the set of its five-word shingles (ASCII lower case; a shorter text is one
+shingle), each as a 64-bit hash. Two texts are linked if their sets' Jaccard similarity
+is at least 0.8. All links are found by prefix filtering: under one order of all shingles,
+two sets of that similarity share one of their first n - ceil(0.8 n) + 1. The order puts
+shingles that a sample found in many texts last, so that common lines hardly bring texts
+together; any order gives the same links.
+
+Texts of equal sets are one node. Texts that share a prefix shingle form a block. A block's
+nodes are first compared with one of them, by several choices; what that links needs no
+further comparison among itself, so a large group of near copies takes about as many
+comparisons as it has members. Then all pairs of a block that are still apart are compared.
+Sets are fetched for few pairs only: a set's parity bitmap says which of 1024 values have
+an odd number of its shingles, and two sets differ by at least as many shingles as their
+bitmaps differ by bits, which similar sets may only do up to a ninth of their sizes' sum.
+
+Defined results: null text counts as empty; texts without a word are near copies of each
+other; the row with the smallest id of a component stays (null ids come last, then the
+first row); an empty table gives no rows; other columns are kept.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import BROADCAST_ROWS, UID, binaries, decided, drop_staged, sliced, stage, with_uid
+from .simhash import components
+
+WORDS = 5
+#: Similarity as a fraction of whole numbers, so that its comparison is exact.
+NUMERATOR, DENOMINATOR = 4, 5
+#: One text in so many is sampled for common shingles, found in so many of these or more.
+SAMPLE, COMMON, MAX_COMMON = 16, 8, 200_000
+ROUNDS = 2
+#: Longs of a parity bitmap.
+LONGS = 16
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles."""
+    tokens = text.lower().split()
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    own = np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
+    n = max(len(own) - words + 1, 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(min(words, len(own))):
+        out = (out + own[k : k + n]) * _FACTOR
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def prefix(values: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, of which two similar sets share one."""
+    n = len(values)
+    size = n - -(-NUMERATOR * n // DENOMINATOR) + 1 if n else 0
+    if len(common) and n:
+        place = np.searchsorted(common, values)
+        place[place == len(common)] = 0
+        last = common[place] == values
+        values = np.concatenate([values[~last], values[last]])
+    return values[:size]
+
+
+def parity(values: np.ndarray) -> np.ndarray:
+    odd = np.bincount((values >> np.uint64(17)).astype(np.int64) % (64 * LONGS), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, found)])
+    flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches, 256):
+        yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingles(t) for t in binaries(batch.column(1))])], ["node", "shingles"])
+
+
+def _prefixes(common: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            sets = [shingles(t) for t in binaries(batch.column(2))]
+            node = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets))
+            own = [batch.column(0), batch.column(1), pa.array(node.view(np.int64)), pa.array([len(s) for s in sets], pa.int32())]
+            made = [_lists([parity(s) for s in sets]), _lists([prefix(s, common) for s in sets])]
+            yield pa.RecordBatch.from_arrays([*own, *made], ["uid", "id", "node", "n", "bits", "prefix"])
+
+    return run
+
+
+def _common(texts: DataFrame) -> np.ndarray:
+    """Shingles that are in many of the sampled texts."""
+    some = texts.where(F.pmod(F.xxhash64("uid"), F.lit(SAMPLE)) == 0).select("uid", "text").mapInArrow(_sets, "node long, shingles array<long>")
+    counted = some.select(F.explode("shingles").alias("h")).groupBy("h").count().where(F.col("count") >= COMMON)
+    found = counted.orderBy(F.desc("count"), "h").limit(MAX_COMMON).select("h").toArrow().column(0).to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64))
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, heads: DataFrame) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets are similar."""
+    a, b = (heads.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "uv")
+    differ = F.aggregate(F.zip_with("bits_u", "bits_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    may = (DENOMINATOR + NUMERATOR) * differ <= (DENOMINATOR - NUMERATOR) * (F.col("n_u") + F.col("n_v"))
+    pairs = stage(pairs.distinct().join(a, "u").join(b, "v").where(may).select("u", "v"), "near-pairs")
+    needed = stage(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(heads, "node").select("node", "first"), "near-needed")
+    few = needed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = texts.join(F.broadcast(needed) if few else needed, F.col("uid") == F.col("first")).select("node", "text")
+    sets = stage(rows.mapInArrow(_sets, "node long, shingles array<long>"), "near-sets")
+    u, v = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"of_{k}")) for k in "uv")
+    both = F.size(F.array_intersect("of_u", "of_v"))
+    whole = F.size("of_u") + F.size("of_v") - both
+    found = stage(pairs.join(u, "u").join(v, "v").where(DENOMINATOR * both.cast("long") >= NUMERATOR * whole.cast("long")).select("u", "v"), "near-links")
+    drop_staged(pairs, needed, sets)
+    return found
+
+
+def _sized(a: str, b: str):
+    """Whether two sets' sizes allow the similarity."""
+    return F.least(a, b).cast("long") * DENOMINATOR >= F.greatest(a, b).cast("long") * NUMERATOR
+
+
+def links(blocks: DataFrame, texts: DataFrame, heads: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """Links (u, v) that join all similar nodes of the blocks (h, node, n)."""
+    every, apart = None, blocks.withColumn("label", F.col("node"))
+    for k in range(rounds + 1):
+        if k < rounds:
+            order = F.struct(F.xxhash64("node", F.lit(k)), "node", "n", "label")
+            one = apart.withColumn("one", F.min(order).over(Window.partitionBy("h")))
+            pairs = one.where((F.col("label") != F.col("one.label")) & _sized("n", "one.n")).select("node", F.col("one.node").alias("other"))
+        else:
+            a, b = (apart.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "label"))) for s in "ab")
+            met = a.join(b, "h").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & _sized("n_a", "n_b"))
+            pairs = met.select(F.col("node_a").alias("node"), F.col("node_b").alias("other"))
+        found = _similar(pairs.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")), texts, heads)
+        every = found if every is None else every.unionByName(found)
+        if k < rounds:
+            labels = components(every).select(F.col("node").alias("l_node"), F.col("label").alias("l"))
+            named = blocks.join(labels, F.col("node") == F.col("l_node"), "left").select("h", "node", "n", F.coalesce("l", "node").alias("label"))
+            same = Window.partitionBy("h")
+            open_ = named.withColumn("lo", F.min("label").over(same)).withColumn("hi", F.max("label").over(same)).where("lo < hi")
+            apart = stage(open_.select("h", "node", "n", "label"), "near-apart")
+            drop_staged(labels)
+    return every
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """__vf_uid, id, component_id and keep_uid (the row that stays) for every row of docs."""
+    texts = with_uid(docs).select(F.col(UID).alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = stage(texts.mapInArrow(_prefixes(_common(texts)), "uid long, id long, node long, n int, bits array<long>, prefix array<long>"), "near-rows")
+    heads = stage(
+        rows.groupBy("node").agg(
+            F.min(F.struct(F.col("id").isNull().alias("no"), "id", "uid")).alias("best"), F.min("uid").alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits")
+        ),
+        "near-heads",
+    )
+    same = Window.partitionBy("h")
+    placed = rows.select(F.explode("prefix").alias("h"), "node", "n").withColumn("lo", F.min("node").over(same)).withColumn("hi", F.max("node").over(same))
+    blocks = stage(placed.where("lo < hi").select("h", "node", "n").distinct(), "near-blocks")
+    labels = components(links(blocks, texts.select("uid", "text"), heads.select("node", "first", "n", "bits")))
+    named = heads.join(labels.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left").select("node", F.coalesce("label", "node").alias("label"), "best")
+    best = named.groupBy("label").agg(F.min("best").alias("best"))
+    named = stage(named.select("node", "label").join(best, "label").select(F.col("node").alias("k"), "best"), "near-named")
+    drop_staged(blocks, heads)
+    return rows.join(named, rows.node == named.k).select(
+        F.col("uid").alias(UID), "id", F.col("best.id").alias("component_id"), F.col("best.uid").alias("keep_uid")
+    )
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that stay: one of each component."""
+    rows = with_uid(docs)
+    groups = near_groups(rows.drop(UID), id_col, text_col)
+    gone = stage(groups.where(F.col(UID) != F.col("keep_uid")).select(F.col(UID).alias("__vf_k")), "near-gone")
+    return decided(rows, gone, "left_anti").select(*(rows[c] for c in docs.columns))

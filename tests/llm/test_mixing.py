@@ -87,3 +87,23 @@ def test_odd_rows(spark, odd, none):
         assert out.columns == odd.columns
         assert out.count() == sum(r.copies for r in mixing.fit_rates(odd, y).collect())
         assert mixing.mixed(none, y).count() == 0
+
+
+def test_every_source_has_its_own_target(spark, monkeypatch):
+    """With more sources than the driver holds: weights reach all, and rates are the same."""
+    rows = [(i, "some words here " * (1 + i % 3), f"s{i % 40}" if i % 40 else None) for i in range(400)]
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = {f"s{i}" if i else None: i % 4 for i in range(40)}
+    of = lambda w: {r.id: (r.rate, r.source, r.n_tokens) for r in mixing.fit_rates(docs, labels, w).collect()}
+    listed = {k: of(w) for k, w in (("given", weights), ("default", None))}
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
+    for k, w in (("given", weights), ("default", None)):
+        found = of(w)
+        assert found.keys() == listed[k].keys() and all(abs(found[d][0] - listed[k][d][0]) < 1e-6 for d in found)
+        size = sum(n for _, _, n in found.values())
+        got, own = {}, {}
+        for r, s, n in found.values():
+            got[s], own[s] = got.get(s, 0) + r * n, own.get(s, 0) + n
+        parts = weights if w else {s: n**mixing.TEMPER for s, n in own.items()}
+        assert all(abs(got[s] - size * parts[s] / sum(parts.values())) < 0.01 * size / 40 for s in own)

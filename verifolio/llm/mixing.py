@@ -11,8 +11,9 @@ where t_d is its tokens, T_k the domain's target tokens and A_k its tokens at ra
 minimum is found by projected gradient steps from r = 1 in the metric of the tokens, where
 the largest curvature is 1, so a step of 1 never overshoots. Each step adds up the domain
 totals with partial aggregation, sends back one number per domain, updates every rate in
-place and clips it at 0. The number of domains is bounded: sources beyond the
-``MAX_SOURCES`` largest share one domain.
+place and clips it at 0. Every source has domains of its own. Totals, targets and gaps of up
+to ``MAX_SOURCES`` sources are arrays in the driver; those of more sources are a table, which
+each step joins to the documents (by a broadcast after its rows were counted, if few).
 
 Targets: a source's weight is given, or its tokens to the power ``TEMPER`` (below 1 evens
 sources out); a class's weight is given, or the labelled share moved half way to the best
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UID, binaries, decided, drop_staged, sliced, stage, with_uid
+from .common import BROADCAST_ROWS, UID, binaries, decided, drop_staged, sliced, stage, with_uid
 
 MAX_FIT_ROWS = 6_000
 MAX_SOURCES = 256
@@ -154,16 +155,37 @@ def fit_rates(
 
     rows = with_uid(docs).select(F.col(UID).alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col))
     known = stage(rows.mapInArrow(run, "uid long, id long, source string, n long, p array<double>"), "mix-posteriors")
-    sizes = known.groupBy("source").agg(F.sum("n").alias("n"))
-    largest = sizes.orderBy(F.desc("n"), F.col("source").asc_nulls_first()).limit(MAX_SOURCES).collect()
-    names = [r.source for r in largest]
-    listed = docs.sparkSession.createDataFrame([(name, i) for i, name in enumerate(names)], "s_name string, s int")
-    state = known.join(F.broadcast(listed), F.col("source").eqNullSafe(F.col("s_name")), "left").withColumn("s", F.coalesce("s", F.lit(len(names))))
-    k = len(classifier.classes)
+    best = max(shares)
+    halved = {c: shares[c] / 2 + (0.5 if c == best else 0.0) for c in classifier.classes} if len(shares) > 1 else {c: 1.0 for c in classifier.classes}
+    by_class = _weights(class_weights, halved)
+    sizes = stage(known.groupBy("source").agg(F.sum("n").alias("n")), "mix-sources")
+    if sizes.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
+        state = _joined_rates(known, sizes, source_weights, [by_class[c] for c in classifier.classes], steps, tolerance)
+    else:
+        state = _listed_rates(known, sizes, source_weights, [by_class[c] for c in classifier.classes], steps, tolerance)
+    part = F.pmod(F.xxhash64("id", F.lit("copies")), F.lit(1 << 53)) / float(1 << 53)
+    rated = state.select(F.col("uid").alias("r_uid"), F.col("r").alias("rate"))
+    return known.join(rated, F.col("uid") == F.col("r_uid")).select(
+        F.col("uid").alias(UID),
+        "id",
+        "source",
+        F.col("n").alias("n_tokens"),
+        F.col("p").alias("posteriors"),
+        "rate",
+        (F.floor("rate") + (part < F.col("rate") - F.floor("rate")).cast("long")).alias("copies"),
+    )
+
+
+def _listed_rates(known: DataFrame, sizes: DataFrame, source_weights: dict | None, by_class: list[float], steps: int, tolerance: float) -> DataFrame:
+    """uid and rate r, with the domains' totals, targets and gaps as arrays."""
+    names = [r.source for r in sizes.orderBy(F.desc("n"), F.col("source").asc_nulls_first()).collect()]
+    listed = known.sparkSession.createDataFrame([(name, i) for i, name in enumerate(names)], "s_name string, s int")
+    state = known.join(F.broadcast(listed), F.col("source").eqNullSafe(F.col("s_name")))
+    k = len(by_class)
     state = state.select("uid", "s", "n", "p", F.lit(1.0).alias("r"))
 
     def totals(state: DataFrame) -> np.ndarray:
-        out = np.zeros((len(names) + 1, k))
+        out = np.zeros((len(names), k))
         for row in state.groupBy("s").agg(*(F.sum(F.col("n") * F.col("p")[c] * F.col("r")).alias(f"t{c}") for c in range(k))).collect():
             out[row.s] = [x or 0.0 for x in row[1:]]
         return out
@@ -174,10 +196,7 @@ def fit_rates(
         None if source_weights is None else {i: source_weights.get(name, 0.0) for i, name in enumerate(names)},
         dict(enumerate(np.where(used, whole.sum(1) ** TEMPER, 0.0).tolist())),
     )
-    best = max(shares)
-    halved = {c: shares[c] / 2 + (0.5 if c == best else 0.0) for c in classifier.classes} if len(shares) > 1 else {c: 1.0 for c in classifier.classes}
-    by_class = _weights(class_weights, halved)
-    target = np.outer([by_source[i] for i in range(len(names) + 1)], [by_class[c] for c in classifier.classes]) * whole.sum()
+    target = np.outer([by_source[i] for i in range(len(names))], by_class) * whole.sum()
     scale = np.where(whole > 0, whole, 1.0)
     now = whole
     for _ in range(steps):
@@ -192,17 +211,53 @@ def fit_rates(
         drop_staged(state)
         state = new
         now = totals(state)
-    part = F.pmod(F.xxhash64("id", F.lit("copies")), F.lit(1 << 53)) / float(1 << 53)
-    rated = state.select(F.col("uid").alias("r_uid"), F.col("r").alias("rate"))
-    return known.join(rated, F.col("uid") == F.col("r_uid")).select(
-        F.col("uid").alias(UID),
-        "id",
-        "source",
-        F.col("n").alias("n_tokens"),
-        F.col("p").alias("posteriors"),
-        "rate",
-        (F.floor("rate") + (part < F.col("rate") - F.floor("rate")).cast("long")).alias("copies"),
+    return state
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _joined_rates(known: DataFrame, sizes: DataFrame, source_weights: dict | None, by_class: list[float], steps: int, tolerance: float) -> DataFrame:
+    """uid and rate r, with the domains' totals, targets and gaps as a table by source."""
+    k = len(by_class)
+    fallback = sizes.withColumn("weight", F.when(F.col("n") > 0, F.pow(F.col("n").cast("double"), F.lit(TEMPER))).otherwise(0.0))
+    weighted = fallback
+    if source_weights is not None:
+        given = known.sparkSession.createDataFrame([(s, max(float(w), 0.0)) for s, w in source_weights.items()], "g_source string, g_weight double")
+        own = sizes.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("g_source")), "left").withColumn("weight", F.coalesce("g_weight", F.lit(0.0)))
+        weighted = own if own.agg(F.sum("weight")).first()[0] else fallback
+    share, tokens = weighted.agg(F.sum("weight"), F.sum("n")).first()
+    targets = weighted.withColumn("s", F.monotonically_increasing_id()).select(
+        "s", F.col("source").alias("s_name"), F.array(*(F.col("weight") / (share or 1.0) * (w * (tokens or 0)) for w in by_class)).alias("target")
     )
+    targets = stage(targets, "mix-targets")
+    most = targets.agg(F.max(F.array_max("target"))).first()[0]
+    state = known.join(_few(targets.select("s", "s_name")), F.col("source").eqNullSafe(F.col("s_name"))).select("uid", "s", "n", "p", F.lit(1.0).alias("r"))
+    state = stage(state, "mix-rates")
+
+    def totals(state: DataFrame) -> DataFrame:
+        sums = (F.coalesce(F.sum(F.col("n") * F.col("p")[c] * F.col("r")), F.lit(0.0)) for c in range(k))
+        return state.groupBy("s").agg(F.array(*sums).alias("now"))
+
+    whole = stage(totals(state).withColumnRenamed("now", "whole"), "mix-whole")
+    for _ in range(steps):
+        domains = whole.join(totals(state), "s").join(targets.select("s", "target"), "s")
+        places = [(F.col("whole")[c], F.col("now")[c] - F.col("target")[c]) for c in range(k)]
+        gaps = F.array(*(F.when(w > 0, off / w).otherwise(0.0) for w, off in places)).alias("gap")
+        off = F.array_max(F.array(*(F.when(w > 0, F.abs(off)).otherwise(0.0) for w, off in places))).alias("off")
+        domains = stage(domains.select(F.col("s").alias("d"), gaps, off), "mix-gaps")
+        if not tokens or domains.agg(F.max("off")).first()[0] <= tolerance * most:
+            break
+        push = F.lit(0.0)
+        for c in range(k):
+            push = push + F.col("p")[c] * F.col("gap")[c]
+        moved = state.join(_few(domains.select("d", "gap")), F.col("s") == F.col("d"))
+        new = stage(moved.select("uid", "s", "n", "p", F.greatest(F.lit(0.0), F.col("r") - push).alias("r")), "mix-rates")
+        drop_staged(state, domains)
+        state = new
+    return state
 
 
 def mixed(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from verifolio.llm import near_copies
+from verifolio.llm import simhash
 
 
 def slow(rows):
@@ -29,7 +29,7 @@ def slow(rows):
 
 
 def got(df):
-    return {r.id: r.component_id for r in near_copies.near_groups(df).collect()}
+    return {r.id: r.component_id for r in simhash.similar_groups(df).collect()}
 
 
 def test_documents(documents):
@@ -39,11 +39,11 @@ def test_documents(documents):
     assert found[177] == found[1] and found[145] == found[6]  # 11 and 7 SimHash bits apart
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_copies_chains_and_common_lines(spark, monkeypatch, rounds):
+@pytest.mark.parametrize("rounds, tile", [(0, 2048), (2, 2048), (0, 8)])
+def test_copies_chains_and_common_lines(spark, monkeypatch, rounds, tile):
     """Groups of near copies around the bound, a line that many texts have, short texts."""
-    monkeypatch.setattr(near_copies, "SAMPLE", 1)
-    monkeypatch.setattr(near_copies.links, "__defaults__", (rounds,))
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (rounds, tile, simhash.WIDE))
     rng = random.Random(3)
     line = "permission is hereby granted free of charge to any person who asks"
     rows = []
@@ -62,7 +62,7 @@ def test_copies_chains_and_common_lines(spark, monkeypatch, rounds):
 
 
 def test_filter_keeps_one_of_each(odd, none):
-    out = near_copies.drop_near_copies(odd)
-    groups = near_copies.near_groups(odd).select("keep_uid").distinct().count()
+    out = simhash.drop_near_copies(odd)
+    groups = simhash.similar_groups(odd).select("keep_uid").distinct().count()
     assert out.columns == odd.columns and out.count() == groups
-    assert near_copies.drop_near_copies(none).count() == 0
+    assert simhash.drop_near_copies(none).count() == 0

@@ -19,11 +19,14 @@ _staged: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where unset (tests), a temporary one."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a local session (tests)
+    gets a temporary one; a cluster has no folder that all executors see, and raises."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="verifolio-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
@@ -64,27 +67,44 @@ def _drop_all() -> None:
 atexit.register(_drop_all)
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Delete every staged table of this engine in the shared folder: those of the results
+    that this session still holds, and those that a killed driver left behind."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/verifolio")
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _staged.clear()
+
+
 def with_uid(df: DataFrame) -> DataFrame:
-    """Add a row id that is the same in every evaluation of df.
+    """Add a row id for what is staged next, in the one pass that also reads the ids.
+
+    Another evaluation of df may deal its rows in another way and number them anew: what
+    reads the rows again later needs ``identified``."""
+    return df if UID in df.columns else df.withColumn(UID, F.monotonically_increasing_id())
 
-    A scan with only projections and filters on top deals its rows the same way each
-    time; any other plan is staged first."""
-    plan = df._jdf.queryExecution().analyzed().toString()
-    steps = {m for m in re.findall(r"^[\s:+\-|]*([A-Z]\w+)", plan, re.M)}
-    if not steps <= {"Project", "Filter", "Relation", "LogicalRDD", "LocalRelation", "SubqueryAlias", "Range"}:
-        df = stage(df, "rows")
-    return df.withColumn(UID, F.monotonically_increasing_id())
+
+def identified(df: DataFrame) -> DataFrame:
+    """df staged with a row id beside each row, which every later scan finds there, whatever
+    number of cores or splits it has. Rows that come from ``identified`` stay as they are."""
+    if UID in df.columns and getattr(df, "_vf_path", None):
+        return df
+    return stage(with_uid(df), "rows")
 
 
 #: Decisions on rows that are few enough are broadcast, so that whole rows stay in place.
-BROADCAST_ROWS = 2_000_000
+#: A decision is two numbers at most, some 64 bytes in a hash table, so this is 64 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df (narrow rows of numbers), to be broadcast if it was counted to have few."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def decided(rows: DataFrame, decisions: DataFrame, how: str) -> DataFrame:
-    """Rows (with __vf_uid) joined with decisions (with __vf_k and what else is needed):
-    the few by a broadcast, after they were counted, more by a shuffle."""
-    few = decisions.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(decisions) if few else decisions, F.col(UID) == F.col("__vf_k"), how)
+    """Rows (with __vf_uid, staged) joined with staged decisions (with __vf_k and what else
+    is needed): the few by a broadcast, more by a shuffle."""
+    return rows.join(few(decisions), F.col(UID) == F.col("__vf_k"), how)
 
 
 def crc_mod(column: str, modulus: int) -> Column:

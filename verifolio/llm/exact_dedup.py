@@ -8,9 +8,11 @@ from round to round, so a text of n bytes takes about log8(n) rounds. Equality i
 by the bytes alone; the digest in the result is a label.
 
 Groups are never gathered: a round counts its (group, digit) keys with partial
-aggregation and joins the counts of keys with several rows back to the rows. Counts of a
-measured size up to 32 MB are broadcast, so the texts of decided rows never move; beyond
-that both sides of the join are plain shuffles of staged tables, and AQE splits a hot key.
+aggregation and joins the counts of keys with several rows back to the rows, which are
+narrow: a row's id, group and digit. Open rows are found there, and then their texts are
+fetched by row id from the staged documents: by a broadcast of the ids where they are few,
+else by a shuffle of the texts that a bitmap of fixed size lets through. The texts of other
+rows never move, on either side of that switch, and both sides give the same rows.
 
 Defined results: null text counts as empty; empty and blank texts form one group; of
 equal texts the row with the most code points in the original text stays, then the
@@ -23,12 +25,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UID, decided, drop_staged, stage, with_uid
+from .common import UID, decided, drop_staged, identified, stage
 
 FIRST_WIDTH = 32
 GROWTH = 8
 LAST_WIDTH = 1 << 20
+#: Counts of keys are broadcast up to this measured size, ids of open rows up to this number.
 BROADCAST_BYTES = 32 << 20
+BROADCAST_ROWS = 1_000_000
+#: Slots of the bitmap that stands for more ids: a million words of 64.
+SLOTS = 1 << 26
 KEY = ["grp", "digit", "ended"]
 
 
@@ -47,13 +53,34 @@ def _counts(rows: DataFrame, label: str) -> DataFrame:
 
 
 def _with_counts(rows: DataFrame, counts: DataFrame, how: str) -> DataFrame:
-    """Rows with the counts of their key. Counts of a measured size under the limit are
-    broadcast, so that texts stay where they are; larger ones are joined by a shuffle."""
+    """Narrow rows with the counts of their key. Counts of a measured size under the limit
+    are broadcast; larger ones are joined by a shuffle."""
     n, size = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("k_digit")), F.lit(0))).first()
     side = F.broadcast(counts) if size + 64 * n <= BROADCAST_BYTES else counts
     return rows.join(side, (rows.grp == side.k_grp) & (rows.digit == side.k_digit) & (rows.ended == side.k_ended), how)
 
 
+def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Of rows (with __vf_uid) about those whose id is among ids (k_uid): a bitmap of
+    ``SLOTS`` hash slots, of fixed size, is broadcast, so that the texts of other rows are
+    not shuffled. Some pass that are not among them; the join that follows drops these."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    bit = F.shiftleft(F.lit(1).cast("long"), F.pmod(F.col("slot"), F.lit(64)).cast("int"))
+    words = ids.select(slot("k_uid").alias("slot")).groupBy(F.floor(F.col("slot") / 64).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    own = rows.withColumn("slot", slot(UID)).withColumn("own", F.floor(F.col("slot") / 64))
+    hit = own.join(F.broadcast(words), F.col("own") == F.col("word")).where(F.col("bits").bitwiseAND(bit) != 0)
+    return hit.select(*rows.columns)
+
+
+def _opened(texts: DataFrame, heads: DataFrame, open_keys: DataFrame, label: str) -> DataFrame:
+    """The rows of open groups with their text: found on narrow heads first, so that only
+    their texts move. Few ids are broadcast, and then no text moves at all."""
+    ids = stage(_with_counts(heads, open_keys, "inner").select(F.col(UID).alias("k_uid"), "next"), label)
+    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return texts.join(F.broadcast(ids), F.col(UID) == F.col("k_uid"))
+    return _marked(texts, ids).join(ids, F.col(UID) == F.col("k_uid"))
+
+
 def _closed(rows: DataFrame, counts: DataFrame, label: str) -> DataFrame:
     """Rows whose group is a singleton, and so has no counts, or whose text has ended."""
     single = F.col("size").isNull()
@@ -84,12 +111,12 @@ def _digits(rows: DataFrame, carry: list, grp, norm: str, width: int) -> DataFra
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: __vf_uid, id, keep_id, keep_uid, group_size, text_sha256."""
-    norm = with_uid(docs).select(
+    norm = identified(docs).select(
         UID, F.col(id_col).alias("id"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("points"), normalised(text_col).alias("norm")
     )
     carry = [UID, "id", "points", "sha"]
     width, k = FIRST_WIDTH, 0
-    # the first digits are staged without the texts, which are read again for open groups only
+    # digits are staged without the texts, which are read again for open groups only
     texts = _digits(norm, [UID, "id", "points", F.sha2("norm", 256).alias("sha")], F.lit(0).cast("long"), "norm", width)
     rows = stage(texts.drop("tail"), "radix-heads")
     found = []
@@ -101,10 +128,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if open_keys.isEmpty():
             rows = None
         else:
-            source = texts if k == 0 else rows
             next_width = min(width * GROWTH, LAST_WIDTH) if k else FIRST_WIDTH * (GROWTH - 1)
-            still = _with_counts(source, open_keys, "inner").select(*carry, "next", "tail")
-            rows = stage(_digits(still, carry, F.col("next"), "tail", next_width), f"radix-{k}-open")
+            if k == 0:
+                still = _opened(texts, rows, open_keys, "radix-ids")
+            else:
+                still = _with_counts(rows, open_keys, "inner")
+            rows = stage(_digits(still.select(*carry, "next", "tail"), carry, F.col("next"), "tail", next_width), f"radix-{k}-open")
             width, k = next_width, k + 1
         drop_staged(before, counts)
     out = found[0]
@@ -115,7 +144,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs."""
-    return exact_groups(docs, id_col, text_col).select(
+    return exact_groups(docs.select(id_col, text_col), id_col, text_col).select(
         F.col("id").alias("doc_id"),
         "keep_id",
         "group_size",
@@ -126,7 +155,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that stay."""
-    rows = with_uid(docs)
-    groups = exact_groups(rows.drop(UID), id_col, text_col)
+    rows = identified(docs)
+    groups = exact_groups(rows, id_col, text_col)
     gone = stage(groups.where(F.col(UID) != F.col("keep_uid")).select(F.col(UID).alias("__vf_k")), "exact-gone")
     return decided(rows, gone, "left_anti").select(*(rows[c] for c in docs.columns))

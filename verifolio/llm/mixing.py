@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, UID, binaries, decided, drop_staged, sliced, stage, with_uid
+from .common import UID, binaries, decided, drop_staged, few, identified, sliced, stage, with_uid
 
 MAX_FIT_ROWS = 6_000
 MAX_SOURCES = 256
@@ -102,7 +102,9 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, label_col: str = "quality
     """The classifier, and the classes' shares among the rows it was fitted on."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("int").alias("y"))
     picked = known.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k", F.lit(8)), "k").limit(max_rows)
-    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("text")).join(F.broadcast(picked), "k").select("y", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("text")).join(F.broadcast(picked), "k")
+    # one text of an id, so that repeated ids leave the sample as small as it was asked for
+    rows = rows.groupBy("k").agg(F.first("y").alias("y"), F.min("text").alias("text")).select("y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -214,11 +216,6 @@ def _listed_rates(known: DataFrame, sizes: DataFrame, source_weights: dict | Non
     return state
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it has few rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _joined_rates(known: DataFrame, sizes: DataFrame, source_weights: dict | None, by_class: list[float], steps: int, tolerance: float) -> DataFrame:
     """uid and rate r, with the domains' totals, targets and gaps as a table by source."""
     k = len(by_class)
@@ -234,7 +231,7 @@ def _joined_rates(known: DataFrame, sizes: DataFrame, source_weights: dict | Non
     )
     targets = stage(targets, "mix-targets")
     most = targets.agg(F.max(F.array_max("target"))).first()[0]
-    state = known.join(_few(targets.select("s", "s_name")), F.col("source").eqNullSafe(F.col("s_name"))).select("uid", "s", "n", "p", F.lit(1.0).alias("r"))
+    state = known.join(few(targets.select("s", "s_name")), F.col("source").eqNullSafe(F.col("s_name"))).select("uid", "s", "n", "p", F.lit(1.0).alias("r"))
     state = stage(state, "mix-rates")
 
     def totals(state: DataFrame) -> DataFrame:
@@ -253,7 +250,7 @@ def _joined_rates(known: DataFrame, sizes: DataFrame, source_weights: dict | Non
         push = F.lit(0.0)
         for c in range(k):
             push = push + F.col("p")[c] * F.col("gap")[c]
-        moved = state.join(_few(domains.select("d", "gap")), F.col("s") == F.col("d"))
+        moved = state.join(few(domains.select("d", "gap")), F.col("s") == F.col("d"))
         new = stage(moved.select("uid", "s", "n", "p", F.greatest(F.lit(0.0), F.col("r") - push).alias("r")), "mix-rates")
         drop_staged(state, domains)
         state = new
@@ -262,8 +259,8 @@ def _joined_rates(known: DataFrame, sizes: DataFrame, source_weights: dict | Non
 
 def mixed(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs, with all their columns, each as many times as the mix asks."""
-    rows = with_uid(docs)
-    rated = fit_rates(rows.drop(UID), labels, **options)
+    rows = identified(docs)
+    rated = fit_rates(rows, labels, **options)
     other = stage(rated.where("copies <> 1").select(F.col(UID).alias("__vf_k"), F.col("copies").alias("__vf_copies")), "mix-copies")
     copies = F.coalesce("__vf_copies", F.lit(1).cast("long"))
     once = F.array_repeat(F.lit(1), copies.cast("int"))

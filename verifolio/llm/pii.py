@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import UID, drop_staged, stage, with_uid
+from .common import UID, drop_staged, identified, stage, with_uid
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -222,8 +222,9 @@ def pii_digest(docs: DataFrame) -> DataFrame:
 
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """uid, id and the text with every span replaced by its kind in brackets."""
-    found = find_pii(docs, id_col, text_col).select("uid", F.array_sort("spans").alias("spans"))
-    rows = with_uid(docs).select(F.col(UID).alias("m_uid"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    staged = identified(docs.select(id_col, text_col))
+    found = find_pii(staged, id_col, text_col).select("uid", F.array_sort("spans").alias("spans"))
+    rows = staged.select(F.col(UID).alias("m_uid"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     put = lambda a, s: F.when(
         s["start"] >= a["at"],

@@ -1,6 +1,6 @@
 """Near-duplicate detection on 64-bit SimHash fingerprints.
 
-Fingerprints come from 3-word shingles (XXH64, seed 42, majority of each bit). Distinct
+**By differing bits** (``simhash_groups``). Fingerprints come from 3-word shingles (XXH64, seed 42, majority of each bit). Distinct
 fingerprints within three differing bits are linked exactly: two such fingerprints agree
 in at least one of their four 16-bit quarters, so each quarter's value names a block of
 fingerprints that must meet. A block is cut into tiles by population count (and by hash
@@ -10,10 +10,27 @@ they cannot hold a link. From a tile pair only a spanning forest of its links le
 n near copies give about n rows and not n squared, and no link between components is
 lost. Components come from minimum labels with pointer jumping over staged tables.
 
+**By similarity** (``similar_groups``). Texts are linked if the Jaccard similarity of their
+sets of five-word shingles (ASCII lower case; a shorter text is one shingle) is at least 0.8.
+Fingerprints of such texts may differ by more bits than quarters could find, so blocks come
+from the shingles: under one order of all shingles, two similar sets share one of their first
+n - ceil(0.8 n) + 1, and each of these names a block. The order puts shingles that a sample
+found in many texts last; any order gives the same links. In a block fingerprints meet in
+tiles as above, within ``WIDE`` bits: at a similarity of 0.8 a bit differs with a chance of
+0.15, so 26 of 64 lie over five standard deviations out, and fewer than one link in 10^5 of
+those at the very threshold is lost. An exact check follows: parity bitmaps (1024 values, of
+which a set has an odd number of shingles; two sets differ by at least as many shingles as
+their bitmaps by bits) drop most pairs, and the sets of the others are compared.
+
+A block's texts first meet one of them, in two rounds with another choice; what that links
+needs no further comparison among itself, so a group of n near copies takes about n
+comparisons. Tiles then hold the texts of blocks that are still apart.
+
 Defined results: null text counts as empty and has fingerprint zero, which links like any
-other; equal texts share a fingerprint and so a component; the component id is the
-smallest id in it (null only if all its ids are null); an empty table gives no rows; other
-columns are ignored.
+other; equal texts share a fingerprint and so a component; by similarity, texts without a
+word are near copies of each other; the component id is the smallest id in it (null only if
+all its ids are null); an empty table gives no rows; other columns are ignored by the groups
+and kept by ``drop_near_copies``, which keeps the row with the smallest id of a component.
 """
 
 from __future__ import annotations
@@ -23,16 +40,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import UID, binaries, decided, drop_staged, stage, with_uid
+from .common import UID, binaries, decided, drop_staged, few, identified, sliced, stage, with_uid
 
 RADIUS = 3
 BANDS = 4
 TILE = 2048
 _BLOCK = 1 << 16
 
+#: By similarity: words of a shingle, and the similarity as a fraction of whole numbers.
+WORDS = 5
+NUMERATOR, DENOMINATOR = 4, 5
+WIDE = 26
+#: One text in so many is sampled for common shingles, found in so many of these or more.
+SAMPLE, COMMON, MAX_COMMON = 16, 8, 200_000
+ROUNDS = 2
+#: Longs of a parity bitmap.
+LONGS = 16
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
 
 def fingerprint(text: bytes, words: int = 3) -> int:
     tokens = text.lower().split()
@@ -46,12 +74,16 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
     spans = zip(starts, ends[words - 1 :].tolist())
-    values = np.fromiter((hashed(joined[a:b], 42) for a, b in spans), np.uint64, n)
+    return majority(np.fromiter((hashed(joined[a:b], 42) for a, b in spans), np.uint64, n))
+
+
+def majority(values: np.ndarray) -> int:
+    """The bits that over half of the values have."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, n, _BLOCK):
+    for i in range(0, len(values), _BLOCK):
         part = values[i : i + _BLOCK]
         ones += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(len(part), 64).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(values), bitorder="little").view(np.uint64)[0])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,12 +171,13 @@ def _compare(radius: int):
     return run
 
 
-def _tile_pairs(blocks: DataFrame, tile: int, radius: int) -> DataFrame:
-    """(pair, side, fp) rows: every fingerprint once for each tile pair it takes part in."""
+def _tile_pairs(blocks: DataFrame, tile: int, radius: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(pair, side, fp) rows, with the columns to carry: every fingerprint once for each tile
+    pair it takes part in."""
     cells = stage(blocks.groupBy("block", "ones").agg(F.count(F.lit(1)).alias("n")), "simhash-cells")
     totals = cells.groupBy("block").agg(F.sum("n").alias("total")).where("total > 1")
     small = blocks.join(totals.where(F.col("total") <= tile).select("block"), "block", "left_semi").select(
-        F.col("block").cast("long").alias("pair"), F.lit(0).alias("side"), "fp"
+        F.col("block").cast("long").alias("pair"), F.lit(0).alias("side"), "fp", *carry
     )
     big = cells.join(totals.where(F.col("total") > tile).select("block"), "block", "left_semi").withColumn("subs", F.ceil(F.col("n") / tile).cast("int"))
     tiles = stage(big.select("block", "ones", "subs", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub")), "simhash-tiles")
@@ -170,7 +203,7 @@ def _tile_pairs(blocks: DataFrame, tile: int, radius: int) -> DataFrame:
     )
     subs = tiles.where("sub = 0").select("block", "ones", "subs")
     placed = blocks.join(subs, ["block", "ones"]).withColumn("sub", F.pmod(F.xxhash64("fp"), F.col("subs")).cast("int"))
-    large = placed.join(use, ["block", "ones", "sub"]).select("pair", "side", "fp")
+    large = placed.join(use, ["block", "ones", "sub"]).select("pair", "side", "fp", *carry)
     return small.unionByName(large)
 
 
@@ -233,9 +266,210 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+# --- By similarity -----------------------------------------------------------------------
+
+
+def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles."""
+    tokens = text.lower().split()
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    own = np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
+    n = max(len(own) - words + 1, 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(min(words, len(own))):
+        out = (out + own[k : k + n]) * _FACTOR
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def prefix(values: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, of which two similar sets share one."""
+    n = len(values)
+    size = n - -(-NUMERATOR * n // DENOMINATOR) + 1 if n else 0
+    if len(common) and n:
+        place = np.searchsorted(common, values)
+        place[place == len(common)] = 0
+        last = common[place] == values
+        values = np.concatenate([values[~last], values[last]])
+    return values[:size]
+
+
+def parity(values: np.ndarray) -> np.ndarray:
+    odd = np.bincount((values >> np.uint64(17)).astype(np.int64) % (64 * LONGS), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, found)])
+    flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches, 256):
+        yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingles(t) for t in binaries(batch.column(1))])], ["node", "shingles"])
+
+
+_SKETCHES = "uid long, id long, node long, n int, fp long, bits array<long>, prefix array<long>"
+
+
+def _sketches(common: np.ndarray):
+    names = [x.split()[0] for x in _SKETCHES.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            sets = [shingles(t) for t in binaries(batch.column(2))]
+            # a 64-bit hash stands for a set
+            node = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets))
+            fp = np.fromiter(map(majority, sets), np.uint64, len(sets))
+            own = [batch.column(0), batch.column(1), pa.array(node.view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), pa.array(fp.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*own, _lists([parity(s) for s in sets]), _lists([prefix(s, common) for s in sets])], names)
+
+    return run
+
+
+def _common(texts: DataFrame) -> np.ndarray:
+    """Shingles that are in many of the sampled texts."""
+    some = texts.where(F.pmod(F.xxhash64("uid"), F.lit(SAMPLE)) == 0).select("uid", "text").mapInArrow(_sets, "node long, shingles array<long>")
+    counted = some.select(F.explode("shingles").alias("h")).groupBy("h").count().where(F.col("count") >= COMMON)
+    found = counted.orderBy(F.desc("count"), "h").limit(MAX_COMMON).select("h").toArrow().column(0).to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64))
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, heads: DataFrame) -> DataFrame:
+    """The exact check: the pairs (u, v) of nodes whose sets are similar."""
+    a, b = (heads.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "uv")
+    differ = F.aggregate(F.zip_with("bits_u", "bits_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    may = (DENOMINATOR + NUMERATOR) * differ <= (DENOMINATOR - NUMERATOR) * (F.col("n_u") + F.col("n_v"))
+    pairs = stage(pairs.distinct().join(a, "u").join(b, "v").where(may).select("u", "v"), "similar-pairs")
+    needed = stage(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(heads, "node").select("node", "first"), "similar-needed")
+    rows = texts.join(few(needed), F.col("uid") == F.col("first")).select("node", "text")
+    sets = stage(rows.mapInArrow(_sets, "node long, shingles array<long>"), "similar-sets")
+    u, v = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"of_{k}")) for k in "uv")
+    both = F.size(F.array_intersect("of_u", "of_v"))
+    whole = F.size("of_u") + F.size("of_v") - both
+    found = stage(pairs.join(u, "u").join(v, "v").where(DENOMINATOR * both.cast("long") >= NUMERATOR * whole.cast("long")).select("u", "v"), "similar-links")
+    drop_staged(pairs, needed, sets)
+    return found
+
+
+def _sized(a: str, b: str):
+    """Whether two sets' sizes allow the similarity."""
+    return F.least(a, b).cast("long") * DENOMINATOR >= F.greatest(a, b).cast("long") * NUMERATOR
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of rows sorted by the first one, cut where it changes."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy() for c in batch.columns]
+        if held is not None:
+            columns = [np.concatenate(x) for x in zip(held, columns)]
+        cuts = np.concatenate(([0], np.nonzero(np.diff(columns[0]))[0] + 1)).tolist()
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            yield [c[i:j] for c in columns]
+        held = [c[cuts[-1] :] for c in columns]
+    if held is not None:
+        yield held
+
+
+def _near(radius: int, step: int = 512):
+    """Pairs (u, v) of nodes that are apart, of sizes that allow the similarity, and within
+    the radius; population counts that differ by more are skipped."""
+
+    def pairs(fp, node, n, label):
+        ones = np.bitwise_count(fp).astype(np.int16)
+        order = np.argsort(ones, kind="stable")
+        fp, node, n, label, ones = fp[order], node[order], n[order].astype(np.int64), label[order], ones[order]
+        for a in range(0, len(fp), step):
+            x, high = slice(a, a + step), ones[min(a + step, len(fp)) - 1]
+            for b in range(a, len(fp), step):
+                if ones[b] - high > radius:
+                    break
+                y = slice(b, b + step)
+                i, j = np.nonzero(np.bitwise_count(fp[x, None] ^ fp[None, y]) <= radius)
+                i, j = i + a, j + b
+                low, most = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                keep = (i < j) & (label[i] != label[j]) & (DENOMINATOR * low >= NUMERATOR * most)
+                if keep.any():
+                    u, v = node[i[keep]], node[j[keep]]
+                    yield np.minimum(u, v), np.maximum(u, v)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush():
+            found = np.unique(np.stack([np.concatenate(x) for x in zip(*held)], 1), axis=0)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
+
+        for _, _, fp, node, n, label in _grouped(batches):
+            for found in pairs(fp.view(np.uint64), node, n, label):
+                held.append(found)
+                size += len(found[0])
+                if size > 1 << 18:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def similar_links(blocks: DataFrame, texts: DataFrame, heads: DataFrame, rounds: int = ROUNDS, tile: int = TILE, radius: int = WIDE) -> DataFrame:
+    """Links (u, v) that join all similar nodes of the blocks (h, node, n, fp)."""
+    every, apart = None, blocks.withColumn("label", F.col("node"))
+    same = Window.partitionBy("h")
+    for k in range(rounds):
+        order = F.struct(F.xxhash64("node", F.lit(k)), "node", "n", "fp", "label")
+        one = apart.withColumn("one", F.min(order).over(same))
+        near = F.bit_count(F.col("fp").bitwiseXOR(F.col("one.fp"))) <= radius
+        pairs = one.where((F.col("label") != F.col("one.label")) & _sized("n", "one.n") & near)
+        found = _similar(pairs.select(F.least("node", "one.node").alias("u"), F.greatest("node", "one.node").alias("v")), texts, heads)
+        every = found if every is None else every.unionByName(found)
+        labels = components(every).select(F.col("node").alias("l_node"), F.col("label").alias("l"))
+        named = blocks.join(labels, F.col("node") == F.col("l_node"), "left").select("h", "node", "n", "fp", F.coalesce("l", "node").alias("label"))
+        # both of a block of two have met
+        open_ = named.withColumns({"lo": F.min("label").over(same), "hi": F.max("label").over(same), "size": F.count(F.lit(1)).over(same)})
+        apart = stage(open_.where("lo < hi and size > 2").select("h", "node", "n", "fp", "label"), "similar-apart")
+        drop_staged(labels)
+    rows = _tile_pairs(apart.withColumnRenamed("h", "block").withColumn("ones", F.bit_count("fp")), tile, radius, ("node", "n", "label"))
+    pairs = rows.repartition("pair").sortWithinPartitions("pair", "side").mapInArrow(_near(radius), "u long, v long")
+    found = _similar(pairs, texts, heads)
+    drop_staged(apart)
+    return found if every is None else every.unionByName(found)
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """__vf_uid, id, component_id and keep_uid (the row that stays) for every row of docs."""
+    texts = identified(docs.select(id_col, text_col) if UID not in docs.columns else docs)
+    texts = texts.select(F.col(UID).alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = stage(texts.mapInArrow(_sketches(_common(texts)), _SKETCHES), "similar-rows")
+    heads = stage(
+        rows.groupBy("node").agg(
+            F.min(F.struct(F.col("id").isNull().alias("no"), "id", "uid")).alias("best"), F.min("uid").alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits")
+        ),
+        "similar-heads",
+    )
+    same = Window.partitionBy("h")
+    placed = rows.select(F.explode("prefix").alias("h"), "node", "n", "fp").withColumn("lo", F.min("node").over(same)).withColumn("hi", F.max("node").over(same))
+    blocks = stage(placed.where("lo < hi").select("h", "node", "n", "fp").distinct(), "similar-blocks")
+    labels = components(similar_links(blocks, texts.select("uid", "text"), heads.select("node", "first", "n", "bits")))
+    named = heads.join(labels.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left").select("node", F.coalesce("label", "node").alias("label"), "best")
+    best = named.groupBy("label").agg(F.min("best").alias("best"))
+    named = stage(named.select("node", "label").join(best, "label").select(F.col("node").alias("k"), "best"), "similar-named")
+    drop_staged(blocks, heads, labels)
+    return rows.join(named, rows.node == named.k).select(
+        F.col("uid").alias(UID), "id", F.col("best.id").alias("component_id"), F.col("best.uid").alias("keep_uid")
+    )
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that stay: one of each component."""
-    rows = with_uid(docs)
-    groups = simhash_groups(rows.drop(UID), id_col, text_col)
-    gone = stage(groups.where(F.col(UID) != F.col("keep_uid")).select(F.col(UID).alias("__vf_k")), "simhash-gone")
+    """The rows of docs, with all their columns, that stay: one of each component by similarity."""
+    rows = identified(docs)
+    gone = stage(similar_groups(rows, id_col, text_col).where(F.col(UID) != F.col("keep_uid")).select(F.col(UID).alias("__vf_k")), "similar-gone")
     return decided(rows, gone, "left_anti").select(*(rows[c] for c in docs.columns))

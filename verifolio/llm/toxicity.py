@@ -8,8 +8,8 @@ bound. A form found this way is weighed by its own class counts, with the pooled
 of variants that a lexicon had not seen as its prior: a common harmless word one letter
 away from a term gets a negative weight, an unseen misspelling the pooled one.
 
-Scoring: every hit is read in a window of tokens. A hit between quotation marks, or near a
-reporting verb or a word about words, counts as quotation and is discounted; hits that
+Scoring: every hit is read in a window of tokens. A hit between quotation marks (paired
+over the whole text), or near a reporting verb or a word about words, counts as quotation and is discounted; hits that
 stand close together or address someone raise each other. A document's hits become five
 features (strongest and summed evidence, unquoted and quoted, and density), and a logistic
 model maps them to a score. Its training features come from the half of the sample that
@@ -24,7 +24,7 @@ both classes gives score 0 for all; extra columns are ignored.
 from __future__ import annotations
 
 import math
-import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,11 +33,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UID, append_columns, crc_mod, decided, drop_staged, stage, with_uid
+from .common import append_columns, crc_mod, drop_staged, stage
 
 #: Labelled rows used for fitting: those with the smallest hash of their id.
 MAX_FIT_ROWS = 20_000
-MAX_TERMS = 500
 MAX_EDITS = 1
 #: Shorter terms must match exactly.
 FUZZY_LENGTH = 5
@@ -47,6 +46,9 @@ _TOKENS_HELD = 250_000
 _STATES_HELD = 100_000
 _STRIP = "\"'`.,;:!?()[]{}<>|#$%&*+-=/\\_~«»“”„‘’‹›…"
 _OPEN, _CLOSE = "\"“„«‹", "\"”“»›"
+_MARKS = frozenset(_OPEN + _CLOSE)
+#: What may stand outside a quotation mark.
+_OUTSIDE = "'`.,;:!?()[]{}*_-…"
 #: Words that report speech or speak about words, in English, French, German and Spanish.
 _REPORTS = frozenset(
     "said says wrote writes quote quoted quotes called term word cited dit écrit cite citation mot sagte schrieb zitat zitiert wort dijo escribió cita palabra".split()
@@ -143,6 +145,29 @@ def form(token: str) -> str:
     return token.strip(_STRIP)
 
 
+def quotations(tokens: list[str]) -> list[tuple[int, int]]:
+    """First and last token of every quotation, in order. Marks are paired over the whole
+    text, however far apart; a mark without a partner opens nothing."""
+    out, begun = [], None
+    for i, token in enumerate(tokens):
+        if _MARKS.isdisjoint(token):
+            continue
+        head, tail = token.lstrip(_OUTSIDE)[:1], token.rstrip(_OUTSIDE)[-1:]
+        opens, closes = head != "" and head in _OPEN, tail != "" and tail in _CLOSE
+        if begun is None:
+            if opens and closes and len(token.strip(_OUTSIDE)) > 1:
+                out.append((i, i))
+            elif opens:
+                begun = i
+        elif closes:
+            out.append((begun, i))
+            begun = None
+        elif opens and head in _CLOSE:
+            # a mark of one shape at the front of a word: what was open had no partner
+            begun = i
+    return out
+
+
 @dataclass
 class Lexicon:
     """Terms, the weights of known forms, and the weight of an unseen variant."""
@@ -182,8 +207,9 @@ class Lexicon:
             return (0.0,) * 5
         best, total = [0.0, 0.0], [0.0, 0.0]
         places = [i for i, _ in hits]
+        spans = quotations(tokens)
         for k, (i, weight) in enumerate(hits):
-            quoted, factor = self._context(tokens, i)
+            quoted, factor = self._context(tokens, i, spans)
             close = sum(0 < abs(places[j] - i) <= WINDOW for j in (k - 1, k + 1) if 0 <= j < len(places))
             value = weight * factor * (1 + 0.1 * close)
             best[quoted] = max(best[quoted], value)
@@ -191,14 +217,12 @@ class Lexicon:
         return best[0], math.log1p(total[0]), best[1], math.log1p(total[1]), math.log1p(100 * len(hits) / len(tokens))
 
     @staticmethod
-    def _context(tokens: list[str], i: int) -> tuple[bool, float]:
+    def _context(tokens: list[str], i: int, spans: list[tuple[int, int]]) -> tuple[bool, float]:
         """Whether the hit at i is quotation, and what its window makes of its weight."""
-        low, high = max(0, i - WINDOW), min(len(tokens), i + WINDOW + 1)
-        opened = any(t[0] in _OPEN for t in tokens[low : i + 1]) and not any(t.rstrip(".,;:!?")[-1:] in _CLOSE and t[-1:] for t in tokens[low:i] if t.rstrip(".,;:!?"))
-        closed = any((s := t.rstrip(".,;:!?")) and s[-1] in _CLOSE for t in tokens[i:high])
-        words = {form(t) for t in tokens[low:high]}
-        if opened and closed:
+        at = bisect_right(spans, (i, len(tokens))) - 1
+        if at >= 0 and spans[at][1] >= i:
             return True, 0.3
+        words = {form(t) for t in tokens[max(0, i - WINDOW) : i + WINDOW + 1]}
         if words & _REPORTS:
             return True, 0.6
         return False, 1.15 if words & _ADDRESS else 1.0
@@ -231,12 +255,13 @@ def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _select_terms(counts: DataFrame, toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> list[str]:
-    """The terms whose documents are toxic far beyond chance, strongest first."""
+    """The terms whose documents are toxic far beyond chance, strongest first. Each stands in
+    four documents of the bounded sample or more, which bounds their number."""
     rate = n_toxic / (n_toxic + n_clean)
     surprise = toxic * F.log(toxic / ((toxic + clean) * rate)) + F.when(clean > 0, clean * F.log(clean / ((toxic + clean) * (1 - rate)))).otherwise(0.0)
     ratio = ((toxic + 0.5) / (n_toxic + 1)) / ((clean + 0.5) / (n_clean + 1))
     found = counts.where((toxic >= 4) & (F.length("form") >= 3) & (ratio >= 12) & (2 * surprise >= 16)).select("form", surprise.alias("s"))
-    return [r.form for r in found.orderBy(F.desc("s"), "form").limit(MAX_TERMS).collect()]
+    return [r.form for r in found.orderBy(F.desc("s"), "form").collect()]
 
 
 def _lexicon(terms: list[str], forms: dict[str, tuple[int, int]], share: float, n_toxic: int, n_clean: int) -> Lexicon:
@@ -268,6 +293,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("int").alias("y"))
     picked = known.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(max_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("text")).join(F.broadcast(picked), "k")
+    # one text of an id, so that repeated ids leave the sample as small as it was asked for
+    rows = rows.groupBy("k").agg(F.first("y").alias("y"), F.min("text").alias("text"))
     sample = stage(rows.select(F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold"), "y", "text"), "toxic-sample")
     size = {(r.fold, r.y): r["count"] for r in sample.groupBy("fold", "y").count().collect()}
     n = [[size.get((f, y), 0) for y in (0, 1)] for f in (0, 1)]
@@ -338,11 +365,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1
     return score_documents(docs, model, {"doc_id": F.col("doc_id"), "held_out": crc_mod("doc_id", modulus) == held})
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose score is below the threshold.
 
-    A deployed filter learns from every label it has; rows are judged by their text only."""
-    rows = with_uid(docs)
-    scored = score_documents(rows, fit(docs, labels), {"__vf_k": F.col(UID)})
-    gone = stage(scored.where("predicted = 1").select("__vf_k"), "toxic-gone")
-    return decided(rows, gone, "left_anti").select(*(rows[c] for c in docs.columns))
+    A deployed filter learns from every label it has; rows are judged by their text only,
+    and each passes or goes in the one scan that scores it."""
+    keep = {f"__vf_{i}": docs[c] for i, c in enumerate(docs.columns)}
+    scored = score_documents(docs, fit(docs, labels), keep, text_col)
+    return scored.where("predicted = 0").select(*(F.col(f"__vf_{i}").alias(c) for i, c in enumerate(docs.columns)))

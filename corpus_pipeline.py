@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verifolio.llm import exact_dedup, mixing, near_copies, piece_transducer, toxicity
+from verifolio.llm import exact_dedup, mixing, piece_transducer, simhash, toxicity
 from verifolio.llm.common import drop_staged, stage
 from verifolio.session import ship, table
 
@@ -32,10 +32,10 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (Jaccard similarity of five-word shingles of
-    0.8 or more): the one with the smallest id."""
+    """One document of each group of near copies (SimHash candidates, then a Jaccard similarity
+    of five-word shingles of 0.8 or more): the one with the smallest id."""
     ship(spark)
-    return near_copies.drop_near_copies(docs)
+    return simhash.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", reject_toxic),
     ("exact dedup", drop_exact),
-    ("Jaccard near-dedup", drop_near),
+    ("SimHash near-dedup", drop_near),
     ("mixing sources to target weights", mix_sources),
     ("SentencePiece encoding and decoding", encode),
 ]

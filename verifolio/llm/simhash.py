@@ -20,7 +20,8 @@ tiles as above, within ``WIDE`` bits: at a similarity of 0.8 a bit differs with
 0.15, so 26 of 64 lie over five standard deviations out, and fewer than one link in 10^5 of
 those at the very threshold is lost. An exact check follows: parity bitmaps (1024 values, of
 which a set has an odd number of shingles; two sets differ by at least as many shingles as
-their bitmaps by bits) drop most pairs, and the sets of the others are compared.
+their bitmaps by bits) drop most pairs, in the tile where they meet, and the sets of the
+others are compared.
 
 A block's texts first meet one of them, in two rounds with another choice; what that links
 needs no further comparison among itself, so a group of n near copies takes about n
@@ -377,13 +378,14 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 def _near(radius: int, step: int = 512):
-    """Pairs (u, v) of nodes that are apart, of sizes that allow the similarity, and within
-    the radius; population counts that differ by more are skipped."""
+    """Pairs (u, v) of nodes that are apart, of sizes and parity bitmaps that allow the
+    similarity, and within the radius; population counts that differ by more are skipped."""
 
-    def pairs(fp, node, n, label):
+    def pairs(fp, node, n, label, *bits):
+        bits = np.stack(bits, 1).view(np.uint64)
         ones = np.bitwise_count(fp).astype(np.int16)
         order = np.argsort(ones, kind="stable")
-        fp, node, n, label, ones = fp[order], node[order], n[order].astype(np.int64), label[order], ones[order]
+        fp, node, n, label, ones, bits = fp[order], node[order], n[order].astype(np.int64), label[order], ones[order], bits[order]
         for a in range(0, len(fp), step):
             x, high = slice(a, a + step), ones[min(a + step, len(fp)) - 1]
             for b in range(a, len(fp), step):
@@ -394,6 +396,11 @@ def _near(radius: int, step: int = 512):
                 i, j = i + a, j + b
                 low, most = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
                 keep = (i < j) & (label[i] != label[j]) & (DENOMINATOR * low >= NUMERATOR * most)
+                i, j = i[keep], j[keep]
+                differ = np.zeros(len(i), np.int64)
+                for k in range(bits.shape[1]):
+                    differ += np.bitwise_count(bits[i, k] ^ bits[j, k])
+                keep = (DENOMINATOR + NUMERATOR) * differ <= (DENOMINATOR - NUMERATOR) * (n[i] + n[j])
                 if keep.any():
                     u, v = node[i[keep]], node[j[keep]]
                     yield np.minimum(u, v), np.maximum(u, v)
@@ -407,8 +414,8 @@ def _near(radius: int, step: int = 512):
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
 
-        for _, _, fp, node, n, label in _grouped(batches):
-            for found in pairs(fp.view(np.uint64), node, n, label):
+        for _, _, fp, node, n, label, *bits in _grouped(batches):
+            for found in pairs(fp.view(np.uint64), node, n, label, *bits):
                 held.append(found)
                 size += len(found[0])
                 if size > 1 << 18:
@@ -437,10 +444,14 @@ def similar_links(blocks: DataFrame, texts: DataFrame, heads: DataFrame, rounds:
         open_ = named.withColumns({"lo": F.min("label").over(same), "hi": F.max("label").over(same), "size": F.count(F.lit(1)).over(same)})
         apart = stage(open_.where("lo < hi and size > 2").select("h", "node", "n", "fp", "label"), "similar-apart")
         drop_staged(labels)
-    rows = _tile_pairs(apart.withColumnRenamed("h", "block").withColumn("ones", F.bit_count("fp")), tile, radius, ("node", "n", "label"))
+    longs = tuple(f"bits_{k}" for k in range(LONGS))
+    sketch = heads.select(F.col("node").alias("s_node"), *(F.col("bits")[k].alias(c) for k, c in enumerate(longs)))
+    tiled = apart.join(sketch, F.col("node") == F.col("s_node")).select(F.col("h").alias("block"), F.bit_count("fp").alias("ones"), "fp", "node", "n", "label", *longs)
+    tiled = stage(tiled, "similar-tiled")
+    rows = _tile_pairs(tiled, tile, radius, ("node", "n", "label", *longs))
     pairs = rows.repartition("pair").sortWithinPartitions("pair", "side").mapInArrow(_near(radius), "u long, v long")
     found = _similar(pairs, texts, heads)
-    drop_staged(apart)
+    drop_staged(apart, tiled)
     return found if every is None else every.unionByName(found)
 
 

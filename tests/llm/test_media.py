@@ -13,8 +13,96 @@ from verifolio.llm import media
 @settings(max_examples=150, deadline=None)
 @given(st.binary(max_size=3000))
 def test_payload_comes_back(text):
-    payload, frames = media.unpack_payload(media.pack_payload(text))
-    assert payload == text.ljust(max(1, -(-len(text) // 192)) * 192, b" ") and frames == 1
+    payload, frames, time, _ = media.unpack_payload(media.pack_payload(text))
+    assert payload == text.ljust(max(1, -(-len(text) // 192)) * 192, b" ") and (frames, time) == (1, 40)
+
+
+# --- A second decoder, by loops, to compare with ------------------------------------------
+
+
+def slow_lzw(data, bits):
+    clear, end = 1 << bits, (1 << bits) + 1
+    value, out = int.from_bytes(data, "little"), []
+    width, table, last = bits + 1, [], None
+    while True:
+        code, value = value & (1 << width) - 1, value >> width
+        if code == end:
+            return [x for s in out for x in s]
+        if code == clear:
+            width, table, last = bits + 1, [(i,) for i in range(clear)] + [(), ()], None
+            continue
+        entry = table[code] if code < len(table) else last + last[:1]
+        if last is not None and len(table) < 4096:
+            table.append(last + entry[:1])
+        if len(table) == 1 << width and width < 12:
+            width += 1
+        out.append(entry)
+        last = entry
+
+
+def slow_screens(data):
+    """Every frame's screen as rows of colours (None where nothing is), its size and delay."""
+    width, height = struct.unpack_from("<HH", data, 6)
+    palette, at = [tuple(data[13 + 3 * i : 16 + 3 * i]) for i in range(256)], 13 + 768
+    screen, out, control = [[None] * width for _ in range(height)], [], None
+    while data[at] != 0x3B:
+        if data[at] == 0x21:
+            control = (data[at + 3] >> 2 & 7, int.from_bytes(data[at + 4 : at + 6], "little") * 10, data[at + 6] if data[at + 3] & 1 else None)
+            at += 8
+            continue
+        left, top, w, h, _ = struct.unpack_from("<HHHHB", data, at + 1)
+        bits, at, body = data[at + 10], at + 11, b""
+        while data[at]:
+            body, at = body + data[at + 1 : at + 1 + data[at]], at + 1 + data[at]
+        at += 1
+        samples, before = slow_lzw(body, bits), [list(r) for r in screen]
+        for i, x in enumerate(samples):
+            if x != control[2]:
+                screen[top + i // w][left + i % w] = palette[x]
+        out.append(([list(r) for r in screen], w, h, control[1]))
+        if control[0] == 2:
+            for y in range(h):
+                screen[top + y][left : left + w] = [None] * w
+        elif control[0] == 3:
+            screen = before
+    return out
+
+
+@pytest.mark.parametrize("text", [b"", b"short", b"the same line again now " * 1500, bytes(i * 7 % 255 for i in range(40000)), b"\xff" + b"z" * 30000])
+def test_contract_columns_against_a_slow_decoder(text):
+    padded = text.ljust(max(1, -(-len(text) // 192)) * 192, b" ")
+    n_bytes, payload_bytes, sha, tail, media_bytes, media_sha, feature = media._payload_row(text)
+    stored = media.pack_payload(text)
+    screens = slow_screens(stored)
+    back = bytes(c[0] for rows, w, h, _ in screens for r in rows[:h] for c in r[:w])
+    assert back == padded and n_bytes == len(text) and payload_bytes == len(padded)
+    assert (sha, tail) == (hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
+    assert (media_bytes, media_sha) == (len(stored), hashlib.sha256(stored).hexdigest())
+    bins = [[0] * 16 for _ in range(3)]
+    for rows, *_ in screens:
+        for colour in (c for r in rows for c in r if c):
+            for k in range(3):
+                bins[k][colour[k] >> 4] += 1
+    shown = ";".join(f"{n}={','.join(map(str, b))}" for n, b in zip(("red", "green", "blue"), bins))
+    assert feature == f"frames={len(screens)};ms={40 * len(screens)};{shown}"
+    if text.startswith(b"the same"):
+        controls = [f.disposal for f in media.decode(stored)[2]]
+        assert controls[:3] == [1, 2, 3][: len(controls)] and any((f.indexes == 255).any() for f in media.decode(stored)[2][1:])
+
+
+def test_crafted_headers_are_bounded():
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b"\x3b"
+    with pytest.raises(ValueError):
+        media.decode(huge)
+    with pytest.raises(ValueError):
+        media.decode(gif(1, 1, PALETTE, struct.pack("<BHHHHB", 0x2C, 0, 0, 65535, 65535, 0) + b"\x02\x00"))
+
+
+def test_code_beyond_the_table():
+    codes = [256, 65, 300, 257]
+    stream = sum(c << 9 * i for i, c in enumerate(codes)).to_bytes(5, "little")
+    with pytest.raises(ValueError):
+        media.lzw_decode(stream, 8)
 
 
 @pytest.mark.parametrize("data", [b"ab" * 60000, bytes(200000), np.random.default_rng(1).integers(0, 256, 90000, np.uint8).tobytes()])
@@ -107,9 +195,9 @@ def test_interlaced_rows():
 
 
 def test_many_rows_go_on_in_further_frames(monkeypatch):
-    monkeypatch.setattr(media, "MAX_ROWS", 2)
-    payload, frames = media.unpack_payload(media.pack_payload(b"x" * 1000))
-    assert frames == 3 and payload == (b"x" * 1000).ljust(1152)
+    monkeypatch.setattr(media, "FRAME_ROWS", 2)
+    payload, frames, time, _ = media.unpack_payload(media.pack_payload(b"x" * 1000))
+    assert (frames, time) == (3, 120) and payload == (b"x" * 1000).ljust(1152)
 
 
 def test_damaged_streams(spark):

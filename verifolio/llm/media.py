@@ -1,17 +1,26 @@
 """GIF media columns: an LZW coder and decoder, a frame compositor and feature columns.
 
 ``decode`` reads a GIF stream whole: global and local palettes, interlacing, graphic
-control extensions (delay, transparency, disposal), and the NETSCAPE loop count. Frames
+control extensions (delay, transparency, disposal), and skips other extensions. Frames
 are composited on the logical screen under the disposal rules: 0 and 1 leave the frame,
 2 clears its rectangle, 3 restores what was there before.
 
-``encode`` writes 8-bit samples as indexed frames. The payload columns put any text into
-a GIF whose rows are 192 samples wide, and read it back through the decoder.
+LZW strings are decoded without a string table: the entry that a code adds is the output of
+the code before it with one more byte, so lengths and sources of all output bytes follow by
+pointer jumping over arrays.
+
+The payload columns store any text as a timed animation, 192 samples to a row and
+``FRAME_ROWS`` rows to a frame, and read it back from the composited screens. A sample is a
+palette index; the palette gives every index another colour. UTF-8 never holds byte 255,
+which is the transparent index: a sample that already stands on the screen is written as
+transparent. Disposals take turns (leave, clear, restore), so what is on the screen, and with
+it the payload, is right only under all of these rules. The feature is the number of frames,
+their time, and 16-bin histograms of the colours shown.
 
 Defined results: null and empty text are one row of blanks (192 bytes); equal texts give
-equal files and values; a text of more than 65,535 rows goes on in further frames; other
-columns are ignored. A damaged stream raises ``ValueError`` in ``decode`` and gives null
-columns in ``decode_columns``.
+equal files and values; other columns are ignored. Bytes that hold 255 are stored without
+transparency. A damaged stream, or one whose screen or frames ask for more than ``MAX_PIXELS``
+pixels, raises ``ValueError`` in ``decode`` and gives null columns in ``decode_columns``.
 """
 
 from __future__ import annotations
@@ -30,8 +39,15 @@ from pyspark.sql import functions as F
 from .common import append_columns, binaries
 
 WIDTH = 192
-MAX_ROWS = 65535
-GREY = bytes(v for i in range(256) for v in (i, i, i))
+#: Rows of a payload frame, time that it is shown, and disposals that take turns.
+FRAME_ROWS = 64
+DELAY_MS = 40
+DISPOSALS = (1, 2, 3)
+CLEAR_INDEX = 255
+MAX_PIXELS = 1 << 24
+#: A colour for each index: red tells it, green and blue vary with it.
+PALETTE = bytes(v for i in range(256) for v in (i, 255 - i, 37 * i & 255))
+_COLOURS = np.frombuffer(PALETTE, np.uint8).reshape(-1, 3)
 _LIMIT = 4096
 
 
@@ -105,72 +121,68 @@ def lzw_encode(samples: bytes, bits: int = 8) -> bytes:
     return _packed(array, widths)
 
 
+_ENDS: dict[int, np.ndarray] = {}
+
+
+def _expanded(codes: np.ndarray, first: int) -> np.ndarray:
+    """Samples of the codes between two clear codes; table entries begin at ``first``."""
+    m = len(codes)
+    # entry first + j was made of the string of code j and one more byte
+    source = np.where(codes >= first, codes - first, -1)
+    if (source >= np.arange(m)).any() or ((codes < first) & (codes >= first - 2)).any():
+        raise ValueError("a code that no table entry has")
+    size = np.append((source >= 0).astype(np.int64), 0)
+    at = np.append(np.where(source < 0, m, source), m)
+    while (at < m).any():
+        size = size + size[at]
+        at = at[at]
+    size = size[:m] + 1
+    begins = np.cumsum(size) - size
+    own = np.repeat(np.arange(m), size)
+    place = np.arange(len(own))
+    whence = np.where(source[own] >= 0, begins[source[own]] + place - begins[own], place)
+    while True:
+        further = whence[whence]
+        if np.array_equal(further, whence):
+            return codes[own[whence]].astype(np.uint8)
+        whence = further
+
+
 def lzw_decode(data: bytes, bits: int, expected: int | None = None) -> bytes:
     """Samples of a code stream; reading stops at the end code or after ``expected`` ones."""
     clear, end = 1 << bits, (1 << bits) + 1
     schedule = _schedule(bits)
-    stream = np.frombuffer(data + b"\0\0", np.uint8).astype(np.int64)
+    if bits not in _ENDS:
+        _ENDS[bits] = np.cumsum(schedule)
+    ends = _ENDS[bits]
+    stream = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
     total = 8 * len(data)
-    roots = [bytes((i,)) for i in range(clear)] + [b"", b""]
-    out: list[bytes] = []
-    put = out.append
+    out: list[np.ndarray] = []
     made, at, done = 0, 0, False
-    ends = np.cumsum(schedule)
-    masks = (1 << schedule) - 1
+
+    def read(begins: np.ndarray, widths: np.ndarray) -> np.ndarray:
+        first = begins >> 3
+        return (stream[first] | stream[first + 1] << 8 | stream[first + 2] << 16) >> (begins & 7) & (1 << widths) - 1
+
     while not done and at + bits + 1 <= total:
-        # the codes up to the next clear code have widths that are known beforehand
+        # the codes up to the next clear code have widths that are known beforehand; a table
+        # that stays full keeps them at 12 bits
         count = int(np.searchsorted(ends, total - at, side="right"))
-        late = count == len(schedule)
-        begins = at + ends[:count] - schedule[:count]
-        first = begins >> 3
-        codes = (stream[first] | stream[first + 1] << 8 | stream[first + 2] << 16) >> (begins & 7) & masks[:count]
+        codes = read(at + ends[:count] - schedule[:count], schedule[:count])
         stop = np.nonzero((codes == clear) | (codes == end))[0]
-        size = int(stop[0]) if len(stop) else count
-        table = roots[:]
-        grow = table.append
-        before = b""
-        begun = len(out)
-        following = len(table)
-        for code in codes[:size].tolist():
-            if code < following:
-                entry = table[code]
-                if before and following < _LIMIT:
-                    grow(before + entry[:1])
-                    following += 1
-            elif code == following < _LIMIT and before:
-                entry = before + before[:1]
-                grow(entry)
-                following += 1
-            else:
-                raise ValueError("a code that no table entry has")
-            put(entry)
-            before = entry
-        made += sum(map(len, out[begun:]))
-        if expected is not None and made >= expected:
-            break
-        if len(stop):
-            at += int(ends[size])
-            done = int(codes[size]) == end
-        elif late:
-            # a deferred clear code: the table stays full and codes keep 12 bits
-            at += int(ends[count - 1])
-            while at + 12 <= total:
-                i = at >> 3
-                code = int(stream[i] | stream[i + 1] << 8 | stream[i + 2] << 16) >> (at & 7) & 4095
-                at += 12
-                if code in (clear, end):
-                    done = code == end
-                    break
-                if code >= len(table):
-                    raise ValueError("a code that no table entry has")
-                put(table[code])
-                made += len(table[code])
-                if expected is not None and made >= expected:
-                    done = True
-                    break
-        else:
+        if not len(stop) and count == len(schedule):
+            more = (total - at - int(ends[-1])) // 12
+            codes = np.concatenate([codes, read(at + int(ends[-1]) + 12 * np.arange(more), np.full(more, 12))])
+            stop = np.nonzero((codes == clear) | (codes == end))[0]
+        size = int(stop[0]) if len(stop) else len(codes)
+        if size:
+            out.append(_expanded(codes[:size], end + 1))
+            made += len(out[-1])
+        if not len(stop) or (expected is not None and made >= expected):
             break
-    found = b"".join(out)
+        at += int(ends[size]) if size < len(ends) else int(ends[-1]) + 12 * (size + 1 - len(ends))
+        done = int(codes[size]) == end
+    found = b"".join(x.tobytes() for x in out)
     return found if expected is None else found[:expected]
 
 
@@ -190,14 +202,27 @@ class Frame:
     transparent: int | None
 
 
-def encode(frames: list[np.ndarray], palette: bytes = GREY, delay_ms: int = 0) -> bytes:
-    """Frames of 8-bit indexes, all on one screen, as a GIF89a stream."""
+def encode(frames: list[np.ndarray], delay_ms: int = DELAY_MS) -> bytes:
+    """Frames of 8-bit samples (rows of one width) as a timed GIF89a animation, from whose
+    composited screens they can be read back."""
     height, width = max(f.shape[0] for f in frames), max(f.shape[1] for f in frames)
-    out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), palette]
-    for frame in frames:
-        out.append(struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 4, delay_ms // 10, 0, 0))
-        out.append(struct.pack("<BHHHHB", 0x2C, 0, 0, frame.shape[1], frame.shape[0], 0))
-        out.append(b"\x08" + _blocks(lzw_encode(np.ascontiguousarray(frame, np.uint8).tobytes())))
+    out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), PALETTE]
+    transparent = not any((f == CLEAR_INDEX).any() for f in frames)
+    screen = np.full((height, width), -1, np.int16) if len(frames) > 1 else None
+    for k, frame in enumerate(frames):
+        disposal, (h, w) = DISPOSALS[k % len(DISPOSALS)], frame.shape
+        written = frame
+        if screen is not None:
+            before = screen[:h, :w].copy()
+            if transparent:
+                written = np.where(before == frame, CLEAR_INDEX, frame)
+            if disposal == 1:
+                screen[:h, :w] = frame
+            elif disposal == 2:
+                screen[:h, :w] = -1
+        out.append(struct.pack("<BBBBHBB", 0x21, 0xF9, 4, disposal << 2 | transparent, delay_ms // 10, CLEAR_INDEX if transparent else 0, 0))
+        out.append(struct.pack("<BHHHHB", 0x2C, 0, 0, w, h, 0))
+        out.append(b"\x08" + _blocks(lzw_encode(np.ascontiguousarray(written, np.uint8).tobytes())))
     return b"".join(out) + b"\x3b"
 
 
@@ -207,25 +232,38 @@ def _rows_of(height: int, interlaced: bool) -> np.ndarray:
     return np.concatenate([np.arange(start, height, step) for start, step in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
-def decode(data: bytes, composite: bool = True) -> tuple[int, int, list[Frame]]:
-    """Width, height and frames of a GIF stream. Without ``composite`` only the samples are kept."""
+def decode(data: bytes) -> tuple[int, int, list[Frame]]:
+    """Width, height and composited frames of a GIF stream."""
+    width, height, frames = frames_of(data)
+    return width, height, list(frames)
+
+
+def frames_of(data: bytes) -> tuple[int, int, Iterator[Frame]]:
+    """Width and height, and the frames one by one, so that only one screen is held."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("no GIF signature")
-    try:
-        return _decode(data, composite)
-    except (IndexError, struct.error) as error:
-        raise ValueError("the stream ends early") from error
+    if len(data) < 13:
+        raise ValueError("the stream ends early")
+    width, height = struct.unpack_from("<HH", data, 6)
+    if width * height > MAX_PIXELS:
+        raise ValueError("the screen is too large")
 
+    def run() -> Iterator[Frame]:
+        try:
+            yield from _frames(data, width, height)
+        except (IndexError, struct.error) as error:
+            raise ValueError("the stream ends early") from error
+
+    return width, height, run()
 
-def _decode(data: bytes, composite: bool) -> tuple[int, int, list[Frame]]:
-    width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
-    at = 13
+
+def _frames(data: bytes, width: int, height: int) -> Iterator[Frame]:
+    flags, at = data[10], 13
     shared = None
     if flags & 0x80:
         size = 3 << ((flags & 7) + 1)
         shared, at = data[at : at + size], at + size
-    canvas = np.zeros((height, width, 4), np.uint8) if composite else None
-    frames: list[Frame] = []
+    canvas = np.zeros((height, width, 4), np.uint8)
     delay, disposal, clear_index = 0, 0, None
 
     def chained(at: int) -> tuple[bytes, int]:
@@ -238,7 +276,7 @@ def _decode(data: bytes, composite: bool) -> tuple[int, int, list[Frame]]:
     while True:
         kind = data[at]
         if kind == 0x3B:
-            return width, height, frames
+            return
         if kind == 0x21:
             label = data[at + 1]
             body, at = chained(at + 2)
@@ -249,6 +287,8 @@ def _decode(data: bytes, composite: bool) -> tuple[int, int, list[Frame]]:
         if kind != 0x2C:
             raise ValueError("an unknown block")
         left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at + 1)
+        if w * h > MAX_PIXELS:
+            raise ValueError("a frame is too large")
         at += 10
         palette = shared
         if flags & 0x80:
@@ -263,24 +303,26 @@ def _decode(data: bytes, composite: bool) -> tuple[int, int, list[Frame]]:
             raise ValueError("too few samples")
         indexes = np.empty((h, w), np.uint8)
         indexes[_rows_of(h, bool(flags & 0x40))] = np.frombuffer(samples, np.uint8).reshape(h, w)
-        shown = canvas
-        if composite:
-            if palette is None:
-                raise ValueError("no palette")
-            colours = np.zeros((256, 4), np.uint8)
-            table = np.frombuffer(palette, np.uint8).reshape(-1, 3)
-            colours[: len(table), :3], colours[:, 3] = table, 255
-            before = canvas.copy() if disposal == 3 else None
-            region = canvas[top : top + h, left : left + w]
-            part = indexes[: region.shape[0], : region.shape[1]]
-            drawn = np.ones(part.shape, bool) if clear_index is None else part != clear_index
+        if palette is None:
+            raise ValueError("no palette")
+        colours = np.zeros((256, 4), np.uint8)
+        table = np.frombuffer(palette, np.uint8).reshape(-1, 3)
+        colours[: len(table), :3], colours[:, 3] = table, 255
+        before = canvas.copy() if disposal == 3 else None
+        region = canvas[top : top + h, left : left + w]
+        part = indexes[: region.shape[0], : region.shape[1]]
+        if clear_index is None or not (drawn := part != clear_index).any():
+            if clear_index is None:
+                region[:] = colours[part]
+        elif drawn.all():
+            region[:] = colours[part]
+        else:
             region[drawn] = colours[part[drawn]]
-            shown = canvas.copy()
-            if disposal == 2:
-                region[:] = 0
-            elif disposal == 3:
-                canvas = before
-        frames.append(Frame(shown, indexes, delay, disposal, clear_index))
+        yield Frame(canvas.copy(), indexes, delay, disposal, clear_index)
+        if disposal == 2:
+            region[:] = 0
+        elif disposal == 3:
+            canvas = before
         delay, disposal, clear_index = 0, 0, None
 
 
@@ -288,13 +330,22 @@ def pack_payload(text: bytes) -> bytes:
     """The text, padded with blanks to a positive multiple of the row width, as a GIF."""
     padded = text.ljust(max(1, -(-len(text) // WIDTH)) * WIDTH, b" ")
     rows = np.frombuffer(padded, np.uint8).reshape(-1, WIDTH)
-    return encode([rows[i : i + MAX_ROWS] for i in range(0, len(rows), MAX_ROWS)])
+    return encode([rows[i : i + FRAME_ROWS] for i in range(0, len(rows), FRAME_ROWS)])
 
 
-def unpack_payload(data: bytes) -> tuple[bytes, int]:
-    """The samples of all frames, in order, and how many frames there are."""
-    _, _, frames = decode(data, composite=False)
-    return b"".join(f.indexes.tobytes() for f in frames), len(frames)
+def unpack_payload(data: bytes) -> tuple[bytes, int, int, list[list[int]]]:
+    """The samples that the screens show, in order, the number of frames, their time, and
+    histograms of the shown colours. A frame's own rows are those of the screen that it covers."""
+    samples, count, time = [], 0, 0
+    kinds = np.zeros(256, np.int64)
+    for frame in frames_of(data)[2]:
+        h, w = frame.indexes.shape
+        red = np.ascontiguousarray(frame.rgba[:h, :w, 0])
+        samples.append(red.tobytes())
+        shown = frame.rgba[..., 3] > 0
+        kinds += np.bincount(red.ravel() if shown.all() and shown.shape == red.shape else frame.rgba[..., 0][shown], minlength=256)
+        count, time = count + 1, time + frame.delay_ms
+    return b"".join(samples), count, time, [np.bincount(_COLOURS[:, c] >> 4, kinds, 16).astype(np.int64).tolist() for c in range(3)]
 
 
 def histogram(samples: np.ndarray, bins: int = 16) -> list[int]:
@@ -307,8 +358,7 @@ _PAYLOAD = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32
 
 def _payload_row(text: bytes) -> tuple:
     media = pack_payload(text)
-    payload, frames = unpack_payload(media)
-    counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256).reshape(16, 16).sum(1).tolist()
+    payload, frames, time, colours = unpack_payload(media)
     return (
         len(text),
         len(payload),
@@ -316,7 +366,7 @@ def _payload_row(text: bytes) -> tuple:
         zlib.crc32(payload[-16:]),
         len(media),
         hashlib.sha256(media).hexdigest(),
-        f"frames={frames};rows={len(payload) // WIDTH};histogram={','.join(map(str, counts))}",
+        f"frames={frames};ms={time};" + ";".join(f"{name}={','.join(map(str, c))}" for name, c in zip(("red", "green", "blue"), colours)),
     )
 
 
@@ -337,7 +387,7 @@ def decode_columns(media: DataFrame, id_col: str, data_col: str) -> DataFrame:
     gives one row with null frame columns."""
     names = [x.split(" ", 1)[0] for x in FRAME_COLUMNS.split(", ")]
 
-    def frames_of(data: bytes | None) -> list[dict]:
+    def rows_of(data: bytes | None) -> list[dict]:
         try:
             w, h, frames = decode(data or b"")
         except ValueError:
@@ -351,7 +401,7 @@ def decode_columns(media: DataFrame, id_col: str, data_col: str) -> DataFrame:
         return out
 
     fields = ", ".join(f"{a}: {b}" for a, b in (x.split(" ", 1) for x in FRAME_COLUMNS.split(", ")))
-    nested = append_columns(media, {"id": F.col(id_col)}, F.col(data_col), f"frames array<struct<{fields}>>", lambda: lambda data: [[frames_of(x) for x in data.to_pylist()]])
+    nested = append_columns(media, {"id": F.col(id_col)}, F.col(data_col), f"frames array<struct<{fields}>>", lambda: lambda data: [[rows_of(x) for x in data.to_pylist()]])
     return nested.select("id", F.explode("frames").alias("f")).select("id", "f.*")
 
 

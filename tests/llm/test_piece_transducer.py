@@ -57,9 +57,36 @@ def test_rules_rewrite_before_pieces():
     assert model.decode(model.encode("ﬁx the ﬁeld")) == "fox the field"
 
 
+@pytest.mark.parametrize("rule, extra, prefix", [("nfkc", True, True), ("nmt_nfkc_cf", True, True), ("nfkc", False, False), ("nmt_nfkc", False, True)])
+def test_character_maps_as_the_library(rule, extra, prefix):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    made = pb.ModelProto.FromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    proto = pb.ModelProto.FromString(RAW)
+    proto.normalizer_spec.CopyFrom(made.normalizer_spec)
+    proto.normalizer_spec.add_dummy_prefix, proto.normalizer_spec.remove_extra_whitespaces, proto.normalizer_spec.escape_whitespaces = prefix, extra, True
+    raw = proto.SerializeToString()
+    model, library = PieceTransducer(raw), sentencepiece.SentencePieceProcessor(model_proto=raw)
+    for text in ("ﬁeld  ｶﾞ x²", "  ①②③ Ａ Ｂ  ", "e\u0301\u00a0\u00a0 Ǆ", "\u3000全角　スペース ", "plain words", "ﷺ", "\t a\r\nb", " ", "½ ẛ̣ K Å"):
+        assert model.encode(text) == library.encode(text), text
+
+
+def test_ids_outside_the_model():
+    assert MODEL.decode([-1, 40000, *MODEL.encode("still there"), 1 << 30]) == "still there"
+
+
+def test_all_documents_as_the_library():
+    """Every text of the larger folder, whose pieces the library tells."""
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    assert [MODEL.encode(t) for t in texts] == LIBRARY.encode(texts, num_threads=1)
+
+
 def test_caches_change_nothing(monkeypatch):
     small = PieceTransducer(RAW)
-    monkeypatch.setattr(piece_transducer, "_WORDS_HELD", 3)
+    monkeypatch.setattr(piece_transducer, "_WORD_BYTES", 900)
+    monkeypatch.setattr(piece_transducer, "_WORD_COST", 1)
     monkeypatch.setattr(piece_transducer, "_PAIRS_HELD", 5)
     text = "several words that push one another out of a small cache, several words again"
     assert [small.encode(text) for _ in range(3)] == [LIBRARY.encode(text)] * 3

@@ -1,28 +1,34 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Three transducers are compiled from a model and composed lazily with each input:
-
-* the normaliser: optional rewriting rules (leftmost, longest), blanks to U+2581, the
-  dummy prefix, and removal of extra blanks, as the model asks;
-* the pieces: one path per piece over its characters, giving its id;
-* byte fallback: a character without a piece gives its UTF-8 bytes' ids (or ``<unk>``).
-
-The result is the shortest path in the tropical semiring. For a unigram model an arc
-weighs minus its piece's score. For a BPE model the weights say which pieces may follow
-each other: states remember the last piece, and a pair weighs 0 if merging its two pieces'
-text gives that very pair, else infinity. A sequence all of whose neighbours are allowed
-is the merge result of the whole text, and there is only one, so the one finite path is
-what the merge procedure gives; as all finite weights are equal, a last-in-first-out
-queue finds it, trying the longest piece first.
-
-Where no piece holds U+2581 after another character, merges cannot cross a blank, and
-each word is composed by itself; the same goes for line ends that no piece holds. Words
-seen before are looked up, up to a bound.
+Machines are compiled from a model as states and arcs, and composed lazily with each input:
+
+* the normaliser (``Rewriter``): the model's character map, or rules that are given, as a trie
+  whose final states emit their replacement (leftmost, longest), an arc that copies any other
+  character, and two states that tell blanks after a blank, where extra ones are removed; then
+  the dummy prefix, and U+2581 for blanks;
+* the pieces (``PieceMachine``): the pieces' trie; a final state gives the piece and returns;
+* byte fallback: an arc for a character without a piece, which gives its bytes' ids (or
+  ``<unk>``);
+* for BPE models, the pair acceptor: its states are pieces, and the arc from one to the next
+  weighs 0 if merging the text of both gives that very pair, else infinity. Arcs are made when
+  they are first taken.
+
+The result is the shortest path through the composition in the tropical semiring: states are
+relaxed from a queue until the final one has its least weight. For a unigram model a piece
+weighs minus its score, a state is a place, and places leave the queue in order. For a BPE
+model a state is a place with the last piece. A sequence whose neighbours are all allowed is
+the merge result of the whole text, and there is only one, so the one path of finite weight is
+what merging gives. Finite weights are all 0, the least there is: the queue is last in, first
+out, longest piece first, and ends at the first final state.
+
+Where no piece holds U+2581 after another character, no merge crosses a blank, so the machine
+is in its start state there and each word is composed by itself; the same goes for line ends
+that no piece holds. Paths of words seen before are looked up, up to a bound in bytes.
 
 Defined results: null and empty text give no pieces; decoding gives the normalised text
-back exactly, the text itself unless it holds U+2581 or the model rewrites; ids that
-are not text pieces decode to nothing. Models with user-defined pieces or a compiled
-character map raise ``ValueError``; the map can be given as rules.
+back exactly, the text itself unless it holds U+2581 or the model rewrites; ids that are not
+text pieces, or no ids of the model, decode to nothing. Models with user-defined pieces, or
+with blanks behind words, raise ``ValueError``.
 """
 
 from __future__ import annotations
@@ -38,7 +44,9 @@ from pyspark.sql import functions as F
 from .common import append_columns, worker_cache
 
 BLANK = "▁"
-_WORDS_HELD = 180_000
+#: Bytes of looked-up words (twice: older and newer ones), and pairs, that a worker holds.
+_WORD_BYTES = 48 << 20
+_WORD_COST = 160
 _PAIRS_HELD = 300_000
 #: Beyond the worst score of a model, as the library weighs unknown characters.
 _UNKNOWN = 10.0
@@ -51,74 +59,116 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-class PieceTransducer:
-    def __init__(self, model: bytes, rules: dict[str, str] | None = None):
-        from sentencepiece import sentencepiece_model_pb2
-
-        proto = sentencepiece_model_pb2.ModelProto.FromString(model)
-        kinds = proto.SentencePiece
-        spec = proto.normalizer_spec
-        if spec.precompiled_charsmap and rules is None:
-            raise ValueError("give the model's character map as rules")
-        if any(p.type == kinds.USER_DEFINED for p in proto.pieces):
-            raise ValueError("user-defined pieces are not supported")
-        self.unigram = proto.trainer_spec.model_type == proto.trainer_spec.UNIGRAM
-        self.prefix, self.extra, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
-        self.rules = dict(rules or {})
-        self._rule = re.compile("|".join(map(re.escape, sorted(self.rules, key=lambda x: (-len(x), x))))) if rules else None
-        self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == kinds.NORMAL}
-        self.scores = {p.piece: p.score for p in proto.pieces if p.type == kinds.NORMAL}
-        self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == kinds.UNKNOWN)
-        self.worst = min(self.scores.values(), default=0.0) - _UNKNOWN
-        self.bytes_of = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == kinds.BYTE}
-        self.surface = [b""] * len(proto.pieces)
-        for piece, i in self.ids.items():
-            self.surface[i] = piece.replace(BLANK, " ").encode()
-        for value, i in self.bytes_of.items():
-            self.surface[i] = bytes((value,))
-        self.surface[self.unknown] = proto.trainer_spec.unk_surface.encode()
-        # the trie of the pieces, as prefixes: a text that is no prefix ends the arcs from a place
-        self.starts = {piece[:k] for piece in self.ids for k in range(1, len(piece) + 1)}
-        inner = any(BLANK in piece.lstrip(BLANK) for piece in self.ids) or not self.escape
-        line = any("\n" in piece for piece in self.ids)
-        self.words = re.compile("(?s).+" if inner else f"{BLANK}*[^{BLANK}]+|{BLANK}+" if line else f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.pairs: dict[int, bool] = {}
-
-    def normalise(self, text: str) -> str:
-        if self._rule:
-            text = self._rule.sub(lambda m: self.rules[m[0]], text)
+def character_map(compiled: bytes) -> dict[str, str]:
+    """The rules of a compiled character map: a double array of 32-bit units, whose leaves
+    give places in a list of replacements."""
+    size = int.from_bytes(compiled[:4], "little")
+    units = np.frombuffer(compiled[4 : 4 + size], np.uint32).astype(np.int64)
+    texts = compiled[4 + size :]
+    labels = units & 0x800000FF
+    bytes_ = np.arange(1, 256)
+
+    def offset(unit: int) -> int:
+        return unit >> 10 << ((unit & 0x200) >> 6)
+
+    rules: dict[str, str] = {}
+    todo = [(offset(int(units[0])), b"")]
+    while todo:
+        at, key = todo.pop()
+        near = at ^ bytes_
+        near = np.where(near < len(units), near, 0)
+        for byte in bytes_[labels[near] == bytes_].tolist():
+            unit = int(units[at ^ byte])
+            below = at ^ byte ^ offset(unit)
+            if unit >> 8 & 1:
+                start = int(units[below]) & 0x7FFFFFFF
+                rules[(key + bytes((byte,))).decode()] = texts[start : texts.index(b"\0", start)].decode()
+            todo.append((below, key + bytes((byte,))))
+    return rules
+
+
+class Trie:
+    """States by character arcs; ``final`` has what a state accepts, or None."""
+
+    def __init__(self, entries):
+        self.arcs: list[dict[str, int]] = [{}]
+        self.final: list = [None]
+        for text, value in entries:
+            state = 0
+            for char in text:
+                state = self._child(state, char)
+            self.final[state] = value
+
+    def _child(self, state: int, char: str) -> int:
+        to = self.arcs[state].get(char)
+        if to is None:
+            to = self.arcs[state][char] = len(self.arcs)
+            self.arcs.append({})
+            self.final.append(None)
+        return to
+
+
+class Rewriter:
+    """The normaliser: rewriting rules, then blanks."""
+
+    def __init__(self, rules: dict[str, str], prefix: bool, extra: bool, escape: bool):
+        self.trie, self.prefix, self.extra, self.escape = Trie(rules.items()), prefix, extra, escape
+        self.copies = not rules
+
+    def rewritten(self, text: str) -> str:
+        """The path of the rules' transducer; its default arc copies a character."""
+        if self.copies:
+            return text
+        arcs, final, out, at, n = self.trie.arcs, self.trie.final, [], 0, len(text)
+        while at < n:
+            state, to, end, made = 0, at, at + 1, text[at]
+            while to < n and (state := arcs[state].get(text[to], 0)):
+                to += 1
+                if final[state] is not None:
+                    end, made = to, final[state]
+            out.append(made)
+            at = end
+        return "".join(out)
+
+    def __call__(self, text: str) -> str:
+        text = self.rewritten(text)
         if self.extra:
-            text = re.sub(" +", " ", text).strip(" ")
+            # one state after a blank (or at the start) drops blanks, the other keeps one
+            text = " ".join(x for x in text.split(" ") if x)
         if text and self.prefix:
             text = " " + text
         return text.replace(" ", BLANK) if self.escape else text
 
-    def _arcs(self, text: str, at: int) -> list[str]:
-        """The pieces that begin at a place, shortest first; else the character itself."""
-        found, end = [], at + 1
-        while end <= len(text) and (part := text[at:end]) in self.starts:
-            if part in self.ids:
-                found.append(part)
-            end += 1
-        if not found or len(found[0]) > 1:
-            found.insert(0, text[at])
+
+class PieceMachine:
+    """Pieces with byte fallback, and the shortest path of a text through them.
+
+    A piece is numbered by its id plus 1, another character behind all ids, the start by 0."""
+
+    def __init__(self, scores: dict[str, float], ids: dict[str, int], size: int, unigram: bool):
+        self.scores, self.unigram, self.behind = scores, unigram, size + 1
+        self.trie = Trie((piece, i + 1) for piece, i in ids.items())
+        self.text = {i + 1: piece for piece, i in ids.items()}
+        self.worst = min(scores.values(), default=0.0) - _UNKNOWN
+        self.pairs: dict[int, bool] = {}
+
+    def arcs(self, text: str, at: int) -> list[tuple[int, int]]:
+        """(place reached, piece) of the arcs from a place, shortest first; the character
+        itself where no piece is as short."""
+        steps, final, found, state, to = self.trie.arcs, self.trie.final, [], 0, at
+        for char in text[at:]:
+            state = steps[state].get(char)
+            if state is None:
+                break
+            to += 1
+            if (piece := final[state]) is not None:
+                found.append((to, piece))
+        if not found or found[0][0] > at + 1:
+            found.insert(0, (at + 1, self.behind + ord(text[at])))
         return found
 
-    def _emit(self, path: list[str]) -> list[int]:
-        out: list[int] = []
-        for part in path:
-            if (i := self.ids.get(part)) is not None:
-                out.append(i)
-            elif self.bytes_of:
-                out.extend(self.bytes_of[b] for b in part.encode("utf-8", "surrogatepass"))
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)
-        return out
+    def spelled(self, piece: int) -> str:
+        return self.text[piece] if piece < self.behind else chr(piece - self.behind)
 
     def merged(self, text: str) -> list[str]:
         """Merging by best score, leftmost first; used on a pair of pieces."""
@@ -134,76 +184,123 @@ class PieceTransducer:
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
         return parts
 
-    def _allowed(self, left: str, right: str, key: int) -> bool:
-        """Whether the pair weighs 0; an empty left stands for the start."""
+    def allowed(self, last: int, piece: int) -> bool:
+        """Makes the pair acceptor's arc: whether it weighs 0."""
         if len(self.pairs) > _PAIRS_HELD:
             self.pairs.clear()
-        found = self.pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
+        right = self.spelled(piece)
+        left = self.spelled(last) if last else ""
+        found = self.pairs[last << 22 | piece] = self.merged(left + right) == ([left, right] if left else [right])
         return found
 
-    def _only_path(self, text: str) -> list[str]:
-        """The path of finite weight: states are (place, last piece). A piece is numbered
-        by its id, another character behind all ids, the start by 0."""
-        n, path = len(text), []
-        ids, pairs, behind = self.ids.get, self.pairs.get, len(self.surface)
-        queue = [(0, "", 0, self._arcs(text, 0))]
-        dead: set[tuple[int, str]] = set()
+    def shortest(self, text: str) -> list[int]:
+        """The pieces on the path of least weight."""
+        return self._by_places(text) if self.unigram else self._by_pairs(text)
+
+    def _by_pairs(self, text: str) -> list[int]:
+        """States (place, last piece), last in, first out; weights are 0 or infinite."""
+        n, pairs, arcs, path = len(text), self.pairs.get, self.arcs, []
+        queue = [(0, 0, arcs(text, 0))]
+        done: set[tuple[int, int]] = set()
         while queue:
-            at, last, number, arcs = queue[-1]
-            moved = False
-            while arcs:
-                part = arcs.pop()
-                own = ids(part)
-                own = behind + ord(part) if own is None else own + 1
-                key = number << 22 | own
-                allowed = pairs(key)
-                if allowed is None:
-                    allowed = self._allowed(last, part, key)
-                to = at + len(part)
-                if allowed and not (dead and (to, part) in dead):
-                    path.append(part)
+            at, last, left = queue[-1]
+            while left:
+                to, piece = left.pop()
+                weightless = pairs(last << 22 | piece)
+                if weightless is None:
+                    weightless = self.allowed(last, piece)
+                if weightless and (not done or (to, piece) not in done):
+                    path.append(piece)
                     if to == n:
                         return path
-                    queue.append((to, part, own, self._arcs(text, to)))
-                    moved = True
+                    queue.append((to, piece, arcs(text, to)))
                     break
-            if not moved:
+            else:
+                # no path of finite weight leads on from here
                 queue.pop()
-                dead.add((at, last))
+                done.add((at, last))
                 if path:
                     path.pop()
         raise AssertionError("merging always has a result")
 
-    def _cheapest_path(self, text: str) -> list[str]:
-        """The path of least weight: places are the states, taken in order."""
+    def _by_places(self, text: str) -> list[int]:
+        """States are places, which leave the queue in order; weights are minus the scores."""
         n = len(text)
-        cost = [0.0] + [float("inf")] * n
-        back = [0] * (n + 1)
+        cost, back = [0.0] + [float("inf")] * n, [(0, 0)] * (n + 1)
         for at in range(n):
-            for part in self._arcs(text, at):
-                to, weight = at + len(part), cost[at] - self.scores.get(part, self.worst)
+            for to, piece in self.arcs(text, at):
+                weight = cost[at] - (self.scores[self.text[piece]] if piece < self.behind else self.worst)
                 if weight < cost[to]:
-                    cost[to], back[to] = weight, at
+                    cost[to], back[to] = weight, (at, piece)
         path, at = [], n
         while at:
-            path.append(text[back[at] : at])
-            at = back[at]
+            at, piece = back[at]
+            path.append(piece)
         return path[::-1]
 
+
+class PieceTransducer:
+    """The composition, with what it emits and the way back."""
+
+    def __init__(self, model: bytes, rules: dict[str, str] | None = None):
+        from sentencepiece import sentencepiece_model_pb2
+
+        proto = sentencepiece_model_pb2.ModelProto.FromString(model)
+        kinds, spec = proto.SentencePiece, proto.normalizer_spec
+        if any(p.type == kinds.USER_DEFINED for p in proto.pieces):
+            raise ValueError("user-defined pieces are not supported")
+        if proto.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("blanks behind words are not supported")
+        if rules is None and spec.precompiled_charsmap:
+            rules = character_map(spec.precompiled_charsmap)
+        self.prefix = spec.add_dummy_prefix
+        self.normalise = Rewriter(rules or {}, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces)
+        ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == kinds.NORMAL}
+        scores = {p.piece: p.score for p in proto.pieces if p.type == kinds.NORMAL}
+        self.machine = PieceMachine(scores, ids, len(proto.pieces), proto.trainer_spec.model_type == proto.trainer_spec.UNIGRAM)
+        self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == kinds.UNKNOWN)
+        self.bytes_of = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == kinds.BYTE}
+        self.surface = [b""] * len(proto.pieces)
+        for piece, i in ids.items():
+            self.surface[i] = piece.replace(BLANK, " ").encode()
+        for value, i in self.bytes_of.items():
+            self.surface[i] = bytes((value,))
+        self.surface[self.unknown] = proto.trainer_spec.unk_surface.encode()
+        inner = any(BLANK in piece.lstrip(BLANK) for piece in ids) or not spec.escape_whitespaces
+        line = any("\n" in piece for piece in ids)
+        self.words = re.compile("(?s).+" if inner else f"{BLANK}*[^{BLANK}]+|{BLANK}+" if line else f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+
+    def _emit(self, path: list[int]) -> list[int]:
+        out: list[int] = []
+        behind = self.machine.behind
+        for piece in path:
+            if piece < behind:
+                out.append(piece - 1)
+            elif self.bytes_of:
+                out.extend(self.bytes_of[b] for b in chr(piece - behind).encode("utf-8", "surrogatepass"))
+            elif not out or out[-1] != self.unknown:
+                out.append(self.unknown)
+        return out
+
     def _word(self, word: str) -> bytes:
         """The ids of a word, four bytes each."""
         found = self.older.get(word)
         if found is None:
-            ids = self._emit(self._cheapest_path(word) if self.unigram else self._only_path(word))
-            found = np.array(ids, np.int32).tobytes()
-        self.known[word] = found
+            found = np.array(self._emit(self.machine.shortest(word)), np.int32).tobytes()
+        cost = _WORD_COST + 5 * len(word)
+        if cost < _WORD_BYTES >> 6:
+            self.known[word] = found
+            self.held += cost
         return found
 
     def encode_array(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        if len(self.known) > _WORDS_HELD:
-            self.older, self.known = self.known, {}
+        if self.held > _WORD_BYTES:
+            self.older, self.known, self.held = self.known, {}, 0
         known, make = self.known.get, self._word
         return np.frombuffer(b"".join([known(w) or make(w) for w in self.words.findall(self.normalise(text))]), np.int32)
 
@@ -211,6 +308,11 @@ class PieceTransducer:
         return self.encode_array(text).tolist()
 
     def decode(self, ids: list[int]) -> str:
+        n = len(self.surface)
+        return self.spelled([i for i in ids if 0 <= i < n])
+
+    def spelled(self, ids: list[int]) -> str:
+        """The text of ids that are all ids of the model."""
         text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
@@ -242,7 +344,7 @@ def encode_documents(docs: DataFrame, keep: dict[str, Column], text_col: str = "
         def of(texts: pa.Array) -> list:
             values = [x or "" for x in texts.to_pylist()]
             ids = [model.encode_array(x) for x in values]
-            decoded = [model.decode(x.tolist()) for x in ids]
+            decoded = [model.spelled(x.tolist()) for x in ids]
             sizes = list(map(len, ids))
             offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))

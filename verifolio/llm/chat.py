@@ -5,18 +5,22 @@ assistant and every other speaker a named user. System turns belong to nobody an
 system turns. The mask says which characters are trained on: the assistant's texts with
 their end marks. It is a list of runs, ``1:n`` trained and ``0:n`` not, over the rendering.
 
-A conversation is rendered in segments of ``SEGMENT`` consecutive turn numbers, so a task
-holds one segment at most, however long a conversation is; segments of a perspective put
-together in order are the whole rendering, and so are their masks. Only DataFrame
-expressions are used. Turns are pre-aggregated before the shuffle, so repeated rows meet
-as one; participants are found by partial aggregation, and joined to segments by
-conversation, which AQE splits where one conversation is hot.
+A conversation is one row for each participant. One that goes on beyond ``SEGMENT`` turn
+numbers continues in further rows, so that no task ever holds a dialogue without bound;
+put together in order they are the whole rendering, and so are their masks. Only DataFrame
+expressions are used. Equal turns are counted before the shuffle and rendered as often as
+they occur; participants are found by partial aggregation, and joined by conversation, which
+AQE splits where one conversation is hot. A conversation of p participants is written p
+times: that is the method, and its output grows with p.
 
-Defined results: a null role is a speaker named ``unknown``; null text is empty; null turn
-numbers come first, as turn -1; equal turn numbers go by role, then text; identical rows
-count once; rows without a conversation id are one conversation of their own (null id); a
-conversation of system turns only has no participant and so no row; an empty table gives
-no rows; other columns are ignored.
+A text cannot speak for somebody else: ``<|`` is written as ``< |`` in texts and names, and
+line ends in names as blanks, so marks and headers only come from the format.
+
+Defined results: a null role is a speaker named ``unknown``; null text is empty; a null turn
+number counts as -1, and negative ones stand in the first row; equal turn numbers go by role, then text; rows
+without a conversation id are one conversation of their own (null id); a conversation of
+system turns only has no participant and so no row; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEGMENT = 64
+SEGMENT = 4096
 UNKNOWN = "unknown"
 SYSTEM = "system"
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -36,17 +40,18 @@ def rotate(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
         "conv_id",
         F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"),
         F.coalesce("role", F.lit(UNKNOWN)).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"),
+        F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
     )
     speakers = rows.where(F.col("role") != SYSTEM).select(F.col("conv_id").alias("s_conv"), F.col("role").alias("perspective")).distinct()
-    parts = (
-        rows.distinct()
-        .groupBy("conv_id", F.floor(F.col("turn") / segment).alias("segment"))
-        .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    counted = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("times"))
+    parts = counted.groupBy("conv_id", F.floor(F.greatest(F.col("turn"), F.lit(0)) / segment).alias("segment")).agg(
+        F.array_sort(F.collect_list(F.struct("turn", "role", "text", "times"))).alias("turns")
     )
-    both = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("s_conv"))).select("conv_id", "segment", "perspective", "turns")
+    repeated = F.flatten(F.transform("turns", lambda t: F.array_repeat(t, t["times"].cast("int"))))
+    both = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("s_conv"))).select("conv_id", "segment", "perspective", repeated.alias("turns"))
     own = lambda t: t["role"] == F.col("perspective")
-    label = lambda t: F.when(own(t), "assistant").when(t["role"] == SYSTEM, SYSTEM).otherwise(F.concat(F.lit("user name="), t["role"]))
+    name = lambda t: F.translate(F.replace(t["role"], F.lit("<|"), F.lit("< |")), "\r\n", "  ")
+    label = lambda t: F.when(own(t), "assistant").when(t["role"] == SYSTEM, SYSTEM).otherwise(F.concat(F.lit("user name="), name(t)))
     head = lambda t: F.concat(F.lit(OPEN), label(t), F.lit("\n"))
     body = lambda t: F.concat(t["text"], F.lit(CLOSE))
     size = lambda c: F.char_length(c).cast("string")
@@ -65,13 +70,14 @@ def rotate(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
 
 SQL = f"""
     WITH t AS (
-        SELECT DISTINCT conv_id, coalesce(turn, -1)::BIGINT AS turn, coalesce(role, '{UNKNOWN}') AS role, coalesce(text, '') AS text
+        SELECT conv_id, coalesce(turn, -1)::BIGINT AS turn, coalesce(role, '{UNKNOWN}') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
         FROM conversations
     ), s AS (
         SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> '{SYSTEM}'
     ), r AS (
-        SELECT t.conv_id, s.perspective, floor(turn / {SEGMENT}.0)::BIGINT AS segment, turn, role, text, role = perspective AS own,
-               '{OPEN}' || CASE WHEN role = perspective THEN 'assistant' WHEN role = '{SYSTEM}' THEN role ELSE 'user name=' || role END || chr(10) AS head,
+        SELECT t.conv_id, s.perspective, floor(greatest(turn, 0) / {SEGMENT}.0)::BIGINT AS segment, turn, role, text, role = perspective AS own,
+               '{OPEN}' || CASE WHEN role = perspective THEN 'assistant' WHEN role = '{SYSTEM}' THEN role
+                           ELSE 'user name=' || translate(replace(role, '<|', '< |'), chr(13) || chr(10), '  ') END || chr(10) AS head,
                text || '{CLOSE}' AS body
         FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
     )

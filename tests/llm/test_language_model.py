@@ -81,6 +81,78 @@ def test_traversal_by_hand(spark):
     assert abs(a.traverse(a.numbers(b"X  y")[1]) - total) < 1e-9
 
 
+def slow_scores(train, texts):
+    """Scores by dictionaries: interpolation-free backoff with absolute discounts."""
+    tokens = lambda t: (t or "").encode().lower().split() + [b""]
+    grams = [Counter(), Counter(), Counter()]
+    for t in train:
+        words = [None] + tokens(t)
+        for k in range(3):
+            grams[k].update(tuple(words[i - k : i + 1]) for i in range(max(k, 1), len(words)))
+    discount = []
+    for c in grams:
+        by = Counter(c.values())
+        discount.append(min(max(by[1] / (by[1] + 2 * by[2]), 0.1), 0.9) if by[1] and by[2] else 0.5)
+    n, v = sum(grams[0].values()), len(grams[0])
+
+    def p(gram):
+        """Probability of the last word after those before it."""
+        k = len(gram) - 1
+        if k == 0:
+            return (grams[0][gram] - discount[0]) / n if gram in grams[0] else discount[0] * v / n
+        context = gram[:-1]
+        if gram in grams[k]:
+            return (grams[k][gram] - discount[k]) / whole[context]
+        return left(context) * p(gram[1:])
+
+    whole = Counter()
+    follow = {}
+    for c in grams[1:]:
+        for gram, m in c.items():
+            whole[gram[:-1]] += m
+            follow.setdefault(gram[:-1], []).append(gram[-1])
+    for t in train:
+        first = (None, tokens(t)[0])
+        whole[first] = grams[1][first]
+    for gram, m in grams[1].items():
+        whole[gram] = m
+
+    known = {}
+
+    def left(context):
+        if context not in follow:
+            return 1.0
+        if context not in known:
+            taken = sum(p((*context, w)) for w in follow[context])
+            lower = sum(p((*context[1:], w)) for w in follow[context])
+            known[context] = max(1 - taken, 1e-12) / max(1 - lower, 1e-12)
+        return known[context]
+
+    out = []
+    for t in texts:
+        words = [None] + tokens(t)
+        out.append(sum(math.log10(p(tuple(words[max(0, i - 2) : i + 1]))) for i in range(1, len(words))))
+    return out
+
+
+def test_scores_of_automaton_joins_and_dictionaries(documents, spark):
+    """Without bounds that bind, three ways give the same log-probabilities."""
+    rows = [(r.doc_id, r.text) for r in documents.limit(60).collect()] + [(900, None), (901, "words never seen before"), (902, "the of the"), (902, "the of the")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    train = docs.where("doc_id % 3 > 0")
+    expected = sorted((d, round(s, 5)) for (d, _), s in zip(rows, slow_scores([t for d, t in rows if d % 3], [t for _, t in rows])))
+    joined = sorted((r.id, round(r.score, 5)) for r in lm.score_by_joins(docs, train).collect())
+    model = lm.learn(train, gram_words=1 << 18, max_arcs=1 << 30)
+    walked = sorted((r.id, round(r.score, 5)) for r in lm.score(docs, model, docs.doc_id > 0).collect())
+    near = lambda a, b: [x[0] for x in a] == [x[0] for x in b] and all(abs(x[1] - y[1]) < 1e-3 for x, y in zip(a, b))
+    assert near(walked, expected) and near(joined, expected)
+
+
+def test_joins_without_rows(odd, none):
+    assert lm.score_by_joins(none, odd).count() == 0
+    assert {r.score for r in lm.score_by_joins(odd, none).collect()} == {0.0}
+
+
 def test_model_beats_base_on_held_out_rows(documents):
     found = [r for r in lm.lm_scores(documents).collect() if r.held_out]
     assert sum(r.score for r in found) > sum(r.base_score for r in found)

@@ -18,6 +18,11 @@ Words beyond the root's bound keep their exact weight: the traversal takes the f
 arcs to the root and hands the word on, and a join with the full count table, which never
 leaves the executors, adds its weight. Counts, and so N, V and every count c, are exact.
 
+``score_by_joins`` has no bounds: the n-grams of all words, those seen once too, stay tables
+that are joined to the texts' distinct n-grams, and the same arcs and failure arcs are taken
+there. It gives what the automaton gives where the bounds leave nothing out, at the price of
+shuffling every n-gram of the corpus.
+
 Defined results: null and empty texts are the end alone; without training rows base and
 model score are those of an empty count table (log10 of 1/(0+1*(0+1)) = 0 a token);
 repeated ids keep their rows; other columns are ignored.
@@ -38,6 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import UID, binaries, crc_mod, drop_staged, sliced, stage, with_uid, worker_cache
 
 ORDER = 3
@@ -263,7 +269,7 @@ def learn(docs: DataFrame, text_col: str = "text", order: int = ORDER, root_word
     for k in range(2, order + 1):
         grams = stage(texts.mapInArrow(_gram_counter(words, limit, begin, lower), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), f"lm-{k}-grams")
         shape = _histogram(grams, "n")
-        kept, c = _columns(grams.where(_level(F.col("n")) >= max(2, _cut(shape, max_arcs))), "gram", "n")
+        kept, c = _columns(grams.where(_level(F.col("n")) >= _cut(shape, max_arcs)), "gram", "n")
         drop_staged(grams)
         at = np.argsort(kept)
         kept, c = kept[at], c[at]
@@ -406,6 +412,50 @@ def score(docs: DataFrame, model: Model, held_out, id_col: str = "doc_id", text_
     )
 
 
+def score_by_joins(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_tokens, score of every row of docs under the trigram model of all of train."""
+
+    def grams(texts: DataFrame, *keep) -> DataFrame:
+        """Every token (w3) with the two before it; null stands before the first one."""
+        lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        words = F.concat(F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.array(F.lit("")))
+        before = lambda ws, i, k: F.when(i >= k, F.get(ws, i - k))
+        at = let(words, lambda ws: F.transform(ws, lambda w, i: F.struct(before(ws, i, 2).alias("w1"), before(ws, i, 1).alias("w2"), w.alias("w3"), i.alias("i"))))
+        return texts.select(*keep, F.explode(at).alias("g")).select(*keep, "g.*")
+
+    start = F.lit("\x01")  # no token holds it
+    every = grams(train).select(F.coalesce("w2", start).alias("w2"), "w3", F.when(F.col("i") == 0, F.lit(None)).otherwise(F.coalesce("w1", start)).alias("w1"))
+    c3 = stage(every.groupBy("w1", "w2", "w3").agg(F.count(F.lit(1)).alias("c")), "lm-trigrams")
+    c2 = stage(c3.groupBy("w2", "w3").agg(F.sum("c").alias("c")), "lm-bigrams")
+    c1 = stage(c2.groupBy("w3").agg(F.sum("c").alias("c")), "lm-unigrams")
+    c3 = c3.where("w1 is not null")
+    n, v = (x or 0 for x in c1.agg(F.sum("c"), F.count(F.lit(1))).first())
+    d1, d2, d3 = (_discount(_histogram(c, "c")) for c in (c1, c2, c3))
+    p1 = c1.select(F.col("w3").alias("u3"), (F.log10((F.col("c") - d1) / float(max(n, 1)))).alias("p1"))
+    # a context has as often a follower as it occurs; the start as often as a text ends
+    seen = c2.groupBy("w2").agg(F.sum("c").alias("whole"))
+    p2 = c2.join(seen, "w2").select("w2", "w3", F.log10((F.col("c") - d2) / F.col("whole")).alias("p2"))
+    p2 = stage(p2.join(p1, F.col("w3") == F.col("u3")).select("w2", "w3", "p2", "p1"), "lm-p2")
+    left = lambda own, lower: F.log10(F.greatest(1 - F.sum(F.pow(F.lit(10.0), own)), F.lit(1e-12)) / F.greatest(1 - F.sum(F.pow(F.lit(10.0), lower)), F.lit(1e-12)))
+    b2 = stage(p2.groupBy("w2").agg(left(F.col("p2"), F.col("p1")).alias("b2")), "lm-b2")
+    seen = c2.select(F.col("w2").alias("w1"), F.col("w3").alias("w2"), F.col("c").alias("whole"))
+    p3 = c3.join(seen, ["w1", "w2"]).select("w1", "w2", "w3", F.log10((F.col("c") - d3) / F.col("whole")).alias("p3"))
+    p3 = stage(p3.join(p2.select("w2", "w3", "p2"), ["w2", "w3"]).select("w1", "w2", "w3", "p3", "p2"), "lm-p3")
+    b3 = p3.groupBy("w1", "w2").agg(left(F.col("p3"), F.col("p2")).alias("b3"))
+
+    rows = with_uid(docs).select(F.col(UID).alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(text_col))
+    own = grams(rows, F.col("uid"), F.col("id")).select("uid", "id", F.when(F.col("i") == 0, F.lit("")).otherwise(F.coalesce("w1", start)).alias("w1"), F.coalesce("w2", start).alias("w2"), "w3")
+    counted = stage(own.groupBy("uid", "id", "w1", "w2", "w3").agg(F.count(F.lit(1)).alias("times")), "lm-own")
+    keys = counted.select("w1", "w2", "w3").distinct()
+    found = keys.join(p3.select("w1", "w2", "w3", "p3"), ["w1", "w2", "w3"], "left").join(b3, ["w1", "w2"], "left")
+    found = found.join(p2.select("w2", "w3", "p2"), ["w2", "w3"], "left").join(b2, ["w2"], "left").join(p1, F.col("w3") == F.col("u3"), "left")
+    zero, unknown = F.lit(0.0), F.lit(math.log10(d1 * v / n) if n else 0.0)
+    lower = F.coalesce("p2", F.coalesce("b2", zero) + F.coalesce("p1", unknown))
+    weighed = stage(found.select("w1", "w2", "w3", F.coalesce("p3", F.coalesce("b3", zero) + lower).alias("p")), "lm-weighed")
+    out = counted.join(weighed, ["w1", "w2", "w3"]).groupBy("uid", "id").agg(F.sum("times").alias("n_tokens"), F.sum(F.col("times") * F.col("p")).alias("score"))
+    return out.select("id", "n_tokens", "score")
+
+
 def lm_scores(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     out = crc_mod("doc_id", modulus) == held

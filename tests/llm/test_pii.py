@@ -104,6 +104,35 @@ def test_confident_patterns_find_unseen_identifiers(spark):
     assert spans[50] == "phone:22:34" and spans[51] == ""
 
 
+def test_recall_and_precision_of_added_spans(spark):
+    """Planted identifiers that no base pattern finds, after phrases that seeds teach; the
+    same shapes after other phrases are none."""
+    rows, planted = [], {}
+    for i in range(40):
+        rows.append((i, f"you may reach me under +49 30 5551{1000 + i} today"))
+        rows.append((100 + i, f"write to the address user{i}@mail{i}.example now"))
+    for i in range(30):
+        phone, mail = f"030 5552{1000 + i}", f"someone{i} (at) post{i} (dot) example"
+        rows.append((200 + i, f"you may reach me under {phone} today"))
+        rows.append((300 + i, f"write to the address {mail} now"))
+        planted[200 + i], planted[300 + i] = f"phone:23:{23 + len(phone)}", f"email:21:{21 + len(mail)}"
+        rows.append((400 + i, f"the part has number 030 5553{1000 + i} in stock"))
+        rows.append((500 + i, f"they were (at) home{i} (dot) and slept"))
+    found = {r.doc_id: r.spans for r in pii.pii_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    added = {d: s for d, s in found.items() if d >= 200 and s}
+    right = sum(added.get(d) == s for d, s in planted.items())
+    assert right / len(planted) >= 0.95 and right / len(added) >= 0.95
+
+
+def test_discovered_identifiers_teach_further_patterns(spark):
+    """A phrase that stands only beside identifiers found in an earlier round counts as well."""
+    rows = [(i, f"please call my number +1 (555) 123-{1000 + i} before noon") for i in range(12)]
+    rows += [(50 + i, f"please call my number 555 987 {6000 + i} before noon") for i in range(6)]
+    rows += [(80 + i, f"fax line here 555 987 {6000 + i} always open") for i in range(6)] + [(99, "fax line here 555 987 9999 always open")]
+    found = {r.doc_id: r.spans for r in pii.pii_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[50] == "phone:22:34" and found[99] == "phone:14:26"
+
+
 def test_added_spans_leave_base_spans_alone(spark):
     rows = [(i, f"card on file 4111 1111 1111 {1111 if i == 0 else 1111} ok {i}") for i in range(3)]
     check(pii.pii_digest(spark.createDataFrame(rows, "doc_id long, text string")), rows)

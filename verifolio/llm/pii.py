@@ -6,7 +6,8 @@ the two words before it, and the word before with the word after. Looser candida
 each kind (obfuscated addresses, numbers of an identifier's length) get patterns the same
 way. Patterns and instances form a graph that Spark scores in rounds: a pattern's
 confidence is the mean score of the distinct instances it extracts, seeds counting 1, with
-a prior against it; an instance's score is the noisy-or of its confident patterns. In the
+a prior against it, where their scores sum up to ``MIN_SEEDS`` (seeds alone in the first round,
+what was discovered too in later ones); an instance's score is the noisy-or of its confident patterns. In the
 end candidates that stand in a pattern of high confidence, and score high themselves,
 become spans.
 
@@ -173,8 +174,8 @@ def discover(matches: DataFrame, base: DataFrame, rounds: int = ROUNDS, min_seed
             scored = edges.join(scores, ["kind", "instance"], "left").withColumn("score", F.greatest("seed", F.coalesce("reached", F.lit(0.0))))
         patterns = stage(
             scored.groupBy("kind", "pattern")
-            .agg(F.sum("seed").alias("seeds"), (F.sum("score") / (F.count(F.lit(1)) + PRIOR)).alias("confidence"))
-            .where(F.col("seeds") >= min_seeds)
+            .agg(F.sum("score").alias("support"), (F.sum("score") / (F.count(F.lit(1)) + PRIOR)).alias("confidence"))
+            .where(F.col("support") >= min_seeds)
             .where(F.col("confidence") >= confident / 2)
             .select("kind", "pattern", "confidence"),
             "pii-patterns",

@@ -1,6 +1,8 @@
+import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from verifolio.llm import language_id
 from verifolio.llm.language_id import UNDETERMINED, RankOrder, grams, ranked
@@ -55,6 +57,51 @@ def test_held_out_accuracy(documents):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def slow_query(rows):
+    """doc_id to prediction and score, with counters and lists only."""
+    counts = {}
+    for d, text, lang in rows:
+        if zlib.crc32(str(d).encode()) % 4 != 2 and lang is not None and text is not None and any(c.isalpha() for c in text):
+            counts.setdefault(lang, Counter()).update(slow_grams(text))
+
+    def key(gram):
+        points = [0 if c == "_" else ord(c) for c in gram]
+        packed = [0x1FFFFF] * (3 - len(points)) + points
+        return packed[0] << 42 | packed[1] << 21 | packed[2]
+
+    def order(counter):
+        return sorted(counter, key=lambda g: (-counter[g], key(g)))[:400]
+
+    profiles = {lang: {g: i for i, g in enumerate(order(c))} for lang, c in sorted(counts.items())}
+    out = {}
+    for d, text, _ in rows:
+        if not text or not any(c.isalpha() for c in text):
+            out[d] = ("und", 0.0)
+            continue
+        own = order(slow_grams(text))
+        far = {lang: sum(abs(p[g] - i) if g in p else 400 for i, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(far, key=lambda x: (far[x], x))
+        worst = max(far.values())
+        out[d] = (best, (worst - far[best]) / worst if worst else 0.0)
+    return out
+
+
+def test_query_against_counters(documents, spark):
+    rows = [(r.doc_id, r.text, r.lang) for r in documents.collect()] + [(5000, None, "en"), (5001, "12 :", "de"), (5002, "ÄÖ straße", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: (r.lang_pred, r.score) for r in language_id.language_id(docs).collect()}
+    expected = slow_query(rows)
+    assert found.keys() == expected.keys()
+    assert all(found[d][0] == expected[d][0] and abs(found[d][1] - expected[d][1]) < 1e-9 for d in found)
+
+
+def test_what_is_no_language_raises(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    rows = spark.createDataFrame([(f"l{i}", "text") for i in range(3)], "lang string, text string")
+    with pytest.raises(ValueError):
+        language_id.learn_profiles(rows)
+
+
 def test_odd_rows(odd, none):
     found = {(r.doc_id): r for r in language_id.language_id(odd).collect()}
     assert [found[i].lang_pred for i in (1, 2, 3)] == [UNDETERMINED] * 3

@@ -53,6 +53,43 @@ def test_rates_against_one_array(tables):
     assert np.abs(slow_rates(tokens, member, target) - np.array([r.rate for r in found])).max() < 0.05
 
 
+def nonnegative(tokens, member, target):
+    """Least squares over nonnegative rates by coordinate descent; returns the least value."""
+    a = member.T * tokens
+    whole = a.sum(1)
+    a, b = a[whole > 0] / np.sqrt(whole[whole > 0])[:, None], target[whole > 0] / np.sqrt(whole[whole > 0])
+    r, gap = np.zeros(len(tokens)), -b
+    square = (a * a).sum(0)
+    for _ in range(300):
+        for d in np.nonzero(square)[0]:
+            new = max(0.0, r[d] - a[:, d] @ gap / square[d])
+            gap = gap + a[:, d] * (new - r[d])
+            r[d] = new
+    return gap @ gap
+
+
+def test_rates_reach_the_least_value(tables):
+    """Against an independent solver, for targets that the documents can and cannot meet."""
+    docs, labels = tables
+    for by_class in ({1: 0.9, 0: 0.1}, {1: 1.0, 0: 0.0}):
+        found = mixing.fit_rates(docs, labels, {"hot": 0.5, "cold": 0.5}, by_class, steps=200, tolerance=0.0).collect()
+        tokens = np.array([r.n_tokens for r in found], float)
+        member = np.array([[p * (r.source == s) for s in ("cold", "hot") for p in r.posteriors] for r in found])
+        share = [by_class[0] / 2, by_class[1] / 2]
+        target = tokens.sum() * np.array(share + share)
+        rates = np.array([r.rate for r in found])
+        whole = member.T @ tokens
+        own = ((member.T @ (tokens * rates) - target) ** 2 / np.where(whole > 0, whole, 1)).sum()
+        assert rates.min() >= 0 and own <= nonnegative(tokens, member, target) + 1e-4 * tokens.sum()
+
+
+def test_repeated_ids_keep_the_sample_bounded(spark):
+    docs = spark.createDataFrame([(1, f"text {i}", "s") for i in range(50)] + [(2, "other", "s")], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    _, shares = mixing.fit_classifier(docs, labels)
+    assert shares == {0: 0.5, 1: 0.5}
+
+
 def test_classifier_on_held_out_rows(tables):
     docs, labels = tables
     known = {r.doc_id for r in labels.collect()}

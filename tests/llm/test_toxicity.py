@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import pytest
@@ -48,6 +49,60 @@ def test_quotation_weighs_less_than_abuse():
     assert reported[2] < abuse[0]
 
 
+def test_quotations_are_paired_over_the_whole_text():
+    m = model(moron=6.0)
+    wide = m.features('she read "a very long sentence that goes on and on and has moron in it, and still goes on for many more words until here" aloud')
+    assert wide[0] == 0 and wide[2] > 0
+    second = m.features('he met "a man" and "the moron of the town" there')
+    assert second[0] == 0 and second[2] > 0
+    between = m.features('the "first" thing is that you moron broke the "second" thing')
+    assert between[0] > 5
+    stray = m.features('an inch is 1" long and you are a moron')
+    assert stray[0] > 5
+    for text, spans in (("„a b“ c “d”", [(0, 1), (3, 3)]), ('"', []), ('" a "', [(0, 2)]), ("«x y» z", [(0, 1)]), ('("a", b)', [(0, 0)])):
+        assert toxicity.quotations(text.split()) == spans, text
+
+
+def slow_score(m, text):
+    """A score with distances to every term and quotations by a scan, hit by hit."""
+    tokens = (text or "").lower().split()
+    weight = {}
+    for raw in set(tokens):
+        form = toxicity.form(raw)
+        reached = any(distance(t, form) <= (1 if len(t) >= 5 else 0) for t in m.terms if abs(len(t) - len(form)) < 2) if form else False
+        weight[raw] = max(0.0, m.weights[form] if form in m.weights else m.unseen if reached else 0.0)
+    hits = [i for i, t in enumerate(tokens) if weight[t] > 0]
+    best, total = [0.0, 0.0], [0.0, 0.0]
+    for k, i in enumerate(hits):
+        near = {toxicity.form(t) for t in tokens[max(0, i - 6) : i + 7]}
+        quoted, factor = False, 1.0
+        if any(a <= i <= b for a, b in toxicity.quotations(tokens)):
+            quoted, factor = True, 0.3
+        elif near & toxicity._REPORTS:
+            quoted, factor = True, 0.6
+        elif near & toxicity._ADDRESS:
+            factor = 1.15
+        close = sum(abs(hits[j] - i) <= 6 for j in (k - 1, k + 1) if 0 <= j < len(hits))
+        value = weight[tokens[i]] * factor * (1 + 0.1 * close)
+        best[quoted] = max(best[quoted], value)
+        total[quoted] += value
+    x = [best[0], math.log1p(total[0]), best[1], math.log1p(total[1]), math.log1p(100 * len(hits) / len(tokens)) if tokens else 0.0]
+    return 1 / (1 + math.exp(-(m.coefficients[0] + sum(a * b for a, b in zip(m.coefficients[1:], x)))))
+
+
+def test_query_scores_against_loops(spark):
+    folder = "/root/testdata/sf0.01"
+    documents, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    m = toxicity.fit(documents, labels.where(toxicity.crc_mod("doc_id", 3) != 1))
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    found = toxicity.toxicity(documents, labels).collect()
+    assert len(found) == len(texts) and len(m.terms) > 0 and any(r.predicted for r in found)
+    for r in found:
+        assert r.predicted == (r.score >= 0.7)
+        if r.predicted or r.doc_id % 10 == 0:
+            assert abs(r.score - slow_score(m, texts[r.doc_id])) < 1e-9
+
+
 def test_known_harmless_form_is_no_hit():
     m = model(moron=6.0)
     m.weights["oron"] = -3.0

@@ -12,7 +12,8 @@ is counted with numpy, Spark adds the counts up and ranks them per language.
 Score: (worst - best) / worst distance over the learned languages, between 0 and 1; with
 a single language, one minus its relative distance. Defined results: null text, or text
 without a letter, gives ``und`` with score 0; rows with null lang teach nothing; without
-any training row every result is ``und``; ties in n-gram counts go to the smaller n-gram;
+any training row every result is ``und``; more than ``MAX_LANGUAGES`` languages raise
+``ValueError``, as profiles are held by every task; ties in n-gram counts go to the smaller n-gram;
 other columns are ignored.
 """
 
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import append_columns, crc_mod
 
 PROFILE = 400
+#: More languages than that are no languages; profiles of so many are 32 MB.
+MAX_LANGUAGES = 10_000
 UNDETERMINED = "und"
 #: Places of a shorter n-gram that hold no character; above every code point.
 _NONE = np.uint64(0x1FFFFF)
@@ -115,6 +118,9 @@ def learn_profiles(rows: DataFrame, lang_col: str = "lang", text_col: str = "tex
     """Language to its ranked n-gram keys, at most ``size`` for each language."""
     rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string"), F.col(text_col))
     counts = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    known = rows.select(F.col(lang_col)).distinct().limit(MAX_LANGUAGES + 1).count()
+    if known > MAX_LANGUAGES:
+        raise ValueError(f"{lang_col} has over {MAX_LANGUAGES} values")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     found: dict[str, list[tuple[int, int]]] = defaultdict(list)
     for row in counts.withColumn("place", place).where(F.col("place") <= size).collect():

@@ -45,9 +45,9 @@ from .common import append_columns, worker_cache
 
 BLANK = "▁"
 #: Bytes of looked-up words (twice: older and newer ones), and pairs, that a worker holds.
-_WORD_BYTES = 48 << 20
-_WORD_COST = 160
-_PAIRS_HELD = 300_000
+_WORD_BYTES = 24 << 20
+_WORD_COST = 200
+_PAIRS_HELD = 200_000
 #: Beyond the worst score of a model, as the library weighs unknown characters.
 _UNKNOWN = 10.0
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -54,6 +56,20 @@ def drop_staged(*frames: DataFrame) -> None:
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def staged_paths() -> set[str]:
+    """Staged tables that are still there."""
+    return set(_staged)
+
+
+def drop_unread(paths: set[str], *readers: DataFrame) -> None:
+    """Delete those staged tables that no reader reads."""
+    read = "\n".join(f for df in readers for f in df.inputFiles())
+    for path in paths:
+        if path.rpartition("/")[2] not in read and (spark := _staged.pop(path, None)) is not None:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def _drop_all() -> None:
     for path in list(_staged):
         try:
@@ -125,6 +141,7 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
             yield batch.slice(i, rows)
 
 
+_LIBC = ctypes.CDLL(None)
 _cache: dict = {}
 _cache_owner: str | None = None
 
@@ -135,9 +152,19 @@ def worker_cache(owner: str | None) -> dict:
     global _cache, _cache_owner
     if owner != _cache_owner:
         _cache, _cache_owner = {}, owner
+        trim()
     return _cache
 
 
+def trim() -> None:
+    """Give memory that a Python worker no longer uses back to the system: workers outlive
+    the operator that filled them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def append_columns(
     docs: DataFrame, keep: dict[str, Column], text: Column, columns: str, make: Callable[[], Callable[[pa.Array], list]], owner: str | None = None
 ) -> DataFrame:

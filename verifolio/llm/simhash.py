@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import UID, binaries, decided, drop_staged, few, identified, sliced, stage, with_uid
+from .common import UID, binaries, decided, drop_staged, few, identified, sliced, stage, trim, with_uid
 
 RADIUS = 3
 BANDS = 4
@@ -319,7 +319,8 @@ def _sketches(common: np.ndarray):
     names = [x.split()[0] for x in _SKETCHES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        trim()
+        for batch in sliced(batches, 512):
             sets = [shingles(t) for t in binaries(batch.column(2))]
             # a 64-bit hash stands for a set
             node = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets))
@@ -427,31 +428,37 @@ def _near(radius: int, step: int = 512):
     return run
 
 
+def _met(rows: DataFrame, k: int) -> DataFrame:
+    """Rows of blocks (h, node, n, fp, label) that are apart, with the text ``one`` that the
+    others of the block meet in round k, and the block's size: one window for all."""
+    block = Window.partitionBy("h")
+    order = F.struct(F.xxhash64("node", F.lit(k)).alias("at"), "node", "n", "fp", "label")
+    found = rows.withColumns({"lo": F.min("label").over(block), "hi": F.max("label").over(block), "size": F.count(F.lit(1)).over(block), "one": F.min(order).over(block)})
+    return found.where("lo < hi").select("h", "node", "n", "fp", "label", "size", "one")
+
+
 def similar_links(blocks: DataFrame, texts: DataFrame, heads: DataFrame, rounds: int = ROUNDS, tile: int = TILE, radius: int = WIDE) -> DataFrame:
-    """Links (u, v) that join all similar nodes of the blocks (h, node, n, fp)."""
-    every, apart = None, blocks.withColumn("label", F.col("node"))
-    same = Window.partitionBy("h")
+    """Links (u, v) that join all similar nodes of the blocks (as ``_met`` gives them)."""
+    every, apart = None, blocks
     for k in range(rounds):
-        order = F.struct(F.xxhash64("node", F.lit(k)), "node", "n", "fp", "label")
-        one = apart.withColumn("one", F.min(order).over(same))
         near = F.bit_count(F.col("fp").bitwiseXOR(F.col("one.fp"))) <= radius
-        pairs = one.where((F.col("label") != F.col("one.label")) & _sized("n", "one.n") & near)
+        pairs = apart.where((F.col("label") != F.col("one.label")) & _sized("n", "one.n") & near)
         found = _similar(pairs.select(F.least("node", "one.node").alias("u"), F.greatest("node", "one.node").alias("v")), texts, heads)
         every = found if every is None else every.unionByName(found)
         labels = components(every).select(F.col("node").alias("l_node"), F.col("label").alias("l"))
-        named = blocks.join(labels, F.col("node") == F.col("l_node"), "left").select("h", "node", "n", "fp", F.coalesce("l", "node").alias("label"))
         # both of a block of two have met
-        open_ = named.withColumns({"lo": F.min("label").over(same), "hi": F.max("label").over(same), "size": F.count(F.lit(1)).over(same)})
-        apart = stage(open_.where("lo < hi and size > 2").select("h", "node", "n", "fp", "label"), "similar-apart")
-        drop_staged(labels)
+        open_ = apart.where("size > 2").join(few(labels), F.col("node") == F.col("l_node"), "left")
+        last, apart = apart, stage(_met(open_.select("h", "node", "n", "fp", F.coalesce("l", "node").alias("label")), k + 1), "similar-apart")
+        drop_staged(labels, last)
     longs = tuple(f"bits_{k}" for k in range(LONGS))
     sketch = heads.select(F.col("node").alias("s_node"), *(F.col("bits")[k].alias(c) for k, c in enumerate(longs)))
     tiled = apart.join(sketch, F.col("node") == F.col("s_node")).select(F.col("h").alias("block"), F.bit_count("fp").alias("ones"), "fp", "node", "n", "label", *longs)
     tiled = stage(tiled, "similar-tiled")
+    drop_staged(apart)
     rows = _tile_pairs(tiled, tile, radius, ("node", "n", "label", *longs))
     pairs = rows.repartition("pair").sortWithinPartitions("pair", "side").mapInArrow(_near(radius), "u long, v long")
     found = _similar(pairs, texts, heads)
-    drop_staged(apart, tiled)
+    drop_staged(tiled)
     return found if every is None else every.unionByName(found)
 
 
@@ -459,21 +466,23 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """__vf_uid, id, component_id and keep_uid (the row that stays) for every row of docs."""
     texts = identified(docs.select(id_col, text_col) if UID not in docs.columns else docs)
     texts = texts.select(F.col(UID).alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = stage(texts.mapInArrow(_sketches(_common(texts)), _SKETCHES), "similar-rows")
+    sketched = stage(texts.mapInArrow(_sketches(_common(texts)), _SKETCHES), "similar-sketches")
+    rows = stage(sketched.select("uid", "id", "node"), "similar-rows")
     heads = stage(
-        rows.groupBy("node").agg(
+        sketched.groupBy("node").agg(
             F.min(F.struct(F.col("id").isNull().alias("no"), "id", "uid")).alias("best"), F.min("uid").alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits")
         ),
         "similar-heads",
     )
-    same = Window.partitionBy("h")
-    placed = rows.select(F.explode("prefix").alias("h"), "node", "n", "fp").withColumn("lo", F.min("node").over(same)).withColumn("hi", F.max("node").over(same))
-    blocks = stage(placed.where("lo < hi").select("h", "node", "n", "fp").distinct(), "similar-blocks")
+    placed = sketched.select(F.explode("prefix").alias("h"), "node", "n", "fp", F.col("node").alias("label"))
+    # rows of one set count once: a block holds nodes
+    blocks = stage(_met(placed, 0).dropDuplicates(["h", "node"]), "similar-blocks")
+    drop_staged(sketched)
     labels = components(similar_links(blocks, texts.select("uid", "text"), heads.select("node", "first", "n", "bits")))
     named = heads.join(labels.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left").select("node", F.coalesce("label", "node").alias("label"), "best")
     best = named.groupBy("label").agg(F.min("best").alias("best"))
     named = stage(named.select("node", "label").join(best, "label").select(F.col("node").alias("k"), "best"), "similar-named")
-    drop_staged(blocks, heads, labels)
+    drop_staged(heads, labels)
     return rows.join(named, rows.node == named.k).select(
         F.col("uid").alias(UID), "id", F.col("best.id").alias("component_id"), F.col("best.uid").alias("keep_uid")
     )

@@ -35,7 +35,7 @@ def grounded(spark, source, *rows):
 
 
 def test_quotes_and_spacing_ground(spark):
-    found = grounded(spark, 'Forgenite\'s {"model","method"} crm.team._action_assign_leads', text(0, "Forgenite\u2019s"), text(1, '{"model", "method"}'), text(2, "crm.team_action_assign_leads"))
+    found = grounded(spark, 'Harbour\'s {"depth","tides"} port.quay._open_lock_gates', text(0, "Harbour\u2019s"), text(1, '{"depth", "tides"}'), text(2, "port.quay_open_lock_gates"))
     assert found == {0: (1, 1), 1: (1, 1), 2: (0, 1)}
 
 

@@ -1,5 +1,10 @@
 """Plans, the files made from them, and what is read back."""
 
+import io
+import re
+import zipfile
+
+import pytest
 from pyspark.sql import functions as F
 
 from verifolio import schema
@@ -117,6 +122,66 @@ def test_sheet_rows_and_file(spark, tmp_path):
     assert read == {k: v[0] for k, v in at.items()}
 
 
+def xml(content, name):
+    return zipfile.ZipFile(io.BytesIO(content)).read(name).decode()
+
+
+def test_layout_title_and_proportions_reach_the_file(spark):
+    pages = sample(spark)
+    layout = spark.createDataFrame([("d", 500.0, 700.0, 50.0, 40.0, 30.0, 20.0, 9.0)], "doc_id string, width_pt double, height_pt double, left_pt double, right_pt double, top_pt double, bottom_pt double, body_pt double")
+    data = spark.createDataFrame([("p0", b"\x89PNG0", "png"), ("p1", b"\x89PNG1", "png"), ("p2", b"\x89PNG2", "png")], "path string, data binary, ext string")
+    titles = spark.createDataFrame([("d", "A & B")], "doc_id string, title string")
+    matched = sinks.word_files(word.word_plan(pages, pictures(spark), layout, titles), data, layout).first().content
+    document = xml(matched, "word/document.xml")
+    assert '<w:pgSz w:w="10000" w:h="14000"/>' in document and '<w:pgMar w:top="600" w:right="800" w:bottom="400" w:left="1000"/>' in document
+    assert "A &amp; B" not in document and '<w:sz w:val="18"/>' in xml(matched, "word/styles.xml")
+    # 410 points of column bound the first picture; heights follow from 100 x 50 pixels
+    wide = round(410 / 72 * 914400)
+    assert f'<wp:extent cx="{wide}" cy="{round(wide / 2)}"/>' in document and f'<wp:extent cx="{2 * 914400}" cy="914400"/>' in document
+    plain = xml(sinks.word_files(word.word_plan(pages, pictures(spark), None, titles), data).first().content, "word/document.xml")
+    assert "A &amp; B" in plain and 'w:val="Title"' in plain and "<w:sectPr></w:sectPr>" in plain
+
+
+def test_pictures_in_sheets(spark):
+    items = sheet.sheet_items(sample(spark), pictures(spark))
+    cells = sheet.sheet_cells(items)
+    data = spark.createDataFrame([("p0", b"\x89PNG0", "png"), ("p1", b"\x89PNG1", "png"), ("p2", b"\x89PNG2", "png")], "path string, data binary, ext string")
+    made = sinks.sheet_files(cells, sheet.column_widths(cells), sheet.sheet_pictures(items), data).first().content
+    drawing, page = xml(made, "xl/drawings/drawing1.xml"), xml(made, "xl/worksheets/sheet1.xml")
+    assert re.findall(r"<xdr:row>(\d+)</xdr:row>", drawing) == ["10", "13", "23"]
+    assert f'<xdr:ext cx="{round(6.5 * 96 * 9525)}" cy="{3 * 96 * 9525}"/>' in drawing and f'<xdr:ext cx="{2 * 96 * 9525}" cy="{96 * 9525}"/>' in drawing
+    assert '<row r="11" ht="216" customHeight="1">' in page and '<col min="1" max="1" width="89.1429" customWidth="1"/>' in page and '<drawing r:id="rId1"/>' in page
+    assert zipfile.ZipFile(io.BytesIO(made)).read("xl/media/image2.png") == b"\x89PNG1"
+    read = office.sheet_cells(spark.createDataFrame([("x", bytearray(made))], "path string, content binary"))
+    assert read.where("error is not null").count() == 0 and read.count() == cells.count()
+
+
+def test_scan_document(spark):
+    pages = sample(spark)
+    scans = pictures(spark).where("path <> 'p1'")
+    data = spark.createDataFrame([("p0", b"\x89PNG0", "png"), ("p2", b"\x89PNG2", "png")], "path string, data binary, ext string")
+    made = sinks.scan_files(word.scan_plan(pages, scans), data)
+    assert made.first().path == "d_scan.docx"
+    kinds = [r.kind for r in office.word_body(made).orderBy("ord").collect()]
+    assert kinds == ["image", "text", "image"]
+    assert word.scan_plan(pages, scans.where("false")).count() == 0
+
+
+def test_missing_paths_can_be_skipped(spark, tmp_path):
+    (tmp_path / "a.docx").write_bytes(b"x")
+    there, gone = str(tmp_path / "a.docx"), str(tmp_path / "none.docx")
+    assert office.files(spark, [there, gone], missing="skip").count() == 1
+    assert office.files(spark, gone, missing="skip").count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        office.files(spark, [there, gone]).count()
+
+
+def test_changed_content(spark):
+    runs = spark.createDataFrame([("a", 1, 5), ("a", 2, 5), ("a", 3, 4), ("b", 1, 9)], "label string, run int, blocks int")
+    found = {(r.label, r.run): r.warning for r in history.changed_content(runs, "run", ["label"]).collect()}
+    assert found == {("a", 1): None, ("a", 2): None, ("a", 3): "blocks changed from 5 to 4", ("b", 1): None}
+
+
 def test_picture_frames(spark):
     rows = spark.createDataFrame([(6.13, 4.0, 10, 10), (9.0, 9.0, 10, 10), (4.0, 0.0, 100, 50), (0.0, 4.0, 100, 50), (0.0, 0.0, 0, 0)], "w double, h double, a int, b int")
     found = [(round(r.f.px_w / 96, 2), round(r.f.px_h / 96, 2)) for r in rows.select(sheet.picture_frame(F.col("w"), F.col("h"), F.col("a"), F.col("b")).alias("f")).collect()]
@@ -128,7 +193,7 @@ def test_history(spark, tmp_path):
     history.append_runs(runs.limit(2), str(tmp_path / "runs"))
     history.append_runs(runs.where("blocks = 3"), str(tmp_path / "runs"))
     read = spark.read.schema(history.RUNS).json(str(tmp_path / "runs"))
-    found = history.deltas(read, "when", ["wall_s", "blocks"]).orderBy("when").collect()
+    found = history.deltas(read, "when", ["wall_s", "blocks"], ["label"]).orderBy("when").collect()
     assert [r.wall_s_pct for r in found] == [None, 20.0, -50.0] and [r.blocks_pct for r in found] == [None, -100.0, None]
     row = spark.range(1).select(history.processor(F.lit("NAME ID\nm1 x 100% GPU\nm2 y 41%/59% CPU/GPU"), F.lit("m2")).alias("p"), history.rate(F.lit(9), F.lit(0.0)).alias("r")).first()
     assert (row.p, row.r) == ("41%/59% CPU/GPU", 0.0)

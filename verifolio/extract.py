@@ -16,6 +16,7 @@ from .functions import text as T
 from .operators import checks, repair, select, spatial
 from .plans import markdown, sheet, word
 from .schema import KEY
+from .sinks import office
 
 
 @dataclass
@@ -39,6 +40,7 @@ class Extraction:
     images: DataFrame  # embedded pictures, placed
     separate_images: DataFrame
     layout: DataFrame  # one row per document
+    pictures: DataFrame  # of both, with their bytes
 
     def markdown(self, titles: DataFrame | None = None) -> DataFrame:
         return markdown.render_documents(self.pages.where("status = 'ok'"), titles)
@@ -49,6 +51,18 @@ class Extraction:
     def sheet_items(self) -> DataFrame:
         return sheet.sheet_items(self.pages.where("status <> 'failed'"), self.images)
 
+    def word_files(self) -> DataFrame:
+        return office.word_files(self.word(), self.pictures, self.layout)
+
+    def sheet_files(self) -> DataFrame:
+        items = self.sheet_items()
+        cells = sheet.sheet_cells(items)
+        return office.sheet_files(cells, sheet.column_widths(cells), sheet.sheet_pictures(items), self.pictures)
+
+    def scan_files(self) -> DataFrame:
+        pages = self.pages.withColumn("blocks", F.coalesce("blocks", F.array().cast(self.pages.schema["blocks"].dataType)))
+        return office.scan_files(word.scan_plan(pages, self.separate_images, self.layout), self.pictures, self.layout)
+
     def problems(self) -> DataFrame:
         return word.write_problems(self.pages.where("status = 'ok'"))
 
@@ -87,6 +101,7 @@ def extract(inputs: Inputs, mode: str = "text", work: str | None = None) -> Extr
     columns = [*KEY, "block_ord", "check", "severity", "message"]
     findings = [
         checks.structure(good),
+        schema.page_findings(good),
         schema.validate(raw_blocks),
         grounded.where("message is not null").select(*KEY, "block_ord", label.alias("f")).select(*KEY, "block_ord", "f.*"),
         checks.geometry(raw_blocks, inputs.detected),
@@ -101,14 +116,8 @@ def extract(inputs: Inputs, mode: str = "text", work: str | None = None) -> Extr
     lines = keep(spatial.line_table(inputs.spans), "lines")
     gone = checks.missing_lines(good.where("verify_trust = 'pdf'"), "verify_text", "produced")
     lined = repair.restore_lines(good.drop("produced"), lines, gone, inputs.detected)
-    pictures = inputs.images.where(select.is_picture(F.col("px_w"), F.col("px_h"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
-    placed = spatial.image_places(pictures.drop("data"), inputs.geo).withColumns(
-        {
-            "width_in": (F.col("x1") - F.col("x0")) / 72.0,
-            "height_in": (F.col("y1") - F.col("y0")) / 72.0,
-            "path": F.format_string("%s/p%03d_img%02d.%s", "doc_id", "page_no", "ord", "ext"),
-        }
-    )
+    pictures = keep(select.extracted_images(inputs.images), "pictures")
+    placed = spatial.image_places(pictures.drop("data"), inputs.geo)
     use = routed.select(*KEY, "image_use", "image_only")
     placed = keep(placed.join(use, KEY), "placed")
     embedded = placed.where("image_use = 'embed'").drop("image_use", "image_only")
@@ -130,7 +139,7 @@ def extract(inputs: Inputs, mode: str = "text", work: str | None = None) -> Extr
     final = keep(final.withColumn("blocks", F.when(F.col("status") == "failed", F.lit(None)).otherwise(F.coalesce("blocks", none))), "pages")
     targets = final.where("status <> 'failed'").select(*KEY, F.col("page_no").alias("target_ord"))
     layout = spatial.document_layout(spatial.page_layout(inputs.pages, inputs.geo, inputs.spans), targets)
-    return Extraction(final, every, verdicts, blocks, embedded, separate, layout)
+    return Extraction(final, every, verdicts, blocks, embedded, separate, layout, pictures)
 
 
 def page_text(df: DataFrame) -> DataFrame:

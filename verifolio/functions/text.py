@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 WS = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 #: One line end.
 EOL = r"\r\n|[\x0A-\x0D\x1C-\x1E\x85\u2028\u2029]"
+#: Whitespace that ends no line.
+BLANKS = r"[\x09\x1F\x20\xA0\u1680\u2000-\u200A\u202F\u205F\u3000]"
 # Characters that count as the ASCII one beside them.
 FOLD_FROM = (
     "\u2018\u2019\u201B\u2032"
@@ -51,12 +53,22 @@ def blank(text: Column) -> Column:
     return F.length(collapse(F.coalesce(text, F.lit("")))) == 0
 
 
+def folded(text: Column) -> Column:
+    """Folds typographic punctuation."""
+    plain = F.replace(F.translate(text, FOLD_FROM, FOLD_TO), F.lit(ELLIPSIS), F.lit("..."))
+    # looking for the characters is much cheaper than translating every one
+    return F.when(F.rlike(text, F.lit(f"[{FOLD_FROM}{ELLIPSIS}]")), plain).otherwise(text)
+
+
 def normalize(text: Column) -> Column:
     """Folds typographic punctuation, collapses whitespace, lower-cases."""
-    folded = F.replace(F.translate(text, FOLD_FROM, FOLD_TO), F.lit(ELLIPSIS), F.lit("..."))
-    # looking for the characters is much cheaper than translating every one
-    found = F.rlike(text, F.lit(f"[{FOLD_FROM}{ELLIPSIS}]"))
-    return F.lower(collapse(F.when(found, folded).otherwise(text)))
+    return F.lower(collapse(folded(text)))
+
+
+def flat(text: Column) -> Column:
+    """The text with its line ends, else normalised: a line of it, trimmed, is what its
+    normalised line is, and the whole was folded and lower-cased at once."""
+    return F.lower(F.regexp_replace(folded(text), BLANKS + "+", " "))
 
 
 def squash(text: Column) -> Column:

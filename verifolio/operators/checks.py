@@ -13,6 +13,7 @@ from ..functions import text as T
 from ..schema import KEY, as_findings, finding
 from .select import real_rows
 
+# Thresholds of the checks.
 COVERAGE = 0.95
 GROUNDED_WORDS = 0.9
 UNGROUNDED_CELLS = 0.8
@@ -113,18 +114,37 @@ def coverage(pages: DataFrame, source: str, produced: str) -> DataFrame:
     return out.withColumn("coverage", coverage_share(F.col("n_words"), F.size("missing"), F.col(source)))
 
 
+def lost_lines(source: Column, produced: Column, split=T.lines) -> Column:
+    """Lines of the source that the produced text does not contain, as an array of ord, raw
+    and key. Of lines that normalise alike the first is there; lines of under eight characters,
+    and sources without words to look for, have none.
+
+    Both texts are normalised once, whole; a line is then a trim and a search."""
+
+    def gone(raws: Column, texts: Column, q: Column) -> Column:
+        line = lambda x, i: F.struct(i.alias("ord"), F.trim(x).alias("key"))
+        absent = lambda x: (F.length(x["key"]) >= LEAST_LINE) & ~F.contains(q, F.replace(x["key"], F.lit(" "), F.lit("")))
+        whole = lambda x: F.struct(x["ord"].alias("ord"), F.get(raws, x["ord"]).alias("raw"), x["key"].alias("key"))
+        return F.transform(F.filter(F.transform(texts, line), absent), whole)
+
+    def first(found: Column) -> Column:
+        return T.let(F.transform(found, lambda x: x["key"]), lambda keys: F.filter(found, lambda x, i: F.array_position(keys, x["key"]) == i + 1))
+
+    def lost(text: Column) -> Column:
+        by_lines = T.let(
+            T.squash(F.coalesce(produced, F.lit(""))),
+            lambda q: T.let(split(source), lambda raws: T.let(split(text), lambda texts: T.let(gone(raws, texts, q), first))),
+        )
+        return F.when(F.rlike(text, F.lit(rf"[^\x0A-\x0D\x1C-\x1E\x20\x85\u2028\u2029]{{{T.SHORT + 1}}}")), by_lines)
+
+    return T.let(T.flat(source), lost)
+
+
 def missing_lines(pages: DataFrame, source: str, produced: str, keys: list[str] | None = None, split=T.lines) -> DataFrame:
-    """Source lines that the produced text does not contain: keys, ord, line. Of lines that
-    normalise alike the first is kept, as it stands there; lines of under eight characters,
-    and pages without words to look for, have none."""
-    keys = keys or KEY
-    line = lambda raw, i: F.struct(i.alias("ord"), raw.alias("raw"), T.normalize(raw).alias("key"))
-    absent = lambda q: lambda x: (F.length(x["key"]) >= LEAST_LINE) & ~F.contains(q, F.replace(x["key"], F.lit(" "), F.lit("")))
-    # looked up in the row of the text, so that only missing lines become rows
-    gone = T.let(T.squash(F.coalesce(F.col(produced), F.lit(""))), lambda q: F.filter(F.transform(split(F.col(source)), line), absent(q)))
-    rows = pages.where(F.size(source_words(F.col(source))) > 0).select(*keys, F.explode(gone).alias("g"))
-    first = rows.groupBy(*keys, F.col("g.key").alias("key")).agg(F.min(F.struct("g.ord", "g.raw")).alias("f"))
-    return first.select(*keys, F.col("f.ord").alias("ord"), T.strip(F.col("f.raw")).alias("line"))
+    """Source lines that the produced text does not contain: keys, ord, line. They are looked
+    up in the row of the text, so that only missing lines become rows and nothing is shuffled."""
+    rows = pages.select(*(keys or KEY), F.explode(lost_lines(F.col(source), F.col(produced), split)).alias("g"))
+    return rows.select(*(keys or KEY), F.col("g.ord").alias("ord"), T.strip(F.col("g.raw")).alias("line"))
 
 
 def coverage_findings(pages: DataFrame, source: str, produced: str, threshold: float = COVERAGE) -> DataFrame:
@@ -143,26 +163,35 @@ def coverage_findings(pages: DataFrame, source: str, produced: str, threshold: f
     ).select(*KEY, F.lit(None).cast("int").alias("block_ord"), "check", "severity", "message")
 
 
-def word_share(text: Column, source: Column) -> Column:
-    """Share of a text's longer words, duplicates included, that the source contains."""
-    words = T.words(T.normalize(text), T.SHORT)
+def word_share(normalized: Column, source: Column) -> Column:
+    """Share of a normalised text's longer words, duplicates included, that the source contains."""
+    words = T.words(normalized, T.SHORT)
     return T.let(words, lambda w: F.when(F.size(w) > 0, F.size(F.filter(w, lambda x: F.contains(source, x))) / F.size(w)).otherwise(0.0))
 
 
-def text_grounded(text: Column, source: Column, squashed: Column) -> Column:
-    """Whether a text is in the source, or nine in ten of its longer words are."""
-    return T.contained(text, squashed) | (word_share(text, source) >= GROUNDED_WORDS)
+def grounded_share(text: Column, source: Column, squashed: Column) -> Column:
+    """1 for a text that the source holds whole, spacing aside, else the share of its longer
+    words there. The text is normalised once."""
+    return T.let(
+        T.normalize(F.coalesce(text, F.lit(""))),
+        lambda t: F.when(F.contains(squashed, F.replace(t, F.lit(" "), F.lit(""))), 1.0).otherwise(word_share(t, source)),
+    )
+
+
+def with_blocks(blocks: DataFrame, pages: DataFrame, *columns: str) -> DataFrame:
+    """Pages with their blocks as an array ``bs``, each with its block_ord. Pages that carry
+    ``bs`` already need no ``blocks`` table, and then nothing is shuffled."""
+    item = F.struct("block_ord", "kind", "text", "header", "rows")
+    return pages.select(*KEY, *columns).join(blocks.groupBy(*KEY).agg(F.collect_list(item).alias("bs")), KEY)
 
 
-def judged_blocks(blocks: DataFrame, pages: DataFrame, source: str, judge) -> DataFrame:
+def judged_blocks(blocks: DataFrame | None, pages: DataFrame, source: str, judge) -> DataFrame:
     """``judge(block, normalised source, squashed source)``, a struct, for every block.
 
     The blocks of a page meet its source in one row, where it is normalised once: joined
     to each block it would be copied as often as the page has blocks. Pages without source
-    text drop out."""
-    item = F.struct("block_ord", "kind", "text", "header", "rows")
-    gathered = blocks.groupBy(*KEY).agg(F.collect_list(item).alias("bs"))
-    rows = pages.select(*KEY, F.col(source).alias("s")).join(gathered, KEY)
+    text drop out. ``blocks`` is None where pages carry them (see ``with_blocks``)."""
+    rows = (pages if blocks is None else with_blocks(blocks, pages, source)).select(*KEY, F.col(source).alias("s"), "bs")
     judged = T.let(
         T.normalize(F.col("s")),
         lambda n: F.when(n != "", T.let(F.replace(n, F.lit(" "), F.lit("")), lambda q: F.transform("bs", lambda b: judge(b, n, q)))),
@@ -174,7 +203,7 @@ def _filled_cells(b: Column) -> Column:
     return F.filter(_cells(b), lambda c: ~T.blank(c))
 
 
-def grounding(blocks: DataFrame, pages: DataFrame, source: str) -> DataFrame:
+def grounding(blocks: DataFrame | None, pages: DataFrame, source: str) -> DataFrame:
     """Per block: found, total and a message where something is missing. Pages without
     source text give no rows: nothing can be verified there."""
 
@@ -201,9 +230,7 @@ def grounding(blocks: DataFrame, pages: DataFrame, source: str) -> DataFrame:
                 F.when(~held, F.concat(label, F.lit(": text not in the source ("), T.percent(share), F.lit(" of its words are)"))).alias("message"),
             )
 
-        # a text that is held whole has all of its words there, whatever their share
-        share = F.when(T.contained(b["text"], q), 1.0).otherwise(word_share(b["text"], n))
-        return F.when(_is_table(b), T.let(_filled_cells(b), table)).when(~T.blank(b["text"]), T.let(share, prose))
+        return F.when(_is_table(b), T.let(_filled_cells(b), table)).when(~T.blank(b["text"]), T.let(grounded_share(b["text"], n, q), prose))
 
     return judged_blocks(blocks, pages, source, judge).where("total is not null")
 
@@ -213,11 +240,11 @@ def grounding_share(grounded: DataFrame) -> DataFrame:
     return grounded.groupBy(*KEY).agg(F.sum("found").alias("found"), F.sum("total").alias("total"))
 
 
-def ungrounded_text(blocks: DataFrame, pages: DataFrame, source: str) -> DataFrame:
+def ungrounded_text(blocks: DataFrame | None, pages: DataFrame, source: str) -> DataFrame:
     """Keys of text blocks that the source does not hold."""
 
     def judge(b: Column, n: Column, q: Column) -> Column:
-        gone = ~_is_table(b) & ~T.blank(b["text"]) & ~text_grounded(b["text"], n, q)
+        gone = ~_is_table(b) & ~T.blank(b["text"]) & (grounded_share(b["text"], n, q) < GROUNDED_WORDS)
         return F.struct(b["block_ord"].alias("block_ord"), gone.alias("gone"))
 
     return judged_blocks(blocks, pages, source, judge).where("gone").select(*KEY, "block_ord")
@@ -225,13 +252,15 @@ def ungrounded_text(blocks: DataFrame, pages: DataFrame, source: str) -> DataFra
 
 def cell_grounded(cell: Column, words: Column, squashed: Column) -> Column:
     """A cell whose words are all words of the source, or a longer one that it contains."""
-    parts = T.words(T.normalize(cell))
-    return T.let(parts, lambda p: (F.size(p) > 0) & F.forall(p, lambda w: F.array_contains(words, w))) | (
-        (F.length(T.normalize(cell)) > 8) & T.contained(cell, squashed)
-    )
+
+    def held(c: Column) -> Column:
+        whole = (F.length(c) > 8) & F.contains(squashed, F.replace(c, F.lit(" "), F.lit("")))
+        return whole | T.let(T.words(c), lambda p: (F.size(p) > 0) & (F.size(F.array_except(p, words)) == 0))
+
+    return T.let(T.normalize(cell), held)
 
 
-def ungrounded_cells(blocks: DataFrame, pages: DataFrame, source: str) -> DataFrame:
+def ungrounded_cells(blocks: DataFrame | None, pages: DataFrame, source: str) -> DataFrame:
     """Tables with the number of their filled cells and of those the source lacks."""
 
     def judge(b: Column, n: Column, q: Column) -> Column:
@@ -314,6 +343,7 @@ def readback(pages: DataFrame, source: str, read: str) -> DataFrame:
     return coverage(pages, source, read)
 
 
+# Fixed value: the coverage that a converted file needs.
 CONVERTED = 0.99
 
 

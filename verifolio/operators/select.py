@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -66,3 +66,20 @@ def real_rows(grid: Column) -> Column:
     """A grid without the blank rows at its end."""
     full = F.transform(grid, lambda r, i: F.when(F.exists(r, lambda c: ~T.blank(c)), i + 1).otherwise(0))
     return F.slice(grid, F.lit(1), F.coalesce(F.array_max(full), F.lit(0)))
+
+
+def extracted_images(images: DataFrame) -> DataFrame:
+    """Pictures of pages (schema ``IMAGES``) that are none of spacers, rules and glyphs, numbered
+    anew on their page, with the sha1 of their bytes, their size in inches, and the name of
+    the file that they become."""
+    size = (F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    kept = images.where(is_picture(F.col("px_w"), F.col("px_h"), *size))
+    ord_ = F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("ord")) - 1
+    return kept.withColumns(
+        {
+            "ord": ord_,
+            "sha1": F.sha1("data"),
+            "width_in": size[0] / 72.0,
+            "height_in": size[1] / 72.0,
+        }
+    ).withColumn("path", F.format_string("%s/p%03d_img%02d.%s", F.col("doc_id").cast("string"), "page_no", "ord", "ext"))

@@ -59,23 +59,35 @@ def text_above(lines: DataFrame) -> DataFrame:
 
 
 def image_places(images: DataFrame, geo: DataFrame) -> DataFrame:
-    """Adds to images (ord, y0, y1): frac_above, text_before and text_after, by a range
-    join with the page's text blocks."""
-    rows = geo.where(~T.blank(F.col("text"))).select(
-        *(F.col(k).alias(f"g_{k}") for k in KEY),
-        F.col("y0").alias("g_y0"),
-        F.col("y1").alias("g_y1"),
-        F.length("text").alias("g_n"),
-        F.struct(F.col("y0"), F.col("y1"), F.col("x0"), T.collapse(F.col("text")).alias("t")).alias("g"),
+    """Adds to images (ord, y0, y1): frac_above, text_before and text_after.
+
+    Text blocks and pictures of a page are one table, sorted twice: downwards by where blocks
+    end and pictures begin, upwards by where blocks begin and pictures end. What stands above
+    or below a picture is then a running sum, maximum or minimum: no picture meets every block."""
+    picture = F.struct(*images.columns)
+    placed = F.struct("y0", "y1", "x0", T.collapse(F.col("text")).alias("t"))
+    blocks = geo.where(~T.blank(F.col("text"))).select(
+        *KEY, F.col("y1").alias("down"), F.col("y0").alias("up"), F.lit(0).alias("is_image"), F.length("text").alias("n"), placed.alias("g")
     )
-    on = (F.col("doc_id") == F.col("g_doc_id")) & (F.col("page_no") == F.col("g_page_no"))
-    above, below = F.col("g_y1") <= F.col("y0"), F.col("g_y0") >= F.col("y1")
-    total = F.coalesce(F.sum("g_n"), F.lit(0))
-    out = images.join(rows, on, "left").groupBy(*(images[c] for c in images.columns))
-    return out.agg(
-        (F.coalesce(F.sum(F.when(above, F.col("g_n"))), F.lit(0)) / F.greatest(total, F.lit(1))).alias("frac_above"),
-        F.max(F.when(above, F.col("g")))["t"].alias("text_before"),
-        F.min(F.when(below, F.col("g")))["t"].alias("text_after"),
+    rows = blocks.unionByName(
+        images.select(*KEY, F.col("y0").alias("down"), F.col("y1").alias("up"), F.lit(1).alias("is_image"), picture.alias("image")), allowMissingColumns=True
+    )
+    page = Window.partitionBy(*KEY)
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    above = page.orderBy("down", "is_image").rowsBetween(*so_far)
+    below = page.orderBy(F.desc("up"), "is_image").rowsBetween(*so_far)
+    found = rows.select(
+        "*",
+        F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n_above"),
+        F.max("g").over(above).alias("before"),
+        F.min("g").over(below).alias("after"),
+        F.coalesce(F.sum("n").over(page), F.lit(0)).alias("total"),
+    ).where("is_image = 1")
+    return found.select(
+        "image.*",
+        (F.col("n_above") / F.greatest("total", F.lit(1))).alias("frac_above"),
+        F.col("before.t").alias("text_before"),
+        F.col("after.t").alias("text_after"),
     )
 
 
@@ -87,6 +99,7 @@ def overlap(a: tuple[str, str, str, str], b: tuple[str, str, str, str]) -> Colum
     return wide * high / F.greatest((ax1 - ax0) * (ay1 - ay0), F.lit(1.0))
 
 
+# Fixed value: the share of a line that a table must cover to hold it.
 def outside_tables(lines: DataFrame, boxes: DataFrame, share: float = 0.5, how: str = "left_anti") -> DataFrame:
     """Lines that no table box covers by more than the share (or, left_semi, that one does)."""
     names = ("x0", "y0", "x1", "y1")
@@ -149,6 +162,8 @@ def document_layout(layouts: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min_by(F.struct(*names), "target_ord").alias("layout")).select("doc_id", "layout.*")
 
 
+# Fixed values below: the shares of the body size, and the distances in points, that tell
+# headings, captions and alignment.
 def kind_of_line(size: Column, body: Column) -> Column:
     return F.when(size >= body * 1.25, "heading").when(size <= body * 0.88, "caption").otherwise("paragraph")
 
@@ -179,11 +194,17 @@ def first_line(blocks: DataFrame, lines: DataFrame, head: int = 20, least: int =
     that starts with the block's normalised head, else the first that contains it. Blocks
     that are tables, blank, or short of head have none, and are left out."""
     texts = blocks.where((F.col("kind") != "table") & ~T.blank(F.col("text"))).select(*KEY, "block_ord", F.substring(T.normalize(F.col("text")), 1, head).alias("head"))
+    texts = texts.where(F.length("head") >= least)
     other = lines.select(*(F.col(k).alias(f"l_{k}") for k in KEY), T.normalize(F.col("text")).alias("l_text"), F.struct("ord", "size", "x0", "x1", "bold").alias("line"))
-    on = (F.col("doc_id") == F.col("l_doc_id")) & (F.col("page_no") == F.col("l_page_no")) & F.contains("l_text", F.col("head"))
-    found = texts.where(F.length("head") >= least).join(other, on)
+    on = (F.col("doc_id") == F.col("l_doc_id")) & (F.col("page_no") == F.col("l_page_no"))
+    # a head of full length that begins a line equals that line's head: an equality for most
+    heads = other.select("l_doc_id", "l_page_no", F.substring("l_text", 1, head).alias("l_head"), "line").where(F.length("l_head") == head)
+    heads = heads.groupBy("l_doc_id", "l_page_no", "l_head").agg(F.min_by("line", "line.ord").alias("line"))
+    equal = texts.join(heads, on & (F.col("head") == F.col("l_head")), "left").select(*KEY, "block_ord", "head", "line")
+    rest = equal.where("line is null").drop("line").join(other, on & F.contains("l_text", F.col("head")))
     prefix = F.startswith("l_text", F.col("head"))
-    return found.groupBy(*KEY, "block_ord").agg(F.min_by("line", F.struct(~prefix, F.col("line.ord"))).alias("line"))
+    searched = rest.groupBy(*KEY, "block_ord").agg(F.min_by("line", F.struct(~prefix, F.col("line.ord"))).alias("line"))
+    return equal.where("line is not null").select(*KEY, "block_ord", "line").unionByName(searched)
 
 
 def measure_look(blocks: DataFrame, lines: DataFrame, pages: DataFrame) -> DataFrame:

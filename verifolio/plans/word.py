@@ -14,7 +14,6 @@ from .ordered import interleaved, order_window, table_width
 SCALE = {"small": 0.8, "normal": 1.0, "large": 1.6}
 LEAST_PT, MOST_TIMES, CAPTION_PT = 8.0, 2.2, 9.0
 BODY_PT, COLUMN_IN = 11.0, 6.5
-HEADING_LEVEL = 2
 
 
 def _base(size: Column) -> Column:
@@ -46,11 +45,13 @@ def grid(b: Column, width: Column) -> Column:
     )
 
 
-def word_plan(pages: DataFrame, images: DataFrame, layouts: DataFrame | None = None) -> DataFrame:
-    """One row per written thing: doc_id, page_no, seq, op (heading, paragraph, caption,
-    item, table, image, page_break), text, align, bold, point, header, grid, width_in, path.
+def word_plan(pages: DataFrame, images: DataFrame, layouts: DataFrame | None = None, titles: DataFrame | None = None) -> DataFrame:
+    """One row per written thing: doc_id, page_no, seq, op (title, heading, paragraph, caption,
+    item, table, image, page_break), text, align, bold, point, header, grid, width_in, ratio
+    (height by width of a picture), path.
 
-    Skipped and reshaped things are in ``word_problems``."""
+    ``titles`` (doc_id, title) are written first, unless ``layouts`` are given: a source that is
+    matched has no such line. Skipped and reshaped things are in ``write_problems``."""
     b = F.col("b")
     rows = interleaved(pages, images)
     anchor = size_anchor(pages.select(*KEY, F.posexplode("blocks").alias("block_ord", "b")).select(*KEY, "block_ord", "b.kind", "b.size", "b.text"))
@@ -88,6 +89,7 @@ def word_plan(pages: DataFrame, images: DataFrame, layouts: DataFrame | None = N
         F.when((b["kind"] == "table") & b["has_header"], b["header"]).alias("header"),
         F.when(b["kind"] == "table", grid(b, width)).alias("grid"),
         F.least(F.col("image.width_in"), column).alias("width_in"),
+        _ratio(images).alias("ratio"),
         F.col("image.path").alias("path"),
     )
     items = planned.select("*", F.posexplode("texts").alias("part", "text")).drop("texts")
@@ -97,8 +99,26 @@ def word_plan(pages: DataFrame, images: DataFrame, layouts: DataFrame | None = N
         *KEY, F.lit(1 << 30).alias("slot"), F.lit(2).alias("is_block"), F.lit(-1).alias("img_ord"), F.lit("page_break").alias("op"), F.lit(0).alias("part")
     )
     every = items.unionByName(breaks, allowMissingColumns=True)
+    if titles is not None and layouts is None:
+        first = targets.groupBy("doc_id").agg(F.min("page_no").alias("page_no")).join(titles, "doc_id").where(~T.blank(F.col("title")))
+        heads = first.select(*KEY, F.lit(-1).alias("slot"), F.lit(0).alias("is_block"), F.lit(-1).alias("img_ord"), F.lit("title").alias("op"), F.lit(0).alias("part"), F.col("title").alias("text"))
+        every = every.unionByName(heads, allowMissingColumns=True)
     seq = F.row_number().over(order_window("doc_id").orderBy("page_no", "slot", "is_block", "img_ord", "part"))
-    return every.select("doc_id", "page_no", seq.alias("seq"), "op", "text", "align", "bold", "point", "header", "grid", "width_in", "path")
+    return every.select("doc_id", "page_no", seq.alias("seq"), "op", "text", "align", "bold", "point", "header", "grid", "width_in", "ratio", "path")
+
+
+def _ratio(images: DataFrame) -> Column:
+    """Height by width: of the pixels where they are known, else of the place on the page."""
+    known = {"px_w", "px_h", "width_in", "height_in"} & set(images.columns)
+    of = lambda a, b: F.when((F.col(f"image.{a}") > 0) & (F.col(f"image.{b}") > 0), F.col(f"image.{b}") / F.col(f"image.{a}")) if {a, b} <= known else F.lit(None)
+    return F.coalesce(of("px_w", "px_h"), of("width_in", "height_in")).cast("double")
+
+
+def scan_plan(pages: DataFrame, images: DataFrame, layouts: DataFrame | None = None) -> DataFrame:
+    """The plan of a separate document that holds the scanned pages' pictures and no text, of
+    documents that have any; every page of theirs is a page of it."""
+    blank = pages.select(*KEY, F.array().cast(pages.schema["blocks"].dataType).alias("blocks"))
+    return word_plan(blank.join(images.select("doc_id").distinct(), "doc_id", "left_semi"), images, layouts)
 
 
 def write_problems(pages: DataFrame) -> DataFrame:

@@ -13,11 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import schema
 from .functions import text as T
 from .operators import checks, repair, select, spatial
 from .plans import markdown, ordered, sheet, word
 from .session import spread, table
-from .sources import history
+from .sinks import office as sinks
+from .sources import history, office, pdf, providers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -127,6 +129,17 @@ def _blocks(spark: SparkSession, sf: str) -> DataFrame:
     return _lines(spark, sf).select("doc_id", "page_no", F.col("line").alias("block_ord"), F.lit("paragraph").alias("kind"), text.alias("text"), *_no_table())
 
 
+def _block_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The same blocks as arrays in their page's row, with its source text."""
+    misread = lambda x, i: F.when(i % 4 == 1, F.replace(x, F.lit("e"), F.lit("q"))).otherwise(x)
+    none = F.lit(None)
+    block = lambda x, i: F.struct(
+        i.alias("block_ord"), F.lit("paragraph").alias("kind"), misread(x, i).alias("text"), none.cast("array<string>").alias("header"), none.cast("array<array<string>>").alias("rows")
+    )
+    bs = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(~T.blank(x), block(x, i))), lambda b: b.isNotNull())
+    return _documents(spark, sf).select("doc_id", F.lit(1).alias("page_no"), F.col("text").alias("source_text"), bs.alias("bs"))
+
+
 def _no_table() -> list:
     none = F.lit(None)
     return [
@@ -225,18 +238,22 @@ def normalize_pages(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("page_id", T.normalize(F.col("html")).alias("normalized"), T.strip(F.col("html")).alias("stripped"))
 
 
+_EOL_SQL = r"\r\n|[\x0A-\x0D\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+
+
 @query(
-    """
-    WITH i AS (SELECT doc_id, [x for x in [trim(y, ' •◦▪-–' || chr(9)) for y in string_split(replace(text, '. ', chr(92) || 'n- '), chr(92) || 'n')] if x <> ''] AS xs FROM documents
-               WHERE NOT contains(text, chr(10)))
-    SELECT doc_id, len(CASE WHEN len(xs) > 0 THEN xs ELSE ['x'] END)::BIGINT AS n, array_to_string(xs, '|') AS items FROM i
+    rf"""
+    WITH u AS (SELECT doc_id, replace(replace(replace(replace(text, '. ', chr(92) || 'n- '), chr(92) || 'r' || chr(92) || 'n', chr(10)), chr(92) || 'n', chr(10)), chr(92) || 't', chr(9)) AS t,
+               replace(text, '. ', chr(92) || 'n- ') AS whole FROM documents),
+    i AS (SELECT doc_id, whole, [x for x in [trim(y, ' •◦▪-–' || chr(9)) for y in regexp_split_to_array(t, '{_EOL_SQL}')] if x <> ''] AS xs FROM u)
+    SELECT doc_id, len(CASE WHEN len(xs) > 0 THEN xs ELSE [whole] END)::BIGINT AS n, array_to_string(CASE WHEN len(xs) > 0 THEN xs ELSE [whole] END, '|') AS items FROM i
     """
 )
 def list_splitting(spark: SparkSession, sf: str) -> DataFrame:
-    """One-line documents whose sentences were written as items with spelled-out line ends."""
-    d = _documents(spark, sf).where(~F.contains("text", F.lit("\n")))
+    """Documents as list blocks: real line ends, and sentences written as items with
+    spelled-out ones."""
     items = T.list_items(F.replace("text", F.lit(". "), F.lit("\\n- ")))
-    return d.select("doc_id", F.size(items).cast("long").alias("n"), F.array_join(items, "|").alias("items"))
+    return _documents(spark, sf).select("doc_id", F.size(items).cast("long").alias("n"), F.array_join(items, "|").alias("items"))
 
 
 # --- Coverage --------------------------------------------------------------------------------
@@ -274,13 +291,17 @@ def missing_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_MISSING}, share AS (SELECT *, CASE WHEN ns = '' THEN NULL WHEN len(ws) = 0 THEN 1.0 ELSE 1 - len(lost)::DOUBLE / len(ws) END AS c FROM gone)
+    f"""WITH {_GONE_LINES}, gone AS (SELECT *, list_sort([w for w in ws if NOT contains(qg, w)]) AS lost FROM words),
+    share AS (SELECT *, CASE WHEN ns = '' THEN NULL WHEN len(ws) = 0 THEN 1.0 ELSE 1 - len(lost)::DOUBLE / len(ws) END AS c FROM gone),
+    listed AS (SELECT doc_id, list({_strip('raw')} ORDER BY ord) AS ls FROM first GROUP BY doc_id)
     SELECT doc_id, 'problem' AS severity, round_even(c * 100, 0)::BIGINT || '% of the words are there, ' || len(lost) || ' missing: ' || array_to_string(lost[1:8], ', ')
-           || CASE WHEN len(lost) > 8 THEN ' (+' || (len(lost) - 8) || ' more)' ELSE '' END AS message FROM share WHERE c < 0.95"""
+           || CASE WHEN len(lost) > 8 THEN ' (+' || (len(lost) - 8) || ' more)' ELSE '' END AS message FROM share WHERE c < 0.95
+    UNION ALL SELECT doc_id, 'problem', len(ls) || ' line(s) missing: ' || array_to_string([substr(x, 1, 50) for x in ls[1:4]], '; ')
+           || CASE WHEN len(ls) > 4 THEN ' (+' || (len(ls) - 4) || ' more)' ELSE '' END FROM listed"""
 )
 def coverage_findings(spark: SparkSession, sf: str) -> DataFrame:
-    found = checks.coverage_findings(_pairs(spark, sf), "source_text", "produced")
-    return found.where(F.contains("message", F.lit("of the words"))).select("doc_id", "severity", "message")
+    """Pages that lost words beyond the threshold, and pages that lost whole lines."""
+    return checks.coverage_findings(_pairs(spark, sf), "source_text", "produced").select("doc_id", "severity", "message")
 
 
 # --- Grounding --------------------------------------------------------------------------------
@@ -292,7 +313,7 @@ def _sources(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_JUDGED} SELECT doc_id, sum((held OR share >= 0.9)::INT)::BIGINT AS found, count(*)::BIGINT AS total FROM judged GROUP BY doc_id")
 def grounding_share(spark: SparkSession, sf: str) -> DataFrame:
-    found = checks.grounding(_blocks(spark, sf), _sources(spark, sf), "source_text")
+    found = checks.grounding(None, _block_pages(spark, sf), "source_text")
     return checks.grounding_share(found).select("doc_id", "found", "total")
 
 
@@ -302,13 +323,13 @@ def grounding_share(spark: SparkSession, sf: str) -> DataFrame:
     FROM judged WHERE NOT held AND share < 0.9"""
 )
 def grounding_word_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    found = checks.grounding(_blocks(spark, sf), _sources(spark, sf), "source_text").where("message is not null")
+    found = checks.grounding(None, _block_pages(spark, sf), "source_text").where("message is not null")
     return found.select("doc_id", F.col("block_ord").cast("long").alias("block_ord"), "message")
 
 
 @query(f"WITH {_JUDGED} SELECT doc_id, block_ord::BIGINT AS block_ord FROM judged WHERE NOT held AND share < 0.9")
 def ungrounded_text(spark: SparkSession, sf: str) -> DataFrame:
-    found = checks.ungrounded_text(_blocks(spark, sf), _sources(spark, sf), "source_text")
+    found = checks.ungrounded_text(None, _block_pages(spark, sf), "source_text")
     return found.select("doc_id", F.col("block_ord").cast("long").alias("block_ord"))
 
 
@@ -492,7 +513,7 @@ def overlap_antijoin(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH {_LINES}, keyed AS (SELECT *, {_n('text')} AS nt FROM lines),
-    b AS (SELECT doc_id, line AS block_ord, substr(nt, 1, 20) AS head FROM keyed WHERE line % 5 = 2 AND length(substr(nt, 1, 20)) >= 6),
+    b AS (SELECT doc_id, line AS block_ord, substr(nt, 1, 20) AS head FROM keyed WHERE length(substr(nt, 1, 20)) >= 6),
     j AS (SELECT b.doc_id, block_ord, k.line, k.size, k.x0, k.x1, k.line % 6 = 0 AS bold, row_number() OVER (PARTITION BY b.doc_id, block_ord ORDER BY NOT starts_with(k.nt, head), k.line) AS rn
           FROM b JOIN keyed k ON k.doc_id = b.doc_id AND contains(k.nt, head)),
     w AS (SELECT doc_id, round_even(size, 1) AS v, sum(length(text)) AS n, min(line) AS o FROM lines GROUP BY ALL),
@@ -504,7 +525,7 @@ def overlap_antijoin(spark: SparkSession, sf: str) -> DataFrame:
 )
 def block_look_lookup(spark: SparkSession, sf: str) -> DataFrame:
     lines = _lines(spark, sf)
-    blocks = lines.where(F.col("line") % 5 == 2).select("doc_id", "page_no", F.col("line").alias("block_ord"), F.lit("paragraph").alias("kind"), "text")
+    blocks = lines.select("doc_id", "page_no", F.col("line").alias("block_ord"), F.lit("paragraph").alias("kind"), "text")
     found = spatial.first_line(blocks, lines).join(spatial.body_size(lines, 1), ["doc_id", "page_no"])
     line = F.col("line")
     look = spatial.measured_look(line["size"], F.col("body"), line["x0"], line["x1"], F.lit(612.0), line["bold"])
@@ -579,14 +600,21 @@ def repair_rows_insert(spark: SparkSession, sf: str) -> DataFrame:
 def repair_lines_insert(spark: SparkSession, sf: str) -> DataFrame:
     """Extracted lines as blocks, with the dropped ones back; the insertions of a page move
     one another, so there is no SQL for it: tests compare it with lists."""
-    pages = _pairs(spark, sf)
-    lines = _lines(spark, sf)
     kinds = lambda x: F.struct(F.lit("paragraph").alias("kind"), x.alias("text"), *_no_table())
     blocks = F.transform(F.filter(F.split("produced", "\n"), lambda x: ~T.blank(x)), kinds)
-    page = pages.select("doc_id", "page_no", F.lit(612.0).alias("width_pt"), blocks.alias("blocks"))
-    gone = checks.missing_lines(pages, "source_text", "produced")
-    boxes = pages.select("doc_id", "page_no", F.lit(0.0).alias("x0"), F.lit(-9.0).alias("y0"), F.lit(1.0).alias("x1"), F.lit(-8.0).alias("y1"))
-    fixed = repair.restore_lines(page, lines, gone, boxes)
+    x0 = lambda i: 72.0 + (i % 3) * 40
+    y0 = lambda i: 12.0 * F.floor(i / 2)
+    line = lambda x, i: F.struct(
+        i.alias("ord"), x.alias("text"), (8.0 + (F.col("doc_id") + i) % 5).alias("size"), x0(i).alias("x0"), y0(i).alias("y0"), (x0(i) + F.least(F.length(x), F.lit(90)) * 4).alias("x1"), (y0(i) + 10).alias("y1")
+    )
+    lines = F.filter(F.transform(F.split("source_text", "\n"), line), lambda l: ~T.blank(l["text"]))
+    box = F.struct(F.lit(0.0).alias("x0"), F.lit(-9.0).alias("y0"), F.lit(1.0).alias("x1"), F.lit(-8.0).alias("y1"))
+    gone = F.transform(checks.lost_lines(F.col("source_text"), F.col("produced")), lambda g: g["raw"])
+    none = F.array().cast("array<string>")
+    pages = _pairs(spark, sf).select(
+        "doc_id", "page_no", F.lit(612.0).alias("width_pt"), blocks.alias("blocks"), lines.alias("lines"), F.coalesce(gone, none).alias("missing"), F.array(box).alias("boxes")
+    )
+    fixed = repair.put_back(pages)
     return fixed.select("doc_id", F.size("blocks").cast("long").alias("n_blocks"), F.col("restored").cast("long"), F.sha1(F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")).alias("digest"))
 
 
@@ -696,18 +724,407 @@ def roundtrip_verify(spark: SparkSession, sf: str) -> DataFrame:
 # --- History and digests -------------------------------------------------------------------------------------
 
 
+_RUNS = "d AS (SELECT event_type AS label, strftime(ts, '%Y-%m-%d') AS day, count(*) AS blocks, round_even(sum(value), 4) AS wall_s FROM events GROUP BY ALL)"
+
+
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").withColumn("label", F.col("event_type"))
+    return e.groupBy("label", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("blocks"), F.bround(F.sum("value"), 4).alias("wall_s"))
+
+
 @query(
-    """WITH d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*)::DOUBLE AS blocks, round_even(sum(value), 4) AS wall_s FROM events GROUP BY ALL),
-    l AS (SELECT *, lag(blocks) OVER (ORDER BY day) AS b0, lag(wall_s) OVER (ORDER BY day) AS w0 FROM d)
-    SELECT day, round_even(CASE WHEN b0 <> 0 THEN (blocks - b0) / b0 * 100 END, 4) AS blocks_pct, round_even(CASE WHEN w0 <> 0 THEN (wall_s - w0) / w0 * 100 END, 2) AS wall_s_pct FROM l"""
+    f"""WITH {_RUNS}, l AS (SELECT *, lag(blocks) OVER w AS b0, lag(wall_s) OVER w AS w0 FROM d WINDOW w AS (PARTITION BY label ORDER BY day))
+    SELECT label, day, round_even(CASE WHEN b0 <> 0 THEN (blocks - b0)::DOUBLE / b0 * 100 END, 4) AS blocks_pct, round_even(CASE WHEN w0 <> 0 THEN (wall_s - w0) / w0 * 100 END, 2) AS wall_s_pct FROM l"""
 )
 def bench_delta(spark: SparkSession, sf: str) -> DataFrame:
+    found = history.deltas(_runs(spark, sf), "day", ["blocks", "wall_s"], ["label"])
+    return found.select("label", "day", F.bround("blocks_pct", 4).alias("blocks_pct"), F.bround("wall_s_pct", 2).alias("wall_s_pct"))
+
+
+@query(
+    f"""WITH {_RUNS}, l AS (SELECT *, lag(blocks) OVER (PARTITION BY label ORDER BY day) AS b0 FROM d)
+    SELECT label, day, 'blocks changed from ' || b0 || ' to ' || blocks AS warning FROM l WHERE b0 <> blocks"""
+)
+def bench_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs whose amount of content differs from that of the run before."""
+    return history.changed_content(_runs(spark, sf), "day", ["label"]).where("warning is not null").select("label", "day", "warning")
+
+
+@query(
+    """WITH r AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 0.0 ELSE value END AS s, event_id % 3 AS k, event_type FROM events)
+    SELECT event_id, round_even(CASE WHEN s = 0 THEN 0.0 ELSE (event_id % 1000)::DOUBLE / s END, 6)::DOUBLE AS rate,
+           CASE WHEN k = 0 THEN '100% GPU' WHEN k = 1 THEN '41%/59% CPU/GPU' ELSE 'unknown' END AS processor FROM r"""
+)
+def run_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Rates of runs, 0 where no time passed, and the processor out of a listing of processes."""
     e = table(spark, sf, "events")
-    runs = e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).cast("double").alias("blocks"), F.bround(F.sum("value"), 4).alias("wall_s"))
-    found = history.deltas(runs, "day", ["blocks", "wall_s"])
-    return found.select("day", F.bround("blocks_pct", 4).alias("blocks_pct"), F.bround("wall_s_pct", 2).alias("wall_s_pct"))
+    seconds = F.when(F.col("event_id") % 4 == 0, 0.0).otherwise(F.col("value"))
+    k = F.col("event_id") % 3
+    listing = F.when(k == 0, "NAME ID SIZE PROCESSOR\nm1 a 3GB  100%   GPU\nm2 b 1GB 7% CPU").when(k == 1, "NAME\nm2 z 8% GPU\nm1 y 41%/59% CPU/GPU").otherwise("NAME\nother x 100% GPU")
+    return e.select("event_id", F.bround(history.rate(F.col("event_id") % 1000, seconds), 6).alias("rate"), history.processor(listing, F.lit("m1")).alias("processor"))
 
 
 @query("SELECT doc_id, sha1(text) AS digest FROM documents")
 def image_digest(spark: SparkSession, sf: str) -> DataFrame:
     return _documents(spark, sf).select("doc_id", F.sha1(F.col("text").cast("binary")).alias("digest"))
+
+
+# --- Answers, structure ---------------------------------------------------------------------------------------
+
+
+def _answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as responses of a model: a page with one block, some of them damaged or cut off."""
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_no"), "role", "text")
+    k = (F.col("doc_id") + F.col("page_no")) % 8
+    block = F.struct(
+        F.when(k == 1, "poem").otherwise("paragraph").alias("kind"),
+        F.when(k == 2, F.lit(None)).when(k == 3, " ").otherwise(F.col("text")).alias("text"),
+        F.when(k == 4, "top").otherwise("left").alias("align"),
+        F.lit("normal").alias("size"),
+        F.lit("false").alias("bold"),
+    )
+    counts = F.when(k == 5, F.array_repeat(F.lit("2"), 12)).otherwise(F.array().cast("array<string>"))
+    page = F.struct(F.struct(F.when(k == 6, "3").otherwise("1").alias("n_blocks"), counts.alias("table_column_counts")).alias("analysis"), F.array(block).alias("blocks"))
+    content = F.when(k == 7, "no json").otherwise(F.to_json(page))
+    return c.select("doc_id", "page_no", content.alias("content"), F.when(F.col("page_no") % 5 == 4, "length").otherwise("stop").alias("done_reason"))
+
+
+_K = "k AS (SELECT conv_id AS doc_id, turn::INT AS page_no, (conv_id + turn) % 8 AS k, turn % 5 = 4 AS cut, text FROM conversations)"
+
+
+@query(
+    f"""WITH {_K} SELECT doc_id, page_no::BIGINT AS page_no, CASE WHEN cut THEN 'cut off at 4000 tokens' END AS error, CASE WHEN cut OR k = 7 THEN 'failed' ELSE 'ok' END AS status,
+    (CASE WHEN cut OR k = 7 THEN NULL WHEN k = 6 THEN 3 ELSE 1 END)::BIGINT AS n_blocks, (CASE WHEN cut OR k = 7 THEN -1 ELSE 1 END)::BIGINT AS got FROM k"""
+)
+def parsed_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Responses that were cut off or are no JSON fail; others are parsed."""
+    answers = schema.model_answers(_answers(spark, sf))
+    parsed = schema.parse_model_pages(answers).join(answers.select(*schema.KEY, "error"), schema.KEY)
+    got = F.coalesce(F.size("blocks"), F.lit(-1))
+    return parsed.select("doc_id", F.col("page_no").cast("long").alias("page_no"), "error", "status", F.col("n_blocks").cast("long").alias("n_blocks"), got.cast("long").alias("got"))
+
+
+@query(
+    f"""WITH {_K}, u AS (SELECT * FROM k WHERE NOT cut AND k <> 7)
+    SELECT doc_id, page_no::BIGINT AS page_no, 'schema' AS "check", 'problem' AS severity, CASE k WHEN 1 THEN 'block[0]: kind is unknown' WHEN 2 THEN 'block[0]: text is missing' WHEN 4 THEN 'block[0]: align is unknown'
+           ELSE 'announces 12 tables, more than 10' END AS message FROM u WHERE k IN (1, 2, 4, 5)
+    UNION ALL SELECT doc_id, page_no, 'structure', 'note', 'announced 3 blocks, got 1 (paragraph)' FROM u WHERE k = 6
+    UNION ALL SELECT doc_id, page_no, 'structure', 'problem', 'block[0] kind=paragraph: no text' FROM u WHERE k IN (2, 3)"""
+)
+def answer_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """What answers say that they may not, and where they contradict themselves."""
+    parsed = schema.parse_model_pages(schema.model_answers(_answers(spark, sf)))
+    good = parsed.where("status = 'ok'")
+    columns = [*schema.KEY, "check", "severity", "message"]
+    found = schema.validate(schema.explode_blocks(good)).select(*columns).unionByName(schema.page_findings(good).select(*columns)).unionByName(checks.structure(good).select(*columns))
+    return found.withColumn("page_no", F.col("page_no").cast("long"))
+
+
+@query(
+    f"""WITH {_PART_TABLES}, t AS (SELECT doc_id, 1 AS tables, len(rows) AS table_rows FROM faulty)
+    SELECT doc_id, (1 + doc_id % 3)::BIGINT AS blocks, tables::BIGINT AS tables, table_rows::BIGINT AS table_rows FROM t"""
+)
+def run_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks, tables and table rows of pages: a table with none to two texts beside it."""
+    tables = _part_tables(spark, sf).select("doc_id", "page_no", "kind", "rows")
+    texts = tables.where("doc_id % 3 > 0").select("doc_id", "page_no", F.explode(F.sequence(F.lit(1), (F.col("doc_id") % 3).cast("int"))).alias("i"))
+    texts = texts.select("doc_id", "page_no", F.lit("paragraph").alias("kind"), F.lit(None).cast("array<array<string>>").alias("rows"))
+    return schema.run_counts(tables.unionByName(texts), ["doc_id"])
+
+
+# --- Lines from spans, looks, layouts -----------------------------------------------------------------------
+
+
+@query(
+    f"""WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+    w AS (SELECT doc_id, line, unnest(string_split(t, ' ')) AS word, generate_subscripts(string_split(t, ' '), 1) - 1 AS k FROM raw),
+    l AS (SELECT doc_id, line, string_agg(word || ' ', '' ORDER BY k) AS t, max(9.0 + k % 4) AS size, max(72.0 + 10 * k + 9) AS x1, bool_or(k % 7 = 3) AS bold FROM w GROUP BY ALL)
+    SELECT doc_id, line::BIGINT AS line, {_strip('t')} AS text, size::DOUBLE AS size, x1::DOUBLE AS x1, bold FROM l WHERE length({_strip('t')}) > 0"""
+)
+def span_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines put together from spans: here the words of a line, in sizes and fonts that vary."""
+    d = _documents(spark, sf)
+    lines = d.select("doc_id", F.lit(1).alias("page_no"), F.lit(0).alias("blk"), F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    words = lines.select("doc_id", "page_no", "blk", "line", F.posexplode(F.split("t", " ")).alias("span", "w"))
+    k = F.col("span")
+    spans = words.select(
+        "doc_id", "page_no", "blk", "line", "span", F.concat("w", F.lit(" ")).alias("text"), (9.0 + k % 4).alias("size"), F.when(k % 7 == 3, "Serif-Bold").otherwise("Serif").alias("font"),
+        (72.0 + 10 * k).alias("x0"), F.lit(0.0).alias("y0"), (72.0 + 10 * k + 9).alias("x1"), F.lit(10.0).alias("y1"),
+    )
+    return spatial.line_table(spans).select("doc_id", F.col("line").cast("long").alias("line"), "text", "size", "x1", "bold")
+
+
+@query(
+    f"""WITH {_LINES}, w AS (SELECT doc_id, round_even(size, 0) AS v, sum(length(text)) AS n, min(line) AS o FROM lines GROUP BY ALL),
+    body AS (SELECT doc_id, arg_max(v, n * 1000000 - o) AS body FROM w GROUP BY doc_id)
+    SELECT l.doc_id, line::BIGINT AS line, CASE WHEN size >= body * 1.25 THEN 'heading' WHEN size <= body * 0.88 THEN 'caption' ELSE 'paragraph' END AS kind,
+           CASE WHEN abs((x0 + x1) / 2 - 306) < 20 THEN 'center' ELSE 'left' END AS align, CASE WHEN size >= body * 1.25 THEN 'large' WHEN size <= body * 0.88 THEN 'small' ELSE 'normal' END AS size, false AS bold
+    FROM lines l JOIN body USING (doc_id)"""
+)
+def restored_looks(spark: SparkSession, sf: str) -> DataFrame:
+    """Kind and look that a line gets which comes back from the text layer."""
+    lines = _lines(spark, sf)
+    rows = lines.join(spatial.body_size(lines), ["doc_id", "page_no"])
+    look = spatial.restored_look(F.col("size"), F.col("body"), F.col("x0"), F.col("x1"), F.lit(612.0))
+    kind = spatial.kind_of_line(F.col("size"), F.col("body"))
+    return rows.select("doc_id", F.col("line").cast("long").alias("line"), kind.alias("kind"), look.alias("l")).select("doc_id", "line", "kind", "l.align", "l.size", "l.bold")
+
+
+@query("SELECT conv_id AS doc_id, (500 + max(turn) * 7)::DOUBLE AS width_pt, (10 + max(turn))::DOUBLE AS left_pt FROM conversations GROUP BY conv_id")
+def document_layouts(spark: SparkSession, sf: str) -> DataFrame:
+    """A document's layout is that of the page that was processed first; here the last one."""
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"))
+    page = F.col("page_no")
+    layouts = c.select("doc_id", "page_no", (500.0 + page * 7).alias("width_pt"), (10.0 + page).alias("left_pt"))
+    return spatial.document_layout(layouts, c.select("doc_id", "page_no", (-page).alias("target_ord")))
+
+
+# --- Tables, written and checked --------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {_PART_TABLES}, g AS (SELECT doc_id, unnest(rows) AS r, generate_subscripts(rows, 1) - 1 AS k, len(rows[1]) AS w FROM faulty)
+    SELECT doc_id, k::BIGINT AS row, array_to_string(CASE WHEN k % 4 = 3 THEN [r[1]] || ['' for x in range(w - 1)] ELSE list_resize(r, w, '') END, '|') AS cells, k % 4 = 3 AND w > 1 AS divider FROM g"""
+)
+def table_grids(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows on the grid of their table, cut or padded; a row with a first cell only divides."""
+    t = _part_tables(spark, sf).where("size(rows) > 0")
+    rows = F.transform("rows", lambda r, i: F.when(i % 4 == 3, F.slice(r, 1, 1)).otherwise(r))
+    b = t.select("doc_id", F.struct(rows.alias("rows")).alias("b"), F.size(F.get("rows", F.lit(0))).alias("w"))
+    found = b.select("doc_id", F.posexplode(word.grid(F.col("b"), F.col("w"))).alias("row", "g"))
+    return found.select("doc_id", F.col("row").cast("long").alias("row"), F.array_join("g.cells", "|").alias("cells"), F.col("g.divider").alias("divider"))
+
+
+@query(
+    f"""WITH {_PART_TABLES}, t AS (SELECT doc_id, rows, CASE WHEN has_header THEN len(header) WHEN len(rows) > 0 THEN len(rows[1]) END AS w FROM faulty),
+    r AS (SELECT doc_id, w, unnest(rows) AS r, generate_subscripts(rows, 1) - 1 AS i FROM t)
+    SELECT doc_id, 'page 1 block[0]: table without rows, skipped' AS message FROM t WHERE len(rows) = 0
+    UNION ALL SELECT doc_id, 'page 1 block[0] row ' || i || ': ' || len(r) || ' cells on a grid of ' || w || CASE WHEN len(r) < w THEN ', padded' ELSE ', cut' END FROM r WHERE len(r) <> w
+    UNION ALL SELECT doc_id, 'page 1 block[1]: empty caption, skipped' FROM t"""
+)
+def write_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """What a writer reshapes or skips: ragged tables, empty ones, and a blank caption."""
+    t = _part_tables(spark, sf)
+    names = [x.split()[0] for x in schema.BLOCK.split(", ")]
+    kinds = dict(x.split(" ", 1) for x in schema.BLOCK.split(", "))
+    first = F.struct(*((F.col(n) if n in t.columns else F.lit(None)).cast(kinds[n]).alias(n) for n in names))
+    blank = {"kind": F.lit("caption"), "text": F.lit("  ")}
+    second = F.struct(*(blank.get(n, F.lit(None)).cast(kinds[n]).alias(n) for n in names))
+    return word.write_problems(t.select("doc_id", "page_no", F.array(first, second).alias("blocks"))).select("doc_id", "message")
+
+
+def _detected(spark: SparkSession, sf: str) -> DataFrame:
+    """The nations' grids with blank rows at their end, and a second one on even pages."""
+    t = _nation_tables(spark, sf)
+    blank = F.array(F.array(F.lit(" "), F.lit(None).cast("string")), F.array(F.lit(""), F.lit("\u00a0")))
+    one = t.select("doc_id", "page_no", F.lit(5.0).alias("x0"), F.lit(1.0).alias("y0"), F.concat("grid", blank).alias("grid"), (F.lit(2) + F.col("doc_id") % 2).cast("int").alias("col_count"))
+    two = t.where("doc_id % 2 = 0").select("doc_id", "page_no", F.lit(5.0).alias("x0"), F.lit(9.0).alias("y0"), "grid", "col_count")
+    return one.unionByName(two)
+
+
+@query(
+    f"""WITH {_NATIONS} SELECT doc_id, 'note' AS severity, 'tables: 1 extracted, 2 detected' AS message FROM cells WHERE doc_id % 2 = 0
+    UNION ALL SELECT doc_id, 'note', 'table[0]: ' || len(rows) || 'x2 extracted, ' || len(grid) || 'x' || (2 + doc_id % 2) || ' detected' FROM cells WHERE len(rows) <> len(grid) OR doc_id % 2 = 1"""
+)
+def geometry_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables that differ from the detected ones in number or shape; blank rows do not count."""
+    blocks = _nation_tables(spark, sf).drop("grid", "col_count")
+    return checks.geometry(blocks, _detected(spark, sf)).select("doc_id", "severity", "message")
+
+
+@query(f"WITH {_NATIONS} SELECT doc_id, (len(grid) + 2)::BIGINT AS rows, len(grid)::BIGINT AS real FROM cells")
+def blank_grid_rows(spark: SparkSession, sf: str) -> DataFrame:
+    d = _detected(spark, sf).where("y0 = 1.0")
+    return d.select("doc_id", F.size("grid").cast("long").alias("rows"), F.size(select.real_rows(F.col("grid"))).cast("long").alias("real"))
+
+
+# --- Files, written and read back -------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents),
+    p AS (SELECT doc_id, -1 AS k, 'Title' AS style, 'document ' || doc_id AS t FROM documents
+          UNION ALL SELECT doc_id, k, CASE WHEN k = 0 THEN 'Heading2' WHEN k = 3 THEN 'ListBullet' END, CASE WHEN k = 3 THEN trim(t, ' •◦▪-–' || chr(9)) ELSE {_strip('t')} END FROM b WHERE length({_collapse('t')}) > 0)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::BIGINT AS ord, style, {_strip('t')} AS text FROM p"""
+)
+def docx_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as Word files, read back: every paragraph in order, with its style."""
+    pages = _doc_pages(spark, sf)
+    titles = pages.select("doc_id", F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("title"))
+    made = sinks.word_files(word.word_plan(pages, _pictures(spark, sf).where("false"), titles=titles))
+    body = office.word_body(made).where("error is null")
+    return body.select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("doc_id"), F.col("ord").cast("long").alias("ord"), "style", T.strip(F.col("text")).alias("text"))
+
+
+_XLSX = SQL["sheet_rows"].replace("doc_id, row::BIGINT AS row, 1::BIGINT AS col", "doc_id, 'Sheet1' AS sheet, row::BIGINT AS row, 1::BIGINT AS col")
+
+
+@query(f"SELECT doc_id, sheet, row, col, value FROM ({_XLSX})")
+def xlsx_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as Excel files, read back: every cell with a value."""
+    items = sheet.sheet_items(_doc_pages(spark, sf), _pictures(spark, sf))
+    cells = sheet.sheet_cells(items)
+    made = sinks.sheet_files(cells, sheet.column_widths(cells))
+    read = office.sheet_cells(made).where("error is null")
+    return read.select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("doc_id"), "sheet", "row", "col", "value")
+
+
+@query(
+    """WITH n AS (SELECT n_regionkey AS doc_id, count(*) AS n FROM nation GROUP BY ALL)
+    SELECT doc_id::BIGINT AS doc_id, kind, (CASE WHEN kind = 'image' THEN n ELSE 1 END)::BIGINT AS n FROM n, (SELECT unnest(['image', 'table', 'text']) AS kind)"""
+)
+def body_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Word files with a heading, a table and a picture for each nation, and what is in them."""
+    t = _nation_tables(spark, sf)
+    names = [x.split()[0] for x in schema.BLOCK.split(", ")]
+    kinds = dict(x.split(" ", 1) for x in schema.BLOCK.split(", "))
+    head = {"kind": F.lit("heading"), "text": F.lit("Nations")}
+    grid = {"kind": F.lit("table"), "has_header": F.lit(False), "rows": F.col("grid")}
+    block = lambda found: F.struct(*(found.get(n, F.lit(None)).cast(kinds[n]).alias(n) for n in names))
+    pages = t.select("doc_id", "page_no", F.array(block(head), block(grid)).alias("blocks"))
+    images = t.select("doc_id", "page_no", F.posexplode("grid").alias("ord", "g")).select(
+        "doc_id", "page_no", "ord", F.lit(1.0).alias("frac_above"), F.lit(2.0).alias("width_in"), F.lit(1.0).alias("height_in"), F.lit(40).alias("px_w"), F.lit(20).alias("px_h"), F.get("g", F.lit(1)).alias("path")
+    )
+    data = images.select("path", F.col("path").cast("binary").alias("data"), F.lit("png").alias("ext"))
+    body = office.word_body(sinks.word_files(word.word_plan(pages, images), data))
+    return office.body_counts(body).select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("doc_id"), "kind", "n")
+
+
+@query("SELECT sum((doc_id % 3 > 0)::INT)::BIGINT AS ok, sum((doc_id % 3 = 0)::INT)::BIGINT AS failed FROM documents")
+def batch_tally(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that passed and failed; notes fail nothing."""
+    severity = F.when(F.col("doc_id") % 3 == 0, "problem").otherwise("note")
+    return checks.tally(_documents(spark, sf).select("doc_id", F.array(F.struct(severity.alias("severity"))).alias("findings")))
+
+
+@query(
+    f"""WITH {_MISSING} SELECT doc_id, len(ws)::BIGINT AS n_words, CASE WHEN ns = '' THEN NULL WHEN len(ws) = 0 THEN 1.0 ELSE round_even(1 - len(lost)::DOUBLE / len(ws), 6) END AS coverage FROM gone"""
+)
+def file_readback(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of the sources that written and read files still hold."""
+    pairs = _pairs(spark, sf)
+    names = [x.split()[0] for x in schema.BLOCK.split(", ")]
+    kinds = dict(x.split(" ", 1) for x in schema.BLOCK.split(", "))
+    of = {"kind": F.lit("paragraph"), "text": F.col("produced")}
+    pages = pairs.select("doc_id", "page_no", F.array(F.struct(*(of.get(n, F.lit(None)).cast(kinds[n]).alias(n) for n in names))).alias("blocks"))
+    read = office.word_summary(office.word_body(sinks.word_files(word.word_plan(pages, _pictures(spark, sf).where("false")))))
+    read = read.select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("r_doc"), F.col("text").alias("read"))
+    both = pairs.join(read, F.col("doc_id") == F.col("r_doc"), "left")
+    return checks.readback(both, "source_text", "read").select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.bround("coverage", 6).alias("coverage"))
+
+
+# --- Pictures, scans, PDF pages -----------------------------------------------------------------------------------
+
+
+def _page_images(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as pictures of pages, twenty a page, some of them too small."""
+    p = table(spark, sf, "part")
+    k = F.col("p_partkey")
+    return p.select(
+        F.floor(k / 20).alias("doc_id"), F.lit(1).alias("page_no"), (k % 20).cast("int").alias("ord"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"),
+        (F.col("p_size") * 2.0).alias("x1"), (F.col("p_size") * 3.0).alias("y1"), (F.col("p_size") * 4).alias("px_w"), (F.col("p_size") * 6).alias("px_h"), F.lit("png").alias("ext"), F.col("p_name").cast("binary").alias("data"),
+    )
+
+
+@query(
+    """WITH k AS (SELECT p_partkey // 20 AS doc_id, row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey) - 1 AS ord, p_name, p_size FROM part WHERE p_size * 4 >= 40 AND p_size * 6 >= 40 AND p_size * 2 >= 28 AND p_size * 3 >= 28)
+    SELECT doc_id || '/p001_img' || CASE WHEN ord < 10 THEN '0' ELSE '' END || ord || '.png' AS path, sha1(p_name) AS sha1, strlen(p_name)::BIGINT AS n_bytes, round_even(p_size * 2.0 / 72, 6)::DOUBLE AS width_in FROM k"""
+)
+def image_extract(spark: SparkSession, sf: str) -> DataFrame:
+    """Pictures that are kept, as the files they become, with digests of their bytes."""
+    found = select.extracted_images(_page_images(spark, sf))
+    files = sinks.image_files(found).select("path", F.octet_length("content").cast("long").alias("n_bytes"))
+    return found.select("path", "sha1", F.bround("width_in", 6).alias("width_in")).join(files, "path")
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT p_partkey // 20 AS doc_id FROM part), m AS (SELECT doc_id FROM d WHERE doc_id % 2 = 0),
+    s AS (SELECT doc_id, 1 AS page_no, 'image' AS op, 0.5 AS ratio, 1 AS seq FROM m UNION ALL SELECT doc_id, 1, 'page_break', NULL, 2 FROM m UNION ALL SELECT doc_id, 2, 'image', 2.0, 3 FROM m)
+    SELECT doc_id, page_no::BIGINT AS page_no, seq::BIGINT AS seq, op, ratio::DOUBLE AS ratio, (CASE WHEN op = 'image' THEN 6.0 END)::DOUBLE AS width_in FROM s"""
+)
+def scan_document(spark: SparkSession, sf: str) -> DataFrame:
+    """The separate document of scanned pages: pictures and page breaks, on their layout."""
+    pages = _part_tables(spark, sf).select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("page_no"))
+    pages = pages.withColumn("blocks", F.array().cast(f"array<struct<{','.join(x.replace(' ', ':', 1) for x in schema.BLOCK.split(', '))}>>"))
+    images = pages.where("doc_id % 2 = 0").select(
+        "doc_id", "page_no", F.lit(0).alias("ord"), F.lit(0.0).alias("frac_above"), F.lit(8.5).alias("width_in"), F.lit(11.0).alias("height_in"),
+        F.lit(100).alias("px_w"), F.when(F.col("page_no") == 1, 50).otherwise(200).alias("px_h"), F.lit("s").alias("path"),
+    )
+    layouts = pages.select("doc_id").distinct().select("doc_id", F.lit(612.0).alias("width_pt"), F.lit(90.0).alias("left_pt"), F.lit(90.0).alias("right_pt"), F.lit(10.0).alias("body_pt"))
+    plan = word.scan_plan(pages, images, layouts)
+    return plan.select("doc_id", F.col("page_no").cast("long").alias("page_no"), F.col("seq").cast("long").alias("seq"), "op", "ratio", "width_in")
+
+
+@query(
+    """WITH c AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ord FROM conversations),
+    w AS (SELECT conv_id, 'x' || conv_id AS sha1 FROM c GROUP BY conv_id),
+    p AS (SELECT conv_id, count(*) AS n, arg_max(text, turn) AS last, arg_min(text, turn) AS first FROM c GROUP BY conv_id)
+    SELECT conv_id AS doc_id, 'COUNT' AS "check", '1 extracted, 2 written' AS message FROM p WHERE conv_id % 3 = 1
+    UNION ALL SELECT conv_id, 'BYTES', 'image 0 differs' FROM p WHERE conv_id % 4 = 0
+    UNION ALL SELECT conv_id, 'POSITION', 'image 0 should follow nowhere to be seen' FROM p WHERE conv_id % 5 = 0"""
+)
+def image_verify(spark: SparkSession, sf: str) -> DataFrame:
+    """Pictures of written documents, put behind the text, against what was extracted: a second
+    one, other bytes, and a text that should stand before it but does not, are found."""
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("ord"), F.lit("text").alias("kind"), F.lit(None).cast("string").alias("sha1"), "text")
+    docs = c.groupBy("doc_id").agg(F.max_by("text", "ord").alias("text"))
+    shape = lambda d, at: d.select("doc_id", F.lit(1000 + at).alias("ord"), F.lit("image").alias("kind"), F.concat(F.lit("x"), F.col("doc_id").cast("string")).alias("sha1"), F.lit(None).cast("string").alias("text"))
+    written = c.unionByName(shape(docs, 0)).unionByName(shape(docs.where("doc_id % 3 = 1"), 1))
+    d = F.col("doc_id")
+    expected = docs.select(
+        "doc_id", F.lit(0).alias("ord"), F.when(d % 4 == 0, "y").otherwise(F.concat(F.lit("x"), d.cast("string"))).alias("sha1"),
+        F.when(d % 5 == 0, "nowhere to be seen").otherwise(F.col("text")).alias("text_before"), F.lit(None).cast("string").alias("text_after"),
+    )
+    return word.verify_images(expected, written)
+
+
+def _pdf_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files of the fake format: a page for each line, with a table and pictures."""
+    box = lambda k: (F.lit(72.0).alias("x0"), (12.0 * k).alias("y0"), F.lit(300.0).alias("x1"), (12.0 * k + 10).alias("y1"))
+    span = lambda x, k: F.struct(F.lit(0).alias("blk"), F.lit(0).alias("line"), F.lit(0).alias("span"), x.alias("text"), (8.0 + k % 5).alias("size"), F.lit("Serif").alias("font"), *box(k))
+    grid = lambda k: F.array_repeat(F.array(F.lit("a"), F.lit("b")), (k % 3 + 1).cast("int"))
+    table_ = lambda k: F.struct(F.lit(0).alias("ord"), *box(k), F.lit(2).alias("col_count"), grid(k).alias("grid"))
+    image = lambda k: F.struct(F.lit(0).alias("ord"), *box(k), F.lit(100).alias("px_w"), F.lit(50).alias("px_h"), F.lit("png").alias("ext"))
+    page = lambda x, k: F.struct(
+        (k + 1).alias("page_no"), F.lit(612.0).alias("width_pt"), F.lit(792.0).alias("height_pt"), x.alias("source_text"),
+        F.array(span(x, k)).alias("spans"), F.array(F.struct(F.lit(0).alias("ord"), *box(k), x.alias("text"))).alias("geo"),
+        F.array_repeat(table_(k), F.when(k % 4 == 0, 1).otherwise(0)).alias("tables"), F.array_repeat(image(k), (k % 2).cast("int")).alias("images"),
+    )
+    content = F.to_json(F.transform(F.split("text", "\n"), page)).cast("binary")
+    broken = F.when(F.col("doc_id") % 50 == 49, F.lit("no pages").cast("binary")).otherwise(content)
+    return _documents(spark, sf).select(F.col("doc_id").cast("string").alias("path"), broken.alias("content"))
+
+
+_PAGED = "g AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents WHERE doc_id % 50 <> 49)"
+
+
+@query(
+    f"""WITH {_PAGED} SELECT doc_id::VARCHAR AS doc_id, string_agg(t, chr(10) ORDER BY k) AS text, count(*)::BIGINT AS pages, sum(k % 2)::BIGINT AS images, sum((k % 4 = 0)::INT)::BIGINT AS tables,
+    sum(CASE WHEN k % 4 = 0 THEN k % 3 + 1 ELSE 0 END)::BIGINT AS table_rows FROM g GROUP BY ALL"""
+)
+def pdf_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Text, pages, images and tables of files that a provider read."""
+    found = pdf.pdf_summary(pdf.read_pages(_pdf_files(spark, sf), providers.FakePdf()))
+    rows = F.aggregate("tables", F.lit(0), lambda a, t: a + t["rows"])
+    return found.select("doc_id", "text", F.col("pages").cast("long").alias("pages"), F.col("images").cast("long").alias("images"), F.size("tables").cast("long").alias("tables"), rows.cast("long").alias("table_rows"))
+
+
+@query(
+    f"""WITH {_PAGED} SELECT doc_id::VARCHAR AS doc_id, (k + 1)::BIGINT AS page_no, t AS text, (8.0 + k % 5)::DOUBLE AS size, (12.0 * k)::DOUBLE AS y0 FROM g
+    UNION ALL SELECT doc_id::VARCHAR, NULL, 'unreadable', NULL, NULL FROM documents WHERE doc_id % 50 = 49"""
+)
+def pdf_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans of files that a provider read; files that it could not read fail alone."""
+    tables = pdf.pdf_tables(pdf.read_pages(_pdf_files(spark, sf), providers.FakePdf()))
+    spans = tables.spans.select("doc_id", F.col("page_no").cast("long").alias("page_no"), "text", "size", "y0")
+    none = F.lit(None)
+    return spans.unionByName(tables.errors.select("doc_id", none.cast("long").alias("page_no"), F.lit("unreadable").alias("text"), none.cast("double").alias("size"), none.cast("double").alias("y0")))
+
+
+@query(
+    f"""WITH {_PAGED} SELECT doc_id::VARCHAR AS doc_id, (k + 1)::BIGINT AS page_no, 125::BIGINT AS dpi, sha1(t) AS digest FROM g"""
+)
+def page_renders(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages rendered by a provider, at the resolution that a model is asked with."""
+    found = providers.provided(_pdf_files(spark, sf), providers.FakeRender(125)).where("error is null")
+    return found.select(F.col("path").alias("doc_id"), F.col("page_no").cast("long").alias("page_no"), F.col("dpi").cast("long").alias("dpi"), F.sha1(F.coalesce("image", F.lit(b""))).alias("digest"))

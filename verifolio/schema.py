@@ -28,11 +28,13 @@ BLOCK = (
 BLOCKS = f"doc_id string, page_no int, block_ord int, {BLOCK}"
 KEY = ["doc_id", "page_no"]
 
+# The kinds, alignments and sizes that an answer may name, the number of tables
+# whose widths it may announce, and the limits of a model call.
 TEXT_KINDS = ("heading", "paragraph", "caption", "list", "image")
 ALIGNMENTS = ("left", "center", "right")
 SIZES = ("large", "normal", "small")
-#: An answer may announce the widths of so many tables.
 MAX_TABLE_COUNTS = 10
+CONTEXT_TOKENS, MOST_TOKENS, TEMPERATURE = 8192, 4000, 0
 
 _RAW = (
     "struct<analysis: struct<n_blocks: string, table_column_counts: array<string>>, blocks: array<struct<kind: string, text: string, "
@@ -69,6 +71,31 @@ def parse_model_pages(pages: DataFrame) -> DataFrame:
     )
 
 
+def model_answers(responses: DataFrame, most: int = MOST_TOKENS) -> DataFrame:
+    """Responses of a model (keys, content, done_reason) as answers (keys, json, error). One that
+    ended at the token limit was cut off and is no answer, whatever it holds."""
+    cut = F.lower(F.coalesce("done_reason", F.lit(""))) == "length"
+    error = F.when(cut, f"cut off at {most} tokens").when(F.col("content").isNull(), "no answer")
+    return responses.select(*KEY, F.when(error.isNull(), F.col("content")).alias("json"), error.alias("error"))
+
+
+def page_findings(parsed: DataFrame) -> DataFrame:
+    """Findings of whole answers: more announced table widths than an answer may hold."""
+    many = F.size(F.coalesce("table_column_counts", F.array().cast("array<int>")))
+    said = F.concat(F.lit("announces "), many.cast("string"), F.lit(f" tables, more than {MAX_TABLE_COUNTS}"))
+    found = as_findings(parsed, finding(many > MAX_TABLE_COUNTS, "schema", "problem", said), keys=KEY)
+    return found.select(*KEY, F.lit(None).cast("int").alias("block_ord"), "check", "severity", "message")
+
+
+def run_counts(blocks: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Per page: blocks, tables, and rows of tables, as a benchmark run records them."""
+    is_table = F.col("kind") == "table"
+    rows = F.size(F.coalesce("rows", F.array().cast("array<array<string>>")))
+    return blocks.groupBy(*(keys or KEY)).agg(
+        F.count(F.lit(1)).alias("blocks"), F.count_if(is_table).alias("tables"), F.sum(F.when(is_table, rows).otherwise(0)).cast("long").alias("table_rows")
+    )
+
+
 def explode_blocks(parsed: DataFrame) -> DataFrame:
     """One row per block, in reading order (block_ord from 0)."""
     return parsed.select(*KEY, F.posexplode("blocks").alias("block_ord", "b")).select(*KEY, "block_ord", "b.*")

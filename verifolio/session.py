@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import os
+import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,16 +32,26 @@ def local_session(cpus: int | None = None, partitions: int | None = None) -> Spa
 ARROW_ROWS = 2048
 
 
+_shipped: set[str] = set()
+
+
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver imported it, and
-    bounds the texts that a worker holds at once."""
+    """Sends this package to the workers, as one archive for the whole application, where they
+    are not in the driver's own process; and bounds the texts that a worker holds at once,
+    where the session has Spark's default for that (a setting of its own stays)."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    env = spark.sparkContext.environment
-    root = str(Path(__file__).resolve().parent.parent)
-    known = env.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in known:
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, *known) if x)
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        root = Path(__file__).resolve().parent
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for path in sorted(root.rglob("*.py")):
+                z.write(path, path.relative_to(root.parent))
+        archive = Path(tempfile.mkdtemp(prefix="verifolio-")).resolve() / "verifolio.zip"
+        archive.write_bytes(out.getvalue())
+        context.addPyFile(str(archive))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +61,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan that fills less than the session's cores, dealt out over them. Large tables
-    have more splits than that and stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """In a local session, a scan that fills less than the cores, dealt out over them: a small
+    file is one split. On a cluster a scan stays as its splits are, and nothing is shuffled."""
+    context = df.sparkSession.sparkContext
+    if not context.master.startswith("local["):
+        return df
+    return df.repartition(context.defaultParallelism) if df.rdd.getNumPartitions() < context.defaultParallelism else df

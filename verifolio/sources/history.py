@@ -33,12 +33,20 @@ def processor(status: Column, model: Column) -> Column:
     return F.when(F.length(found) > 0, F.regexp_replace(found, r"\s+", " ")).otherwise("unknown")
 
 
-def deltas(runs: DataFrame, order: str, measures: list[str], by: list[str] | None = None) -> DataFrame:
-    """Adds to each run the percent change of its measures against the run before it; null
-    for the first, and where the value before is 0 or null."""
-    before = Window.partitionBy(*(by or [])).orderBy(order)
+def deltas(runs: DataFrame, order: str, measures: list[str], by: list[str]) -> DataFrame:
+    """Adds to each run the percent change of its measures against the run before it of the
+    same series (``by``); null for the first, and where the value before is 0 or null."""
+    before = Window.partitionBy(*by).orderBy(order)
     change = {}
     for m in measures:
         last = F.lag(m).over(before)
         change[f"{m}_pct"] = F.when(F.coalesce(last, F.lit(0)) != 0, (F.col(m) - last) / last * 100)
     return runs.withColumns(change)
+
+
+def changed_content(runs: DataFrame, order: str, by: list[str], content: str = "blocks") -> DataFrame:
+    """Adds warning: a run whose content differs from the run before it, as a gain in time that
+    loses content is none; null where nothing changed, and for the first."""
+    last = F.lag(content).over(Window.partitionBy(*by).orderBy(order))
+    said = F.concat(F.lit(f"{content} changed from "), last.cast("string"), F.lit(" to "), F.col(content).cast("string"))
+    return runs.withColumn("warning", F.when(last != F.col(content), said))

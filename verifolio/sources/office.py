@@ -12,9 +12,11 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -29,13 +31,23 @@ BODY = (
 CELLS = "path string, sheet string, row long, col long, value string, error string"
 
 
-def files(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
+def files(spark: SparkSession, path: str | list[str], pattern: str | None = None, missing: str = "raise") -> DataFrame:
     """path, length and content of files; ``pattern`` is a glob on their names. Paths that do
-    not exist raise, a glob without a match too."""
+    not exist raise, or, with ``missing="skip"``, are left out."""
+    paths = [path] if isinstance(path, str) else list(path)
+    if missing == "skip":
+        there = []
+        for p in paths:
+            target = spark._jvm.org.apache.hadoop.fs.Path(p)
+            if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target):
+                there.append(p)
+        if not there:
+            return spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
+        paths = there
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(path)
+    return reader.load(paths)
 
 
 def _text(element) -> str:
@@ -108,30 +120,41 @@ def cells_of(content: bytes) -> list[dict]:
         return out
 
 
-def _parsed(schema: str, parse):
-    names = [x.split()[0] for x in schema.split(", ")]
+#: Rows that a worker hands on at once, if no file has more.
+_ROWS = 2048
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _parsed(found: DataFrame, columns: str, parse) -> DataFrame:
+    """The rows that ``parse`` makes of each file's content, with their path and place."""
+    schema = to_arrow_schema(_parse_datatype_string(columns))
+    names = set(schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
+            for path, content in zip(batch.column(0), batch.column(1)):
                 try:
-                    rows = [{**r, "ord": i} for i, r in enumerate(parse(content))]
+                    rows = [{**r, "ord": i} for i, r in enumerate(parse(content.as_py()))]
                 except (KeyError, ValueError, zipfile.BadZipFile, ElementTree.ParseError, AttributeError) as error:
                     rows = [{"error": f"{type(error).__name__}: {error}"}]
-                frame = pd.DataFrame([{**dict.fromkeys(names), **r, "path": path} for r in rows], columns=names)
-                yield frame.astype(object).where(frame.notna(), None)
+                held += [{**{k: v for k, v in r.items() if k in names}, "path": path.as_py()} for r in rows]
+                if len(held) >= _ROWS:
+                    yield pa.RecordBatch.from_pylist(held, schema)
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema)
 
-    return run
+    return found.select("path", "content").mapInArrow(run, columns)
 
 
 def word_body(found: DataFrame) -> DataFrame:
     """Body elements of Word files in order; a damaged file is one row with its error."""
-    return found.select("path", "content").mapInPandas(_parsed(BODY, body_of), BODY)
+    return _parsed(found, BODY, body_of)
 
 
 def sheet_cells(found: DataFrame) -> DataFrame:
     """Cells of Excel files; a damaged file is one row with its error."""
-    return found.select("path", "content").mapInPandas(_parsed(CELLS, cells_of), CELLS)
+    return _parsed(found, CELLS, cells_of)
 
 
 def word_summary(body: DataFrame) -> DataFrame:

@@ -112,6 +112,25 @@ class FakeModel:
         yield {"json": content.decode()}
 
 
+class FakeRender:
+    """Renders a page of the fake format as the bytes of its text, at a resolution."""
+
+    columns = "page_no int, dpi int, image binary"
+
+    def __init__(self, dpi: int = 125):
+        self.dpi = dpi
+
+    def available(self) -> bool:
+        return True
+
+    def hint(self) -> str:
+        return ""
+
+    def rows(self, content: bytes) -> Iterator[dict]:
+        for page in json.loads(content):
+            yield {"page_no": page["page_no"], "dpi": self.dpi, "image": (page.get("source_text") or "").encode()}
+
+
 class Tesseract:
     """OCR of a page image by the ``tesseract`` program; empty text on any of its errors."""
 

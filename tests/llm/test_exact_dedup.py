@@ -47,6 +47,14 @@ def test_shuffled_counts_give_the_same(documents, monkeypatch):
     assert got(exact_dedup.exact_dedup(documents)) == expected
 
 
+def test_shuffled_ids_give_the_same(documents, monkeypatch):
+    """More open rows than may be broadcast: texts pass a bitmap, small here, so that some pass in vain."""
+    expected = got(exact_dedup.exact_dedup(documents))
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(exact_dedup, "SLOTS", 256)
+    assert got(exact_dedup.exact_dedup(documents)) == expected
+
+
 def test_filter_keeps_columns(odd, none):
     out = exact_dedup.drop_exact_copies(odd)
     assert out.columns == odd.columns

@@ -65,7 +65,7 @@ def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
     ``SLOTS`` hash slots, of fixed size, is broadcast, so that the texts of other rows are
     not shuffled. Some pass that are not among them; the join that follows drops these."""
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
-    bit = F.shiftleft(F.lit(1).cast("long"), F.pmod(F.col("slot"), F.lit(64)).cast("int"))
+    bit = F.expr("shiftleft(1L, int(pmod(slot, 64)))")
     words = ids.select(slot("k_uid").alias("slot")).groupBy(F.floor(F.col("slot") / 64).alias("word")).agg(F.bit_or(bit).alias("bits"))
     own = rows.withColumn("slot", slot(UID)).withColumn("own", F.floor(F.col("slot") / 64))
     hit = own.join(F.broadcast(words), F.col("own") == F.col("word")).where(F.col("bits").bitwiseAND(bit) != 0)

@@ -30,7 +30,7 @@ def files(spark, sf, tmp_path_factory):
 FILTERS = {
     "toxic": lambda docs, labels: toxicity.drop_toxic(docs, labels),
     "exact": lambda docs, labels: exact_dedup.drop_exact_copies(docs),
-    "near": lambda docs, labels: simhash.drop_near_copies(docs),
+    "near": lambda docs, labels: simhash.drop_similar(docs),
     "mixed": lambda docs, labels: mixing.mixed(docs, labels),
 }
 

@@ -62,7 +62,7 @@ def test_copies_chains_and_common_lines(spark, monkeypatch, rounds, tile):
 
 
 def test_filter_keeps_one_of_each(odd, none):
-    out = simhash.drop_near_copies(odd)
+    out = simhash.drop_similar(odd)
     groups = simhash.similar_groups(odd).select("keep_uid").distinct().count()
     assert out.columns == odd.columns and out.count() == groups
-    assert simhash.drop_near_copies(none).count() == 0
+    assert simhash.drop_similar(none).count() == 0

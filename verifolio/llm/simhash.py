@@ -31,7 +31,8 @@ Defined results: null text counts as empty and has fingerprint zero, which links
 other; equal texts share a fingerprint and so a component; by similarity, texts without a
 word are near copies of each other; the component id is the smallest id in it (null only if
 all its ids are null); an empty table gives no rows; other columns are ignored by the groups
-and kept by ``drop_near_copies``, which keeps the row with the smallest id of a component.
+and kept by ``drop_near_copies`` (by bits) and ``drop_similar`` (by similarity), which keep the
+row with the smallest id of a component.
 """
 
 from __future__ import annotations
@@ -267,6 +268,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that stay: one of each component by bits."""
+    rows = identified(docs)
+    gone = stage(simhash_groups(rows, id_col, text_col).where(F.col(UID) != F.col("keep_uid")).select(F.col(UID).alias("__vf_k")), "simhash-gone")
+    return decided(rows, gone, "left_anti").select(*(rows[c] for c in docs.columns))
+
+
 # --- By similarity -----------------------------------------------------------------------
 
 
@@ -488,7 +496,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that stay: one of each component by similarity."""
     rows = identified(docs)
     gone = stage(similar_groups(rows, id_col, text_col).where(F.col(UID) != F.col("keep_uid")).select(F.col(UID).alias("__vf_k")), "similar-gone")

@@ -60,7 +60,7 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (SimHash candidates, then a Jaccard similarity
     of five-word shingles of 0.8 or more): the one with the smallest id."""
     ship(spark)
-    return simhash.drop_near_copies(docs)
+    return simhash.drop_similar(docs)
 
 
 @_tidy

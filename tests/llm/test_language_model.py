@@ -29,128 +29,85 @@ def test_base_scores(documents):
     assert sorted(got(lm.lm_scores(documents))) == sorted(base_scores(rows))
 
 
-def test_rare_words_have_exact_scores(documents, monkeypatch):
-    """A root that holds few words hands the rest to the join; no score changes."""
-    held = lm.crc_mod("doc_id", 7) == 2
-    model = lm.learn(documents.where(~held))
-    whole = {r.id: (round(r.base_score, 6), r.n_known) for r in lm.score(documents, model, held).collect()}
-    small = lm.learn(documents.where(~held), root_words=50)
-    part = {r.id: (round(r.base_score, 6), r.n_known) for r in lm.score(documents, small, held).collect()}
-    assert len(small.automaton.words) <= 51 < len(model.automaton.words) and whole == part
-
-
-def probability(a, arcs, state, word):
-    total = 0.0
-    while state:
-        found = arcs.get(state << 20 | word)
-        if found is not None:
-            return 10 ** (total + a.weight[found])
-        total += a.fail_weight[state]
-        state = a.fail[state]
-    return 10 ** (total + a.root[word])
-
-
-@pytest.mark.parametrize("order", [1, 2, 3, 4])
-def test_every_state_is_a_distribution(spark, order):
-    text = ["the cat sat on the mat", "the cat ran", "a dog sat on the cat", "the dog ran on the mat", "a cat sat on a mat"] * 3 + ["lonely words here"]
-    docs = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
-    a = lm.learn(docs, order=order).automaton
-    arcs = dict(zip(a.keys.tolist(), range(len(a.keys))))
-    assert (len(a.keys) > 0) == (order > 1)
-    for state in {*range(len(a.fail)), a.start}:
-        known = sum(probability(a, arcs, state, w) for w in range(1, len(a.words) + 1))
-        down, at = 0.0, state
-        while at:
-            down += a.fail_weight[at]
-            at = a.fail[at]
-        assert abs(known + 10 ** (down + a.unknown) - 1) < 1e-6
-
-
-def test_traversal_by_hand(spark):
-    docs = spark.createDataFrame([(i, "x y") for i in range(4)] + [(9, "x z")], "doc_id long, text string")
-    model = lm.learn(docs, order=2)
-    a = model.automaton
-    arcs = dict(zip(a.keys.tolist(), range(len(a.keys))))
-    number = {w: i + 1 for i, w in enumerate(a.words)}
-    state, total = a.start, 0.0
-    for w in (b"x", b"y", b""):
-        total += math.log10(probability(a, arcs, state, number[w]))
-        while state and state << 20 | number[w] not in arcs:
-            state = a.fail[state]
-        state = int(a.target[arcs[state << 20 | number[w]]]) if state else int(a.root_target[number[w]])
-    assert abs(a.traverse(a.numbers(b"X  y")[1]) - total) < 1e-9
-
-
-def slow_scores(train, texts):
-    """Scores by dictionaries: interpolation-free backoff with absolute discounts."""
+def slow_model(train, order=lm.ORDER, priors=lm.PRIORS):
+    """Probability of the last word of a gram after those before it, by dictionaries."""
     tokens = lambda t: (t or "").encode().lower().split() + [b""]
-    grams = [Counter(), Counter(), Counter()]
+    c = Counter()
     for t in train:
         words = [None] + tokens(t)
-        for k in range(3):
-            grams[k].update(tuple(words[i - k : i + 1]) for i in range(max(k, 1), len(words)))
-    discount = []
-    for c in grams:
-        by = Counter(c.values())
-        discount.append(min(max(by[1] / (by[1] + 2 * by[2]), 0.1), 0.9) if by[1] and by[2] else 0.5)
-    n, v = sum(grams[0].values()), len(grams[0])
+        for k in range(1, order + 1):
+            c.update(tuple(words[i - k + 1 : i + 1]) for i in range(k - 1, len(words)))
+    words = {g[0]: m for g, m in c.items() if len(g) == 1 and g[0] is not None}
+    by = Counter(words.values())
+    d = min(max(by[1] / (by[1] + 2 * by[2]), 0.1), 0.9) if by[1] and by[2] else 0.5
+    n = sum(words.values())
 
     def p(gram):
-        """Probability of the last word after those before it."""
-        k = len(gram) - 1
-        if k == 0:
-            return (grams[0][gram] - discount[0]) / n if gram in grams[0] else discount[0] * v / n
-        context = gram[:-1]
-        if gram in grams[k]:
-            return (grams[k][gram] - discount[k]) / whole[context]
-        return left(context) * p(gram[1:])
-
-    whole = Counter()
-    follow = {}
-    for c in grams[1:]:
-        for gram, m in c.items():
-            whole[gram[:-1]] += m
-            follow.setdefault(gram[:-1], []).append(gram[-1])
-    for t in train:
-        first = (None, tokens(t)[0])
-        whole[first] = grams[1][first]
-    for gram, m in grams[1].items():
-        whole[gram] = m
-
-    known = {}
-
-    def left(context):
-        if context not in follow:
-            return 1.0
-        if context not in known:
-            taken = sum(p((*context, w)) for w in follow[context])
-            lower = sum(p((*context[1:], w)) for w in follow[context])
-            known[context] = max(1 - taken, 1e-12) / max(1 - lower, 1e-12)
-        return known[context]
-
-    out = []
-    for t in texts:
-        words = [None] + tokens(t)
-        out.append(sum(math.log10(p(tuple(words[max(0, i - 2) : i + 1]))) for i in range(1, len(words))))
-    return out
+        if len(gram) == 1:
+            return 1.0 if not n else (words[gram[0]] - d) / n if gram[0] in words else d * len(words) / n
+        prior, whole = priors[len(gram) - 2], c[gram[:-1]]
+        return (c[gram] + prior * p(gram[1:])) / (whole + prior)
+
+    def score(t):
+        row = [None] + tokens(t)
+        return sum(math.log10(p(tuple(row[max(0, i - order + 1) : i + 1]))) for i in range(1, len(row)))
+
+    return p, words, score
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_every_context_is_a_distribution(order):
+    """Of the model in dictionaries, which the next test holds the scores against."""
+    p, words, _ = slow_model(["the cat sat on the mat", "the cat ran", "a dog sat on the cat"] * 3 + ["lonely words here"], order)
+    for context in [(None,), (b"the",), (b"unseen",), (None, b"the"), (b"on", b"the"), (b"the", b"unseen")]:
+        context = context[-order + 1 :] if order > 1 else ()
+        assert abs(sum(p((*context, w)) for w in (*words, b"unseen")) - 1) < 1e-9
+
 
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_scores_of_automaton_and_dictionaries(documents, spark, monkeypatch, order):
+    """All rows, with blocks and buckets small enough that there are many, and texts of several pieces."""
+    monkeypatch.setattr(lm, "BUCKET", 1 << 12)
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    rows += [(90000, None), (90001, "words never seen before"), (90002, "the of the"), (90002, "the of the"), (90003, "a B\x0bc\td " * 400), (90004, "\xa0 x\u2028y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    score = slow_model([t for d, t in rows if d % 3], order)[2]
+    expected = sorted((d, score(t)) for d, t in rows)
+    got = sorted((r.id, r.score) for r in lm.score(docs, docs.doc_id % 3 > 0, order=order).collect())
+    assert [d for d, _ in got] == [d for d, _ in expected]
+    assert all(abs(a - b) < 1e-6 * max(1, abs(b)) for (_, a), (_, b) in zip(got, expected))
 
-def test_scores_of_automaton_joins_and_dictionaries(documents, spark):
-    """Without bounds that bind, three ways give the same log-probabilities."""
-    rows = [(r.doc_id, r.text) for r in documents.limit(60).collect()] + [(900, None), (901, "words never seen before"), (902, "the of the"), (902, "the of the")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    train = docs.where("doc_id % 3 > 0")
-    expected = sorted((d, round(s, 5)) for (d, _), s in zip(rows, slow_scores([t for d, t in rows if d % 3], [t for _, t in rows])))
-    joined = sorted((r.id, round(r.score, 5)) for r in lm.score_by_joins(docs, train).collect())
-    model = lm.learn(train, gram_words=1 << 18, max_arcs=1 << 30)
-    walked = sorted((r.id, round(r.score, 5)) for r in lm.score(docs, model, docs.doc_id > 0).collect())
-    near = lambda a, b: [x[0] for x in a] == [x[0] for x in b] and all(abs(x[1] - y[1]) < 1e-3 for x, y in zip(a, b))
-    assert near(walked, expected) and near(joined, expected)
+
+def test_blocks_and_pieces(monkeypatch):
+    """Pieces of a text give its words; an n-gram does not cross texts."""
+    texts = [b"One two\nthree", b"", b"two THREE four " * 50]
+    whole = lm._grams(texts, 3)
+    monkeypatch.setattr(lm, "_PIECE", 7)
+    parts = lm._grams(texts, 3)
+    assert (whole.keys == parts.keys).all() and all((a == b).all() for a, b in zip(whole.places, parts.places))
+    # marks and words; pairs and triples, of which those of the second text are a mark and the end
+    assert whole.starts.tolist() == [0, 5, 7, 159] and [int((p >= 0).sum()) for p in whole.places] == [159, 156, 153]
+
+
+def test_packed_counts():
+    import numpy as np
+
+    counts = np.array([0, 1, 254, 255, 256, 1 << 40, 3])
+    assert lm._unpack(lm._pack(counts), 7).tolist() == counts.tolist()
+
+
+def test_weights_by_hand(spark):
+    docs = spark.createDataFrame([(i, "x y") for i in range(4)] + [(9, "x z")], "doc_id long, text string")
+    found = {r.id: r.score for r in lm.score(docs, docs.doc_id >= 0, order=2, priors=(2.0,)).collect()}
+    root = lambda c: (c - 0.5) / 15  # noqa: E731  no word occurs twice, so the discount is a half
+    p = lambda c, whole, lower: (c + 2 * lower) / (whole + 2)
+    expected = p(5, 5, root(5)) * p(4, 5, root(4)) * p(4, 4, root(5))
+    assert abs(found[0] - math.log10(expected)) < 1e-9
 
 
-def test_joins_without_rows(odd, none):
-    assert lm.score_by_joins(none, odd).count() == 0
-    assert {r.score for r in lm.score_by_joins(odd, none).collect()} == {0.0}
+def test_bad_order(odd):
+    with pytest.raises(ValueError):
+        lm.score(odd, odd.doc_id > 0, order=4)
 
 
 def test_model_beats_base_on_held_out_rows(documents):
@@ -168,6 +125,5 @@ def test_odd_rows(odd, odd_rows, none):
 def test_no_training_rows(odd):
     from pyspark.sql import functions as F
 
-    model = lm.learn(odd.where("false"))
-    found = lm.score(odd, model, F.lit(True)).collect()
+    found = lm.score(odd, F.lit(False)).collect()
     assert {(r.base_score, r.score, r.train_tokens) for r in found} == {(0.0, 0.0, 0)}

@@ -1,463 +1,336 @@
-"""Language-model scoring with a weighted backoff automaton.
+"""Language-model scoring with a weighted backoff automaton over all n-grams.
 
 Tokens are words of the lower-cased (A-Z) text between the characters
-``[\\x20\\x09-\\x0D]``, then one end. Counts of all training tokens give a unigram model
-by absolute discounting, whose discounted mass is the unknown class. N-grams of frequent
-words are counted over all training rows, order by order; an n-gram is counted only where
-its first and last (n-1)-grams became arcs, so that order n stays sparse. The n-grams with
-the largest counts, cut at a count and never in the middle of one, become arcs.
-
-The automaton: the root holds the unigrams, every other state is a context. A state's
-arcs carry discounted n-gram probabilities; its failure arc leads to the context without
-its first word, and weighs what the arcs leave over, normalised by what they would have
-had there. So every state is a distribution over all words, end and the unknown class.
-A text is scored in one traversal from left to right that carries the state.
-
-The automaton's tables are bounded (``ROOT_WORDS``, ``MAX_ARCS``) and sent to all tasks.
-Words beyond the root's bound keep their exact weight: the traversal takes the failure
-arcs to the root and hands the word on, and a join with the full count table, which never
-leaves the executors, adds its weight. Counts, and so N, V and every count c, are exact.
-
-``score_by_joins`` has no bounds: the n-grams of all words, those seen once too, stay tables
-that are joined to the texts' distinct n-grams, and the same arcs and failure arcs are taken
-there. It gives what the automaton gives where the bounds leave nothing out, at the price of
-shuffling every n-gram of the corpus.
+``[\\x20\\x09-\\x0D]``, then one end. A state of the automaton is a context that training
+texts hold: up to ``order - 1`` words, or the beginning of a text and what follows it. From
+a state of n words an arc leads on for each word seen there; its weight is log10 of
+
+    P(w | context) = (c(context w) + prior * P(w | shorter context)) / (c(context) + prior)
+
+and the failure arc, log10 of prior / (c(context) + prior), leads to the state without the
+first word (a hierarchical Dirichlet model; ``priors`` has one for contexts of one word, of
+two words and so on). The root has the words by absolute discounting, and the discounted
+mass is the unknown class. So every state is a distribution over all words, end and the
+unknown class, and all weights follow from counts of n-grams. A text is scored in one
+traversal from left to right that carries the state.
+
+No n-gram is left out: the automaton is as large as the corpus makes it, so no task holds it
+whole. Texts are dealt into blocks of ``BLOCK`` bytes, staged with their texts. A block lists
+its distinct n-grams as sorted 64-bit keys with its own training counts; keys are dealt by
+range to buckets, each of which adds up the counts of a range and answers every block
+that asked, in the order of its keys. A block then has all arcs that its texts can take.
+The counts of one n-gram come added up from each block, so a frequent one makes no bucket
+large, and buckets grow in number with the input's bytes. Only the totals reach the driver.
+
+A 62-bit hash stands for an n-gram and for a word; of a billion distinct words 0.1 pairs
+are expected to share one, and would share their counts.
 
 Defined results: null and empty texts are the end alone; without training rows base and
 model score are those of an empty count table (log10 of 1/(0+1*(0+1)) = 0 a token);
-repeated ids keep their rows; other columns are ignored.
+repeated ids keep their rows; a null training mark counts as false; other columns are
+ignored. A text of any length is one block at least; it is split into words in pieces.
 """
 
 from __future__ import annotations
 
-import gc
 import math
-import uuid
-from collections import Counter
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import repeat
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let
-from .common import UID, binaries, crc_mod, drop_staged, sliced, stage, with_uid, worker_cache
+from .common import binaries, crc_mod, sliced, stage, worker_cache
 
 ORDER = 3
-#: Words at the root, words that n-grams are made of, and arcs of each higher order.
-ROOT_WORDS = 1 << 18
-GRAM_WORDS = 1 << 13
-MAX_ARCS = 300_000
-END = b""
-_BITS = 20
-_HELD = 400_000
+#: Prior strength of contexts of one word, of two words.
+PRIORS = (100.0, 30.0)
+#: Bytes of text in a block and behind a bucket, and words whose hashes a worker holds.
+BLOCK = 4 << 20
+BUCKET = 16 << 20
+HELD_WORDS = 150_000
+_PIECE = 1 << 20
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+_TAG = np.uint64(3)  # the lowest bits of a key hold the order; 0 is the beginning
+_BEGIN = np.uint64(0x9E3779B97F4A7C14)
+_END = b""
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= HELD_WORDS:
+            self.clear()
+        self[word] = value = xxhash.xxh64_intdigest(word) & ~3 | 1
+        return value
+
+
+def _hashes() -> _Hashes:
+    return worker_cache(__name__).setdefault("hashes", _Hashes())
+
+
+def _words(text: bytes, hashes: _Hashes) -> list[np.ndarray]:
+    """Keys of the text's words, taken in pieces that end between words, and of the end."""
+    out, at = [], 0
+    while at < len(text):
+        gap = _GAP.search(text, at + _PIECE)
+        stop = gap.start() if gap else len(text)
+        found = text[at:stop].lower().split()
+        out.append(np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found)))
+        at = stop
+    out.append(np.array([hashes[_END]], np.uint64))
+    return out
+
+
+def _longer(context: np.ndarray, word: np.ndarray, order: int) -> np.ndarray:
+    """Keys of n-grams from those of their context and their last word."""
+    x = context ^ (word * np.uint64(0xC2B2AE3D27D4EB4F))
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x165667B19E3779F9)
+    x ^= x >> np.uint64(32)
+    return x & ~_TAG | np.uint64(order)
 
 
-def tokens(text: bytes) -> list[bytes]:
-    found = text.lower().split()
-    found.append(END)
-    return found
-
-
-def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
-
-    def flush():
-        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
-        counts.clear()
-        return out
-
-    for batch in sliced(batches):
-        for text in binaries(batch.column(0)):
-            counts.update(text.lower().split())
-        counts[END] += batch.num_rows
-        if len(counts) > _HELD:
-            yield flush()
-    if counts:
-        yield flush()
+@dataclass
+class _Grams:
+    """The n-grams of a block: its distinct keys, sorted, and for each order the places of
+    the n-grams that end at each token, -1 where a text has too few tokens before it.
+    Tokens of all texts stand in one row, each text after a mark of its beginning."""
 
+    keys: np.ndarray
+    starts: np.ndarray  # of each text's mark; then the end of the row
+    places: list[np.ndarray]
 
-def _level(count: Column) -> Column:
-    """Counts up to 4,096 as they are, larger ones in 64 steps an octave, so that a
-    histogram of them has a few thousand rows however large counts grow."""
-    step = F.floor(F.log2(count.cast("double")) * 64)
-    return F.when(count < 4096, count).otherwise(F.floor(F.pow(F.lit(2.0), step / 64))).cast("long")
 
+def _grams(texts: list[bytes], order: int) -> _Grams:
+    hashes = _hashes()
+    parts: list[np.ndarray] = []
+    starts = [0]
+    for text in texts:
+        found = _words(text, hashes)
+        parts.append(np.array([_BEGIN]))
+        parts.extend(found)
+        starts.append(starts[-1] + 1 + sum(map(len, found)))
+    row = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    bounds = np.array(starts, np.int64)
+    keys, there = [row], [np.ones(len(row), bool)]
+    for k in range(2, order + 1):
+        longer = np.zeros(len(row), np.uint64)
+        longer[1:] = _longer(keys[-1][:-1], row[1:], k)
+        whole = np.zeros(len(row), bool)
+        # a mark ends no longer n-gram, and one before the mark has no text
+        whole[1:] = there[-1][:-1]
+        whole[bounds[:-1]] = False
+        keys.append(longer)
+        there.append(whole)
+    distinct, inverse = np.unique(np.concatenate([x[t] for x, t in zip(keys, there)]), return_inverse=True)
+    places, at = [], 0
+    for t in there:
+        place = np.full(len(row), -1, np.int64)
+        n = int(t.sum())
+        place[t] = inverse[at : at + n]
+        places.append(place)
+        at += n
+    return _Grams(distinct, bounds, places)
+
+
+def _own_counts(grams: _Grams, training: list[bool]) -> np.ndarray:
+    """How often each n-gram stands in the block's training texts."""
+    counts = np.zeros(len(grams.keys), np.int64)
+    mark = np.repeat(np.array(training, bool), np.diff(grams.starts))
+    for place in grams.places:
+        counts += np.bincount(place[mark & (place >= 0)], minlength=len(counts))
+    return counts
+
+
+def _pack(counts: np.ndarray) -> bytes:
+    """A byte for each count; those of 255 and more follow in full."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+
+
+def _unpack(packed: bytes, size: int) -> np.ndarray:
+    counts = np.frombuffer(packed, np.uint8, size).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(packed, "<i8", offset=size)
+    return counts
+
+
+_BLOCKS = "block long, bucket int, keys binary, counts binary, id long, training boolean, text string"
+
+
+def _asker(bits: int, order: int):
+    """Deals a task's texts into blocks: a row for each text, and one for each bucket that
+    holds n-grams of the block, with their keys and training counts."""
+    names = [x.split()[0] for x in _BLOCKS.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.string()]
 
-def _histogram(counts: DataFrame, column: str) -> list[tuple[int, int]]:
-    return [(r.level, r["count"]) for r in counts.groupBy(_level(F.col(column)).alias("level")).count().collect()]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        texts: list[bytes] = []
+        training: list[bool] = []
+        size = 0
 
+        def ask():
+            grams = _grams(texts, order)
+            counts = _own_counts(grams, training)
+            bucket = (grams.keys >> np.uint64(64 - bits)).astype(np.int64)
+            cuts = np.concatenate([[0], np.nonzero(np.diff(bucket))[0] + 1, [len(bucket)]])
+            spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+            n = len(spans)
+            made = [[block] * n, [int(bucket[a]) for a, _ in spans], [grams.keys[a:b].tobytes() for a, b in spans], [_pack(counts[a:b]) for a, b in spans]]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(made, kinds)] + [pa.nulls(n, k) for k in kinds[4:]], names)
+
+        for batch in sliced(batches, 256):
+            dealt: list[int] = []
+            for mark, text in zip(batch.column(1).to_pylist(), binaries(batch.column(2))):
+                if texts and size + len(text) > BLOCK:
+                    yield ask()
+                    texts.clear()
+                    training.clear()
+                    size, block = 0, block + 1
+                texts.append(text)
+                training.append(mark)
+                dealt.append(block)
+                size += len(text)
+            none = [pa.nulls(len(dealt), k) for k in kinds[1:4]]
+            yield pa.RecordBatch.from_arrays([pa.array(dealt, kinds[0]), *none, *(c.cast(k) for c, k in zip(batch.columns, kinds[4:]))], names)
+        if texts:
+            yield ask()
 
-def _cut(histogram: list[tuple[int, int]], most: int) -> int:
-    """The smallest level such that at most ``most`` entries have it or more."""
-    total, cut = 0, max((c for c, _ in histogram), default=0) + 1
-    for level, n in sorted(histogram, reverse=True):
-        total += n
-        if total > most:
-            break
-        cut = level
-    return cut
+    return run
 
 
-def _discount(histogram: list[tuple[int, int]]) -> float:
-    """n1 / (n1 + 2 n2), the usual estimate; a half where there is none."""
-    by = dict(histogram)
-    once, twice = by.get(1, 0), by.get(2, 0)
-    return min(max(once / (once + 2 * twice), 0.1), 0.9) if once and twice else 0.5
+_ANSWERS = "block long, bucket int, size long, counts binary, n long, v long, once long, twice long"
 
 
-@dataclass
-class Automaton:
-    """Arcs of the root by word number (0: no word), other arcs by (state << 20 | word);
-    failure arcs by state, and their sum down to the root. It travels as arrays, and each
-    Python worker makes its lookup tables once."""
-
-    words: list[bytes]  # from number 1
-    limit: int  # words up to this number have states and arcs outside the root
-    root: np.ndarray
-    root_target: np.ndarray
-    keys: np.ndarray
-    weight: np.ndarray
-    target: np.ndarray
-    fail: np.ndarray
-    fail_weight: np.ndarray
-    start: int
-    unknown: float
-    key: str = field(default_factory=lambda: uuid.uuid4().hex)
-
-    def tables(self) -> tuple:
-        tables = worker_cache(__name__)
-        if self.key not in tables:
-            tables.clear()
-            down = np.zeros(len(self.fail))
-            at = np.arange(len(self.fail))
-            while at.any():
-                down += self.fail_weight[at]
-                at = self.fail[at]
-            number = {w: i + 1 for i, w in enumerate(self.words)}
-            arc = dict(zip(self.keys.tolist(), range(len(self.keys))))
-            lists = (x.tolist() for x in (self.root, self.root_target, self.weight, self.target, self.fail, self.fail_weight, down))
-            tables[self.key] = (number, arc, *lists)
-            gc.freeze()
-        return tables[self.key]
-
-    def numbers(self, text: bytes) -> tuple[list[bytes], list[int]]:
-        """Tokens and their word numbers; 0 for words beyond the root's."""
-        found = tokens(text)
-        return found, list(map(self.tables()[0].get, found, repeat(0)))
-
-    def traverse(self, numbers: list[int]) -> float:
-        """Log10 weight of the path; words beyond the root's weigh nothing there."""
-        _, arcs, root, root_target, weight, target, fail, fail_weight, down = self.tables()
-        arc, limit = arcs.get, self.limit
-        state, total = self.start, 0.0
-        for word in numbers:
-            if not 0 < word <= limit:
-                # no state but the root has an arc for it
-                total += down[state] + root[word]
-                state = 0
-                continue
-            while state:
-                found = arc(state << _BITS | word)
-                if found is not None:
-                    total += weight[found]
-                    state = target[found]
-                    break
-                total += fail_weight[state]
-                state = fail[state]
-            else:
-                total += root[word]
-                state = root_target[word]
-        return total
+def _answer(asked: pa.Table) -> pa.Table:
+    """Adds up the counts of a bucket's n-grams over all blocks, and answers each of them;
+    a row without block has the bucket's totals of words."""
+    keys = [np.frombuffer(x, np.uint64) for x in asked.column("keys").to_pylist()]
+    cuts = np.cumsum([0, *map(len, keys)]).tolist()
+    counts = np.concatenate([_unpack(x, len(k)) for x, k in zip(asked.column("counts").to_pylist(), keys)])
+    distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    # whole numbers up to 2**53 are exact in bincount's weights
+    sums = np.bincount(inverse, counts, len(distinct)).astype(np.int64)
+    words = sums[distinct & _TAG == 1]
+    packed = [_pack(sums[inverse[a:b]]) for a, b in zip(cuts, cuts[1:])]
+    zero, totals = [0] * len(keys), [int(words.sum()), int((words > 0).sum()), int((words == 1).sum()), int((words == 2).sum())]
+    bucket = asked.column("bucket").to_pylist()
+    columns = [[*asked.column("block").to_pylist(), None], [*bucket, bucket[0]], [*map(len, keys), 0], [*packed, None], *([*zero, t] for t in totals)]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), *[pa.int64()] * 4]
+    return pa.table([pa.array(x, k) for x, k in zip(columns, kinds)], [x.split()[0] for x in _ANSWERS.split(", ")])
 
 
 @dataclass
-class Model:
-    """What learning gives: the automaton, totals, and the staged table of all counts."""
+class Totals:
+    """Training tokens, distinct ones, and the discount of the root's arcs."""
 
-    automaton: Automaton
-    counts: DataFrame
     n: int
     v: int
     discount: float
-    base: np.ndarray  # counts of the root's words, by word number
 
+    @classmethod
+    def of(cls, n: int, v: int, once: int, twice: int) -> Totals:
+        """The discount is n1 / (n1 + 2 n2), the usual estimate; a half where there is none."""
+        return cls(n, v, min(max(once / (once + 2 * twice), 0.1), 0.9) if once and twice else 0.5)
 
-def _numbers(texts: list[bytes], words: dict[bytes, int], limit: int, begin: int) -> np.ndarray:
-    """Word numbers of all texts, each after ``begin`` and before a 0; 0 also stands for
-    words that n-grams are not made of."""
-    out: list[int] = []
-    for text in texts:
-        out.append(begin)
-        out.extend(map(words.get, tokens(text), repeat(0)))
-        out.append(0)
-    at = np.array(out, np.int64)
-    at[(at > limit) & (at != begin)] = 0
-    return at
-
-
-def _arcs_at(context: np.ndarray, follows: np.ndarray, lower: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Walks every place through the orders' arcs: the last arc (plus 1; 0 where there is
-    none), the word after it, and which of the two are there."""
-    for known in lower:
-        key = np.where((context > 0) & (follows > 0), context << _BITS | follows, -1)
-        place = np.searchsorted(known, key)
-        place[place == len(known)] = 0
-        context = np.where(known[place] == key, place + 1, 0)[:-1]
-        follows = follows[1:]
-    return context, follows, (context > 0) & (follows > 0)
-
-
-def _gram_counter(words: dict[bytes, int], limit: int, begin: int, lower: list[np.ndarray]):
-    """Counts n-grams as (arc of the order before, word); words are the arcs of order 1.
-    The last n-1 words of an n-gram must be an arc as well."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def flush():
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["gram", "n"])
-
-        for batch in sliced(batches):
-            at = _numbers(binaries(batch.column(0)), words, limit, begin)
-            context, follows, ok = _arcs_at(at[:-1], at[1:], lower)
-            if lower:
-                suffix, after, there = _arcs_at(at[1:-1], at[2:], lower[:-1])
-                key = np.where(there, suffix << _BITS | after, -1)
-                place = np.searchsorted(lower[-1], key)
-                place[place == len(lower[-1])] = 0
-                ok &= lower[-1][place] == key
-            held.append(context[ok] << _BITS | follows[ok])
-            size += len(held[-1])
-            if size > 4 * _HELD:
-                yield flush()
-                size = 0
-        if held:
-            yield flush()
-
-    return run
 
+@dataclass
+class Arcs:
+    """For each token of a block, by the number of words k of a state: the weight of the
+    arc that takes the token (nan: there is none) and of the failure arc (nan: no such
+    state), and the words of the state after it, which are fewer than the order."""
+
+    arc: list[np.ndarray]
+    fail: list[np.ndarray]
+    after: np.ndarray
+
+    def traverse(self, start: int, stop: int) -> float:
+        """Log10 weight of the path over the tokens from ``start`` up to ``stop``."""
+        total, state = 0.0, self.after[start - 1] if start else 0
+        rows = zip(*(x[start:stop].tolist() for x in (*self.arc, *self.fail, self.after)))
+        orders = len(self.arc)
+        for row in rows:
+            while (weight := row[state]) != weight:  # no arc here
+                total += row[orders + state]
+                state -= 1
+            total += weight
+            state = row[-1]
+        return total
 
-def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
-    found = df.select(*names).toArrow()
-    return [found.column(i).to_numpy() for i in range(len(names))]
-
-
-def learn(docs: DataFrame, text_col: str = "text", order: int = ORDER, root_words: int = ROOT_WORDS, gram_words: int = GRAM_WORDS, max_arcs: int = MAX_ARCS) -> Model:
-    texts = docs.select(F.col(text_col))
-    counts = stage(texts.mapInArrow(_unigrams, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c")), "lm-counts")
-    histogram = _histogram(counts, "c")
-    n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
-    discount = _discount(histogram)
-    top = counts.where((_level(F.col("c")) >= _cut(histogram, root_words)) | (F.octet_length("token") == 0)).toArrow()
-    listed = sorted(zip(top.column(1).to_pylist(), top.column(0).to_pylist()), key=lambda x: (-x[0], x[1]))
-    words = {w: i + 1 for i, (_, w) in enumerate(listed)}
-    base = np.array([0] + [c for c, _ in listed], np.int64)
-    limit = min(gram_words, len(words))
-    begin = len(words) + 1
-    root = np.log10(np.maximum(base - discount, 1e-300) / max(n, 1))
-
-    lower: list[np.ndarray] = []
-    weights: list[np.ndarray] = []
-    arc_counts: list[np.ndarray] = []
-    for k in range(2, order + 1):
-        grams = stage(texts.mapInArrow(_gram_counter(words, limit, begin, lower), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), f"lm-{k}-grams")
-        shape = _histogram(grams, "n")
-        kept, c = _columns(grams.where(_level(F.col("n")) >= _cut(shape, max_arcs)), "gram", "n")
-        drop_staged(grams)
-        at = np.argsort(kept)
-        kept, c = kept[at], c[at]
-        d = _discount(shape)
-        context = kept >> _BITS
-        if k == 2:
-            whole = np.append(base, base[words[END]] if END in words else 0)[context]
-        else:
-            whole = arc_counts[-1][context - 1]
-        lower.append(kept)
-        arc_counts.append(c)
-        weights.append(np.log10((c - d) / whole))
-        if not len(kept):
-            break
-    return Model(_build([w for _, w in listed], limit, begin, root, lower, weights, math.log10(discount * v / n) if n else 0.0), counts, n, v, discount, base)
-
-
-def _build(words: list[bytes], limit: int, begin: int, root: np.ndarray, lower: list[np.ndarray], weights: list[np.ndarray], unknown: float) -> Automaton:
-    """Numbers the states, sets targets, and weighs the failure arcs."""
-    mask = (1 << _BITS) - 1
-    # a state for each context that has arcs: single words, then the arcs of each order
-    states: list[dict[int, int]] = []
-    number = 1
-    for known in lower:
-        own = np.unique(known >> _BITS).tolist()
-        states.append(dict(zip(own, range(number, number + len(own)))))
-        number += len(own)
-    fail, fail_weight = np.zeros(number, np.int64), np.zeros(number)
-    keys: list[np.ndarray] = [np.zeros(0, np.int64)]
-    targets: list[np.ndarray] = [np.zeros(0, np.int64)]
-    first = states[0] if states else {}
-    root_target = np.array([first.get(w, 0) for w in range(len(words) + 1)], np.int64)
-    root_target[0] = 0
-    root = np.append(0.0, root[1:])
-    longest: list[np.ndarray] = []  # per order: the state after each arc
-    for k, known in enumerate(lower):
-        context, follows = known >> _BITS, known & mask
-        after = np.array([states[0].get(w, 0) for w in follows.tolist()], np.int64)
-        if k:
-            before = lower[k - 1]
-            # the arc for the last words: drop the first word of the context
-            suffix = _suffix_arc(lower, k, known)
-            after = longest[k - 1][suffix]
-            back = weights[k - 1][suffix]
-        else:
-            back = root[follows]
-        own = np.array([states[k][c] for c in context.tolist()], np.int64)
-        if k + 1 < len(lower):
-            deeper = np.array([states[k + 1].get(i + 1, 0) for i in range(len(known))], np.int64)
-            after = np.where(deeper > 0, deeper, after)
-        longest.append(after)
-        keys.append(own << _BITS | follows)
-        targets.append(after)
-        taken = np.bincount(own, 10 ** weights[k], number)
-        would = np.bincount(own, 10**back, number)
-        ids = np.unique(own)
-        left = np.log10(np.maximum(1 - taken[ids], 1e-12) / np.maximum(1 - would[ids], 1e-12))
-        fail_weight[ids] = left
-        if k:
-            # a context is an arc of the order before; its failure is the state after that arc's last words
-            for c, s in states[k].items():
-                w = int(lower[k - 1][c - 1] & mask)
-                fail[s] = states[0].get(w, 0) if k == 1 else int(longest[k - 2][_suffix_arc(lower, k - 1, lower[k - 1][c - 1 : c])[0]])
-    weight = np.concatenate([np.zeros(0), *weights])
-    return Automaton(words, limit, root, root_target, np.concatenate(keys), weight, np.concatenate(targets), fail, fail_weight, first.get(begin, 0), unknown)
-
-
-def _suffix_arc(lower: list[np.ndarray], k: int, known: np.ndarray) -> np.ndarray:
-    """Index, in order k-1's arcs, of the n-grams' last words."""
-    mask = (1 << _BITS) - 1
-    context, follows = (known >> _BITS) - 1, known & mask
-    parent = lower[k - 1][context]
-    head = (parent & mask) if k == 1 else _suffix_arc(lower, k - 1, parent) + 1
-    return np.searchsorted(lower[k - 1], head << _BITS | follows)
-
-
-_SCORED = "uid long, id long, held_out boolean, n_tokens long, n_known long, base double, score double, token binary, times long"
-
-
-def _scorer(automaton: Automaton, counts: np.ndarray, n: int, v: int):
-    names = [x.split()[0] for x in _SCORED.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text, and one for each word of a text beyond the root's."""
-        base = np.log10((counts + 1) / (n + (v + 1)))
-        base[0] = 0.0
-        for batch in sliced(batches):
-            rows: list[tuple] = []
-            rare_uid: list[int] = []
-            rare: list[bytes] = []
-            times: list[int] = []
-            for uid, text in zip(batch.column(0).to_pylist(), binaries(batch.column(3))):
-                found, numbers = automaton.numbers(text)
-                array = np.array(numbers)
-                beyond = Counter([found[i] for i in np.nonzero(array == 0)[0].tolist()])
-                rows.append((len(found), len(found) - beyond.total(), float(base[array].sum()), automaton.traverse(numbers)))
-                rare_uid.extend([uid] * len(beyond))
-                rare.extend(beyond.keys())
-                times.extend(beyond.values())
-            whole = [pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
-            own = [*(batch.column(i) for i in range(3)), *whole, pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.int64())]
-            yield pa.RecordBatch.from_arrays(own, names)
-            if rare:
-                none = [pa.nulls(len(rare), k) for k in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(rare_uid, pa.int64()), *none, pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names)
+def _arcs(grams: _Grams, counts: np.ndarray, totals: Totals, priors: tuple[float, ...]) -> Arcs:
+    """The arcs that a block's tokens can take, from the counts of its n-grams."""
+    seen = [np.where(place >= 0, counts[place], 0) for place in grams.places]
+    n = max(totals.n, 1)
+    unknown = totals.discount * totals.v / n if totals.n else 1.0
+    lower = np.where(seen[0] > 0, np.maximum(seen[0] - totals.discount, 1e-300) / n, unknown)
+    arc, fail = [np.log10(lower)], [np.full(len(lower), np.nan)]
+    after = np.where(seen[0] > 0, 1, 0) if len(seen) > 1 else np.zeros(len(lower), np.int64)
+    for k, prior in zip(range(1, len(seen)), priors):
+        # c(context): the n-gram of k words that ends before the token
+        context = np.concatenate([[0], seen[k - 1][:-1]])
+        share = (seen[k] + prior * lower) / (context + prior)
+        arc.append(np.where(seen[k] > 0, np.log10(share), np.nan))
+        fail.append(np.where(context > 0, np.log10(prior / (context + prior)), np.nan))
+        lower = np.where(context > 0, share, lower)
+        if k + 1 < len(seen):
+            after = np.where(seen[k] > 0, k + 1, after)
+    return Arcs(arc, fail, after)
+
+
+def _scorer(totals: Totals, order: int, priors: tuple[float, ...]):
+    size = totals.n + totals.v + 1
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        worker_cache(__name__)
+        grams = _grams(binaries(texts.column("text")), order)
+        # buckets are ranges of keys, so that answers by bucket follow the sorted keys
+        given = sorted(zip(*(answers.column(x).to_pylist() for x in ("bucket", "size", "counts"))))
+        counts = np.concatenate([_unpack(packed, n) for _, n, packed in given])
+        if len(counts) != len(grams.keys):
+            raise ValueError("a block's answers do not match its n-grams")
+        arcs = _arcs(grams, counts, totals, priors)
+        words = counts[grams.places[0]]
+        base = np.log10((words + 1) / size)
+        spans = list(zip((grams.starts[:-1] + 1).tolist(), grams.starts[1:].tolist()))
+        columns = [
+            [b - a for a, b in spans],
+            [int((words[a:b] > 0).sum()) for a, b in spans],
+            [float(base[a:b].sum()) for a, b in spans],
+            [arcs.traverse(a, b) for a, b in spans],
+        ]
+        made = [pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+        return pa.table([texts.column("id"), texts.column("training"), *made], ["id", "training", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-def score(docs: DataFrame, model: Model, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """uid, id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
-    rows = with_uid(docs).select(F.col(UID).alias("uid"), F.col(id_col).cast("long").alias("id"), held_out.alias("held_out"), F.col(text_col))
-    scored = stage(rows.mapInArrow(_scorer(model.automaton, model.base, model.n, model.v), _SCORED), "lm-scored")
-    whole = scored.where("token is null").drop("token", "times")
-    c = F.coalesce("c", F.lit(0))
-    unknown = F.lit(model.automaton.unknown)
-    size = float(model.n + model.v + 1)
-    rare = (
-        scored.where("token is not null")
-        .select("uid", F.col("token"), "times")
-        .join(model.counts.select(F.col("token").alias("t"), "c"), F.col("token") == F.col("t"), "left")
-        .groupBy("uid")
-        .agg(
-            F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("r_known"),
-            F.sum(F.col("times") * F.log10((c + 1) / size)).alias("r_base"),
-            F.sum(F.col("times") * F.when(c > 0, F.log10((c - model.discount) / float(max(model.n, 1)))).otherwise(unknown)).alias("r_score"),
-        )
-        .withColumnRenamed("uid", "r_uid")
+def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, priors: tuple[float, ...] = PRIORS) -> DataFrame:
+    """id, training, n_tokens, n_known, train_tokens, base_score, score of every row, under
+    the model of the rows marked as training. ``order`` is 1, 2 or 3."""
+    if not 1 <= order <= 3 or len(priors) < order - 1 or min(priors, default=1) <= 0:
+        raise ValueError("order must be 1, 2 or 3, with a positive prior for each order above 1")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(training, F.lit(False)).alias("training"), F.col(text_col).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(max(math.ceil(math.log2(max(size / BUCKET, 1))), 4), 30)
+    blocks = stage(rows.mapInArrow(_asker(bits, order), _BLOCKS), "lm-blocks")
+    asked = blocks.where("bucket is not null").select("block", "bucket", "keys", "counts")
+    answers = stage(asked.groupBy("bucket").applyInArrow(_answer, _ANSWERS), "lm-answers")
+    sums = answers.where("block is null").agg(*(F.sum(x) for x in ("n", "v", "once", "twice"))).first()
+    totals = Totals.of(*(x or 0 for x in sums))
+    answers = answers.where("block is not null").select("block", "bucket", "size", "counts")
+    texts = blocks.where("bucket is null").select("block", "id", "training", "text")
+    found = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        _scorer(totals, order, tuple(priors)), "id long, training boolean, n_tokens long, n_known long, base_score double, score double"
     )
-    zero = F.lit(0.0)
-    return whole.join(rare, whole.uid == rare.r_uid, "left").select(
-        "uid",
-        "id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("r_known", F.lit(0))).alias("n_known"),
-        F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("r_base", zero)).alias("base_score"),
-        (F.col("score") + F.coalesce("r_score", zero)).alias("score"),
-    )
-
-
-def score_by_joins(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, score of every row of docs under the trigram model of all of train."""
-
-    def grams(texts: DataFrame, *keep) -> DataFrame:
-        """Every token (w3) with the two before it; null stands before the first one."""
-        lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-        words = F.concat(F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.array(F.lit("")))
-        before = lambda ws, i, k: F.when(i >= k, F.get(ws, i - k))
-        at = let(words, lambda ws: F.transform(ws, lambda w, i: F.struct(before(ws, i, 2).alias("w1"), before(ws, i, 1).alias("w2"), w.alias("w3"), i.alias("i"))))
-        return texts.select(*keep, F.explode(at).alias("g")).select(*keep, "g.*")
-
-    start = F.lit("\x01")  # no token holds it
-    every = grams(train).select(F.coalesce("w2", start).alias("w2"), "w3", F.when(F.col("i") == 0, F.lit(None)).otherwise(F.coalesce("w1", start)).alias("w1"))
-    c3 = stage(every.groupBy("w1", "w2", "w3").agg(F.count(F.lit(1)).alias("c")), "lm-trigrams")
-    c2 = stage(c3.groupBy("w2", "w3").agg(F.sum("c").alias("c")), "lm-bigrams")
-    c1 = stage(c2.groupBy("w3").agg(F.sum("c").alias("c")), "lm-unigrams")
-    c3 = c3.where("w1 is not null")
-    n, v = (x or 0 for x in c1.agg(F.sum("c"), F.count(F.lit(1))).first())
-    d1, d2, d3 = (_discount(_histogram(c, "c")) for c in (c1, c2, c3))
-    p1 = c1.select(F.col("w3").alias("u3"), (F.log10((F.col("c") - d1) / float(max(n, 1)))).alias("p1"))
-    # a context has as often a follower as it occurs; the start as often as a text ends
-    seen = c2.groupBy("w2").agg(F.sum("c").alias("whole"))
-    p2 = c2.join(seen, "w2").select("w2", "w3", F.log10((F.col("c") - d2) / F.col("whole")).alias("p2"))
-    p2 = stage(p2.join(p1, F.col("w3") == F.col("u3")).select("w2", "w3", "p2", "p1"), "lm-p2")
-    left = lambda own, lower: F.log10(F.greatest(1 - F.sum(F.pow(F.lit(10.0), own)), F.lit(1e-12)) / F.greatest(1 - F.sum(F.pow(F.lit(10.0), lower)), F.lit(1e-12)))
-    b2 = stage(p2.groupBy("w2").agg(left(F.col("p2"), F.col("p1")).alias("b2")), "lm-b2")
-    seen = c2.select(F.col("w2").alias("w1"), F.col("w3").alias("w2"), F.col("c").alias("whole"))
-    p3 = c3.join(seen, ["w1", "w2"]).select("w1", "w2", "w3", F.log10((F.col("c") - d3) / F.col("whole")).alias("p3"))
-    p3 = stage(p3.join(p2.select("w2", "w3", "p2"), ["w2", "w3"]).select("w1", "w2", "w3", "p3", "p2"), "lm-p3")
-    b3 = p3.groupBy("w1", "w2").agg(left(F.col("p3"), F.col("p2")).alias("b3"))
-
-    rows = with_uid(docs).select(F.col(UID).alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(text_col))
-    own = grams(rows, F.col("uid"), F.col("id")).select("uid", "id", F.when(F.col("i") == 0, F.lit("")).otherwise(F.coalesce("w1", start)).alias("w1"), F.coalesce("w2", start).alias("w2"), "w3")
-    counted = stage(own.groupBy("uid", "id", "w1", "w2", "w3").agg(F.count(F.lit(1)).alias("times")), "lm-own")
-    keys = counted.select("w1", "w2", "w3").distinct()
-    found = keys.join(p3.select("w1", "w2", "w3", "p3"), ["w1", "w2", "w3"], "left").join(b3, ["w1", "w2"], "left")
-    found = found.join(p2.select("w2", "w3", "p2"), ["w2", "w3"], "left").join(b2, ["w2"], "left").join(p1, F.col("w3") == F.col("u3"), "left")
-    zero, unknown = F.lit(0.0), F.lit(math.log10(d1 * v / n) if n else 0.0)
-    lower = F.coalesce("p2", F.coalesce("b2", zero) + F.coalesce("p1", unknown))
-    weighed = stage(found.select("w1", "w2", "w3", F.coalesce("p3", F.coalesce("b3", zero) + lower).alias("p")), "lm-weighed")
-    out = counted.join(weighed, ["w1", "w2", "w3"]).groupBy("uid", "id").agg(F.sum("times").alias("n_tokens"), F.sum(F.col("times") * F.col("p")).alias("score"))
-    return out.select("id", "n_tokens", "score")
+    return found.select("id", "training", "n_tokens", "n_known", F.lit(totals.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def lm_scores(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
-    out = crc_mod("doc_id", modulus) == held
-    model = learn(docs.where(~out))
-    return score(docs, model, out).select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    found = score(docs, crc_mod("doc_id", modulus) != held)
+    return found.select(F.col("id").alias("doc_id"), (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -94,6 +94,9 @@ def test_packed_counts():
 
     counts = np.array([0, 1, 254, 255, 256, 1 << 40, 3])
     assert lm._unpack(lm._pack(counts), 7).tolist() == counts.tolist()
+    keys = np.array([0, 5, 6, 1 << 20, (1 << 64) - 1], np.uint64)
+    for some in (keys, keys[3:], keys[:1]):
+        assert lm._unpack_keys(lm._pack_keys(some)).tolist() == some.tolist()
 
 
 def test_weights_by_hand(spark):

@@ -16,14 +16,15 @@ traversal from left to right that carries the state.
 
 No n-gram is left out: the automaton is as large as the corpus makes it, so no task holds it
 whole. Texts are dealt into blocks of ``BLOCK`` bytes, staged with their texts. A block lists
-its distinct n-grams as sorted 64-bit keys with its own training counts; keys are dealt by
+its distinct n-grams as sorted keys with its own training counts; keys are dealt by
 range to buckets, each of which adds up the counts of a range and answers every block
 that asked, in the order of its keys. A block then has all arcs that its texts can take.
 The counts of one n-gram come added up from each block, so a frequent one makes no bucket
 large, and buckets grow in number with the input's bytes. Only the totals reach the driver.
 
-A 62-bit hash stands for an n-gram and for a word; of a billion distinct words 0.1 pairs
-are expected to share one, and would share their counts.
+A 62-bit hash stands for a word; of a billion distinct words 0.1 pairs are expected to share
+one, and would share their counts. Hashes of longer n-grams have 20 bits more than the
+logarithm of the input's bytes, so that one in a million shares its counts at any size.
 
 Defined results: null and empty texts are the end alone; without training rows base and
 model score are those of an empty count table (log10 of 1/(0+1*(0+1)) = 0 a token);
@@ -40,21 +41,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, crc_mod, sliced, stage, worker_cache
+from .common import binaries, crc_mod, shuffles_freed, sliced, stage, trim, worker_cache
 
 ORDER = 3
 #: Prior strength of contexts of one word, of two words.
 PRIORS = (100.0, 30.0)
 #: Bytes of text in a block and behind a bucket, and words whose hashes a worker holds.
-BLOCK = 4 << 20
-BUCKET = 16 << 20
-HELD_WORDS = 150_000
+BLOCK = 6 << 20
+BUCKET = 8 << 20
+HELD_WORDS = 100_000
 _PIECE = 1 << 20
+_STRIDE = 1 << 14
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 _TAG = np.uint64(3)  # the lowest bits of a key hold the order; 0 is the beginning
 _BEGIN = np.uint64(0x9E3779B97F4A7C14)
@@ -106,7 +110,7 @@ class _Grams:
     places: list[np.ndarray]
 
 
-def _grams(texts: list[bytes], order: int) -> _Grams:
+def _grams(texts: list[bytes], order: int, width: int = 62) -> _Grams:
     hashes = _hashes()
     parts: list[np.ndarray] = []
     starts = [0]
@@ -127,10 +131,14 @@ def _grams(texts: list[bytes], order: int) -> _Grams:
         whole[bounds[:-1]] = False
         keys.append(longer)
         there.append(whole)
-    distinct, inverse = np.unique(np.concatenate([x[t] for x, t in zip(keys, there)]), return_inverse=True)
+    cut = ~np.uint64((1 << 64 - width) - 1) | _TAG
+    flat = np.concatenate([x[t] & cut if k else x[t] for k, (x, t) in enumerate(zip(keys, there))])
+    del keys, row, parts
+    distinct, inverse = np.unique(flat, return_inverse=True)
+    del flat
     places, at = [], 0
     for t in there:
-        place = np.full(len(row), -1, np.int64)
+        place = np.full(len(t), -1, np.int32)
         n = int(t.sum())
         place[t] = inverse[at : at + n]
         places.append(place)
@@ -149,56 +157,98 @@ def _own_counts(grams: _Grams, training: list[bool]) -> np.ndarray:
 
 def _pack(counts: np.ndarray) -> bytes:
     """A byte for each count; those of 255 and more follow in full."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+    packed = np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+    return zstandard.ZstdCompressor(1).compress(packed)
 
 
 def _unpack(packed: bytes, size: int) -> np.ndarray:
+    packed = zstandard.ZstdDecompressor().decompress(packed)
     counts = np.frombuffer(packed, np.uint8, size).astype(np.int64)
     counts[counts == 255] = np.frombuffer(packed, "<i8", offset=size)
     return counts
 
 
-_BLOCKS = "block long, bucket int, keys binary, counts binary, id long, training boolean, text string"
-
-
-def _asker(bits: int, order: int):
-    """Deals a task's texts into blocks: a row for each text, and one for each bucket that
-    holds n-grams of the block, with their keys and training counts."""
-    names = [x.split()[0] for x in _BLOCKS.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.string()]
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Gaps between sorted keys, the first byte of all, the second byte of all and so on:
+    the upper bytes are few and shrink."""
+    planes = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _unpack_keys(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
+_TEXTS = "block long, texts array<struct<id: long, training: boolean, text: string>>"
+
+
+def _dealer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Deals a task's texts into blocks, one row each, so that no later scan splits one; a
+    block ends before its texts exceed its bytes."""
+    block, size = TaskContext.get().partitionId() << 32, 0
+    held: list[pa.RecordBatch] = []
+
+    def row():
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        texts = pa.StructArray.from_arrays([*whole.columns[:2], whole.column(2).cast(pa.string())], ["id", "training", "text"])
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts)], ["block", "texts"])
+
+    for batch in sliced(batches):
+        first = 0
+        for i, length in enumerate(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist()):
+            if size and size + length > BLOCK:
+                if i > first:
+                    held.append(batch.slice(first, i - first))
+                yield row()
+                held.clear()
+                first, size, block = i, 0, block + 1
+            # an empty text takes up room as well
+            size += length + 1
+        if batch.num_rows > first:
+            held.append(batch.slice(first))
+    if held:
+        yield row()
+
+
+_ASKED = "block long, bucket int, keys binary, counts binary"
+
+
+def _asker(bits: int, order: int, width: int):
+    """For a block's texts, which follow one another, a row for each bucket that holds
+    n-grams of the block, with their keys and training counts."""
+
+    def ask(block: int, texts: list[bytes], training: list[bool]) -> pa.RecordBatch:
+        trim()
+        grams = _grams(texts, order, width)
+        counts = _own_counts(grams, training)
+        bucket = (grams.keys >> np.uint64(64 - bits)).astype(np.int64)
+        cuts = np.concatenate([[0], np.nonzero(np.diff(bucket))[0] + 1, [len(bucket)]])
+        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+        made = [
+            pa.array([block] * len(spans), pa.int64()),
+            pa.array([int(bucket[a]) for a, _ in spans], pa.int32()),
+            pa.array([_pack_keys(grams.keys[a:b]) for a, b in spans], pa.binary()),
+            pa.array([_pack(counts[a:b]) for a, b in spans], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(made, [x.split()[0] for x in _ASKED.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
+        worker_cache(__name__)
         texts: list[bytes] = []
         training: list[bool] = []
-        size = 0
-
-        def ask():
-            grams = _grams(texts, order)
-            counts = _own_counts(grams, training)
-            bucket = (grams.keys >> np.uint64(64 - bits)).astype(np.int64)
-            cuts = np.concatenate([[0], np.nonzero(np.diff(bucket))[0] + 1, [len(bucket)]])
-            spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
-            n = len(spans)
-            made = [[block] * n, [int(bucket[a]) for a, _ in spans], [grams.keys[a:b].tobytes() for a, b in spans], [_pack(counts[a:b]) for a, b in spans]]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(made, kinds)] + [pa.nulls(n, k) for k in kinds[4:]], names)
-
-        for batch in sliced(batches, 256):
-            dealt: list[int] = []
-            for mark, text in zip(batch.column(1).to_pylist(), binaries(batch.column(2))):
-                if texts and size + len(text) > BLOCK:
-                    yield ask()
+        at = None
+        for batch in sliced(batches):
+            for block, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binaries(batch.column(2))):
+                if texts and block != at:
+                    yield ask(at, texts, training)
                     texts.clear()
                     training.clear()
-                    size, block = 0, block + 1
+                at = block
                 texts.append(text)
                 training.append(mark)
-                dealt.append(block)
-                size += len(text)
-            none = [pa.nulls(len(dealt), k) for k in kinds[1:4]]
-            yield pa.RecordBatch.from_arrays([pa.array(dealt, kinds[0]), *none, *(c.cast(k) for c, k in zip(batch.columns, kinds[4:]))], names)
         if texts:
-            yield ask()
+            yield ask(at, texts, training)
 
     return run
 
@@ -209,7 +259,8 @@ _ANSWERS = "block long, bucket int, size long, counts binary, n long, v long, on
 def _answer(asked: pa.Table) -> pa.Table:
     """Adds up the counts of a bucket's n-grams over all blocks, and answers each of them;
     a row without block has the bucket's totals of words."""
-    keys = [np.frombuffer(x, np.uint64) for x in asked.column("keys").to_pylist()]
+    trim()
+    keys = list(map(_unpack_keys, asked.column("keys").to_pylist()))
     cuts = np.cumsum([0, *map(len, keys)]).tolist()
     counts = np.concatenate([_unpack(x, len(k)) for x, k in zip(asked.column("counts").to_pylist(), keys)])
     distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
@@ -250,7 +301,7 @@ class Arcs:
 
     def traverse(self, start: int, stop: int) -> float:
         """Log10 weight of the path over the tokens from ``start`` up to ``stop``."""
-        total, state = 0.0, self.after[start - 1] if start else 0
+        total, state = 0.0, int(self.after[start - 1])
         rows = zip(*(x[start:stop].tolist() for x in (*self.arc, *self.fail, self.after)))
         orders = len(self.arc)
         for row in rows:
@@ -282,12 +333,13 @@ def _arcs(grams: _Grams, counts: np.ndarray, totals: Totals, priors: tuple[float
     return Arcs(arc, fail, after)
 
 
-def _scorer(totals: Totals, order: int, priors: tuple[float, ...]):
+def _scorer(totals: Totals, order: int, width: int, priors: tuple[float, ...]):
     size = totals.n + totals.v + 1
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         worker_cache(__name__)
-        grams = _grams(binaries(texts.column("text")), order)
+        trim()
+        grams = _grams(binaries(texts.column("text")), order, width)
         # buckets are ranges of keys, so that answers by bucket follow the sorted keys
         given = sorted(zip(*(answers.column(x).to_pylist() for x in ("bucket", "size", "counts"))))
         counts = np.concatenate([_unpack(packed, n) for _, n, packed in given])
@@ -301,7 +353,7 @@ def _scorer(totals: Totals, order: int, priors: tuple[float, ...]):
             [b - a for a, b in spans],
             [int((words[a:b] > 0).sum()) for a, b in spans],
             [float(base[a:b].sum()) for a, b in spans],
-            [arcs.traverse(a, b) for a, b in spans],
+            [sum(arcs.traverse(i, min(i + _STRIDE, b)) for i in range(a, b, _STRIDE)) for a, b in spans],
         ]
         made = [pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
         return pa.table([texts.column("id"), texts.column("training"), *made], ["id", "training", "n_tokens", "n_known", "base_score", "score"])
@@ -317,15 +369,17 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(training, F.lit(False)).alias("training"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(max(math.ceil(math.log2(max(size / BUCKET, 1))), 4), 30)
-    blocks = stage(rows.mapInArrow(_asker(bits, order), _BLOCKS), "lm-blocks")
-    asked = blocks.where("bucket is not null").select("block", "bucket", "keys", "counts")
-    answers = stage(asked.groupBy("bucket").applyInArrow(_answer, _ANSWERS), "lm-answers")
+    width = min(max(math.ceil(math.log2(max(size, 1))) + 20, 40), 62)
+    blocks = stage(rows.mapInArrow(_dealer, _TEXTS), "lm-texts")
+    texts = blocks.select("block", F.inline("texts"))
+    asked = texts.select("block", "training", "text").mapInArrow(_asker(bits, order, width), _ASKED)
+    with shuffles_freed(docs.sparkSession):
+        answers = stage(asked.groupBy("bucket").applyInArrow(_answer, _ANSWERS), "lm-answers")
     sums = answers.where("block is null").agg(*(F.sum(x) for x in ("n", "v", "once", "twice"))).first()
     totals = Totals.of(*(x or 0 for x in sums))
     answers = answers.where("block is not null").select("block", "bucket", "size", "counts")
-    texts = blocks.where("bucket is null").select("block", "id", "training", "text")
     found = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _scorer(totals, order, tuple(priors)), "id long, training boolean, n_tokens long, n_known long, base_score double, score double"
+        _scorer(totals, order, width, tuple(priors)), "id long, training boolean, n_tokens long, n_known long, base_score double, score double"
     )
     return found.select("id", "training", "n_tokens", "n_known", F.lit(totals.n).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -36,12 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: the lineage is cut,
-    and the rows survive the loss of any executor."""
+    and the rows survive the loss of any executor. ``codec`` is the session's, or the one given."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/verifolio/{uuid.uuid4().hex}-{label}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     _staged[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._vf_path = path

@@ -370,7 +370,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(max(math.ceil(math.log2(max(size / BUCKET, 1))), 4), 30)
     width = min(max(math.ceil(math.log2(max(size, 1))) + 20, 40), 62)
-    blocks = stage(rows.mapInArrow(_dealer, _TEXTS), "lm-texts")
+    blocks = stage(rows.mapInArrow(_dealer, _TEXTS), "lm-texts", "zstd")
     texts = blocks.select("block", F.inline("texts"))
     asked = texts.select("block", "training", "text").mapInArrow(_asker(bits, order, width), _ASKED)
     with shuffles_freed(docs.sparkSession):

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from verifolio.llm import simhash
+from verifolio.llm.common import stage
 
 
 def slow(rows):
@@ -61,6 +62,37 @@ def test_copies_chains_and_common_lines(spark, monkeypatch, rounds, tile):
     assert found == slow(rows) and 1 < len(set(found.values())) < len(rows)
 
 
+@pytest.mark.parametrize("tile", [simhash.TILE, 16])
+def test_tiles_leave_a_pair_once(spark, monkeypatch, tile):
+    """Near copies share many blocks, which are dealt over many tasks."""
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (0, tile, simhash.WIDE))
+    kept, made = simhash._tile_links, []
+
+    def counted(*args):
+        pairs, tiled = kept(*args)
+        pairs = stage(pairs, "test-pairs")
+        made.append((pairs.count(), pairs.distinct().count()))
+        return pairs, tiled
+
+    monkeypatch.setattr(simhash, "_tile_links", counted)
+    monkeypatch.setattr(simhash, "COMMON", 1 << 30)
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = [(k, " ".join(words[:k] + [f"x{k}"] + words[k + 1 :])) for k in range(40)]
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = got(spark.createDataFrame(rows, "doc_id long, text string"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert set(found.values()) == {0}
+    (total, distinct), = made
+    assert distinct == 40 * 39 // 2 and total == distinct
+
+
 def test_filter_keeps_one_of_each(odd, none):
     out = simhash.drop_similar(odd)
     groups = simhash.similar_groups(odd).select("keep_uid").distinct().count()

@@ -25,7 +25,9 @@ others are compared.
 
 A block's texts first meet one of them, in two rounds with another choice; what that links
 needs no further comparison among itself, so a group of n near copies takes about n
-comparisons. Tiles then hold the texts of blocks that are still apart.
+comparisons. Tiles then hold the texts of blocks that are still apart. Near copies share many
+blocks and would leave each of them as a pair: a pair leaves the first block that both have
+among their ``EARLY`` smallest, and only one without such a block leaves all it shares.
 
 Defined results: null text counts as empty and has fingerprint zero, which links like any
 other; equal texts share a fingerprint and so a component; by similarity, texts without a
@@ -61,6 +63,10 @@ SAMPLE, COMMON, MAX_COMMON = 16, 8, 200_000
 ROUNDS = 2
 #: Longs of a parity bitmap.
 LONGS = 16
+#: Of the blocks of a text that are still apart, so many are carried to find the first one
+#: that a pair shares.
+EARLY = 8
+_NONE = (1 << 63) - 1
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -386,15 +392,29 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield held
 
 
+def _later(block: int, early: np.ndarray, i: np.ndarray, j: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+    """Whether rows i and j share a block before this one among those carried."""
+    early = np.where(early < block, early, _NONE)
+    out = np.zeros(len(i), bool)
+    for a in range(0, len(i), step):
+        x, y = early[i[a : a + step]], early[j[a : a + step]]
+        for k in range(early.shape[1]):
+            own = x[:, k]
+            out[a : a + step] |= (own != _NONE) & (own[:, None] == y).any(1)
+    return out
+
+
 def _near(radius: int, step: int = 512):
     """Pairs (u, v) of nodes that are apart, of sizes and parity bitmaps that allow the
-    similarity, and within the radius; population counts that differ by more are skipped."""
+    similarity, and within the radius; population counts that differ by more are skipped.
+    Of two tiles only rows of different ones are compared: each tile also comes alone."""
 
-    def pairs(fp, node, n, label, *bits):
-        bits = np.stack(bits, 1).view(np.uint64)
+    def pairs(side, fp, node, n, label, block, *carried):
+        bits, early = np.stack(carried[:LONGS], 1).view(np.uint64), np.stack(carried[LONGS:], 1)
         ones = np.bitwise_count(fp).astype(np.int16)
         order = np.argsort(ones, kind="stable")
-        fp, node, n, label, ones, bits = fp[order], node[order], n[order].astype(np.int64), label[order], ones[order], bits[order]
+        side, two = side[order], side.any()
+        fp, node, n, label, ones, bits, early = fp[order], node[order], n[order].astype(np.int64), label[order], ones[order], bits[order], early[order]
         for a in range(0, len(fp), step):
             x, high = slice(a, a + step), ones[min(a + step, len(fp)) - 1]
             for b in range(a, len(fp), step):
@@ -404,12 +424,14 @@ def _near(radius: int, step: int = 512):
                 i, j = np.nonzero(np.bitwise_count(fp[x, None] ^ fp[None, y]) <= radius)
                 i, j = i + a, j + b
                 low, most = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-                keep = (i < j) & (label[i] != label[j]) & (DENOMINATOR * low >= NUMERATOR * most)
+                keep = (i < j) & (label[i] != label[j]) & (~two | (side[i] != side[j])) & (DENOMINATOR * low >= NUMERATOR * most)
                 i, j = i[keep], j[keep]
                 differ = np.zeros(len(i), np.int64)
                 for k in range(bits.shape[1]):
                     differ += np.bitwise_count(bits[i, k] ^ bits[j, k])
                 keep = (DENOMINATOR + NUMERATOR) * differ <= (DENOMINATOR - NUMERATOR) * (n[i] + n[j])
+                i, j = i[keep], j[keep]
+                keep = ~_later(int(block[0]), early, i, j)
                 if keep.any():
                     u, v = node[i[keep]], node[j[keep]]
                     yield np.minimum(u, v), np.maximum(u, v)
@@ -423,8 +445,8 @@ def _near(radius: int, step: int = 512):
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
 
-        for _, _, fp, node, n, label, *bits in _grouped(batches):
-            for found in pairs(fp.view(np.uint64), node, n, label, *bits):
+        for _, side, fp, node, n, label, *carried in _grouped(batches):
+            for found in pairs(side, fp.view(np.uint64), node, n, label, *carried):
                 held.append(found)
                 size += len(found[0])
                 if size > 1 << 18:
@@ -445,6 +467,19 @@ def _met(rows: DataFrame, k: int) -> DataFrame:
     return found.where("lo < hi").select("h", "node", "n", "fp", "label", "size", "one")
 
 
+def _tile_links(apart: DataFrame, heads: DataFrame, tile: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u, v) that the tiles of blocks (h, node, n, fp, label) leave to the exact check,
+    and the staged table that they read."""
+    longs = {f"bits_{k}": F.col("bits")[k] for k in range(LONGS)}
+    early = {f"early_{k}": F.coalesce(F.get("early", F.lit(k)), F.lit(_NONE)) for k in range(EARLY)}
+    first = apart.groupBy(F.col("node").alias("s_node")).agg(F.slice(F.sort_array(F.collect_list("h")), 1, EARLY).alias("early"))
+    sketch = first.join(heads, F.col("node") == F.col("s_node")).select("s_node", *(c.alias(k) for k, c in (longs | early).items()))
+    tiled = apart.join(sketch, F.col("node") == F.col("s_node")).select(F.col("h").alias("block"), F.bit_count("fp").alias("ones"), "fp", "node", "n", "label", *longs, *early)
+    tiled = stage(tiled, "similar-tiled")
+    rows = _tile_pairs(tiled, tile, radius, ("node", "n", "label", "block", *longs, *early))
+    return rows.repartition("pair").sortWithinPartitions("pair", "side").mapInArrow(_near(radius), "u long, v long"), tiled
+
+
 def similar_links(blocks: DataFrame, texts: DataFrame, heads: DataFrame, rounds: int = ROUNDS, tile: int = TILE, radius: int = WIDE) -> DataFrame:
     """Links (u, v) that join all similar nodes of the blocks (as ``_met`` gives them)."""
     every, apart = None, blocks
@@ -458,13 +493,8 @@ def similar_links(blocks: DataFrame, texts: DataFrame, heads: DataFrame, rounds:
         open_ = apart.where("size > 2").join(few(labels), F.col("node") == F.col("l_node"), "left")
         last, apart = apart, stage(_met(open_.select("h", "node", "n", "fp", F.coalesce("l", "node").alias("label")), k + 1), "similar-apart")
         drop_staged(labels, last)
-    longs = tuple(f"bits_{k}" for k in range(LONGS))
-    sketch = heads.select(F.col("node").alias("s_node"), *(F.col("bits")[k].alias(c) for k, c in enumerate(longs)))
-    tiled = apart.join(sketch, F.col("node") == F.col("s_node")).select(F.col("h").alias("block"), F.bit_count("fp").alias("ones"), "fp", "node", "n", "label", *longs)
-    tiled = stage(tiled, "similar-tiled")
+    pairs, tiled = _tile_links(apart, heads, tile, radius)
     drop_staged(apart)
-    rows = _tile_pairs(tiled, tile, radius, ("node", "n", "label", *longs))
-    pairs = rows.repartition("pair").sortWithinPartitions("pair", "side").mapInArrow(_near(radius), "u long, v long")
     found = _similar(pairs, texts, heads)
     drop_staged(tiled)
     return found if every is None else every.unionByName(found)

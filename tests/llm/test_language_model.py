@@ -99,6 +99,53 @@ def test_packed_counts():
         assert lm._unpack_keys(lm._pack_keys(some)).tolist() == some.tolist()
 
 
+def test_distinct_by_ranges(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    flat = np.concatenate([rng.integers(0, 1 << 64, 5000, np.uint64, endpoint=False), np.full(900, 77, np.uint64)] * 2)
+    distinct, inverse = np.unique(flat, return_inverse=True)
+    for size in (100, 3000, 1 << 20):
+        monkeypatch.setattr(lm, "_SORTED", size)
+        for some, k in ((flat, len(flat)), (flat[:0], 0), (np.full(500, 7, np.uint64), 500)):
+            found, place = lm._distinct(some)
+            assert (found[place] == some).all() and (np.diff(found) > 0).all() and len(place) == k
+    assert (lm._distinct(flat)[1] == inverse).all()
+
+
+def test_stretches_change_no_score(documents, monkeypatch):
+    key = lambda df: sorted((r.id, r.n_tokens, r.n_known, r.base_score, r.score) for r in df.collect())
+    whole = key(lm.score(documents, documents.doc_id % 3 > 0))
+    monkeypatch.setattr(lm, "_STRETCH", 50)
+    assert key(lm.score(documents, documents.doc_id % 3 > 0)) == whole
+
+
+def test_memory_of_a_block():
+    """What a worker holds at most for a block, in bytes a token."""
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.4)) % 200000}" for _ in range(500)) for _ in range(1600)]
+    rows = pa.table([pa.array(range(1600)), pa.array([True] * 1600), pa.array(texts)], ["id", "training", "text"])
+    block = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([lm._pack_texts(rows)], pa.binary())], ["block", "texts"])
+    lm._grams([t.encode() for t in texts], 3)  # the words' hashes are held
+    del rows
+    tracemalloc.start()
+    asked = list(lm._asker(4, 3, 53)([block]))[0]
+    _, ask = tracemalloc.get_traced_memory()
+    answers = lm._answer(pa.Table.from_batches([asked])).slice(0, asked.num_rows)
+    tracemalloc.reset_peak()
+    held = tracemalloc.get_traced_memory()[0]
+    lm._scorer(lm.Totals(10**6, 10**5, 0.5), 3, 53, lm.PRIORS)(pa.Table.from_batches([block]), answers)
+    peak = tracemalloc.get_traced_memory()[1] - held
+    tracemalloc.stop()
+    tokens = 1600 * 502
+    assert ask < 110 * tokens and peak < 110 * tokens
+
+
 def test_weights_by_hand(spark):
     docs = spark.createDataFrame([(i, "x y") for i in range(4)] + [(9, "x z")], "doc_id long, text string")
     found = {r.id: r.score for r in lm.score(docs, docs.doc_id >= 0, order=2, priors=(2.0,)).collect()}

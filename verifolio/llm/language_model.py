@@ -15,7 +15,8 @@ unknown class, and all weights follow from counts of n-grams. A text is scored i
 traversal from left to right that carries the state.
 
 No n-gram is left out: the automaton is as large as the corpus makes it, so no task holds it
-whole. Texts are dealt into blocks of ``BLOCK`` bytes, staged with their texts. A block lists
+whole. Texts are dealt into blocks of ``BLOCK`` bytes, staged with their texts packed, so
+that Spark handles one short row a block and only workers hold texts. A block lists
 its distinct n-grams as sorted keys with its own training counts; keys are dealt by
 range to buckets, each of which adds up the counts of a range and answers every block
 that asked, in the order of its keys. A block then has all arcs that its texts can take.
@@ -30,6 +31,7 @@ Defined results: null and empty texts are the end alone; without training rows b
 model score are those of an empty count table (log10 of 1/(0+1*(0+1)) = 0 a token);
 repeated ids keep their rows; a null training mark counts as false; other columns are
 ignored. A text of any length is one block at least; it is split into words in pieces.
+Sorting and arcs work on a part of a block at a time, which bounds what a worker holds.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +62,9 @@ BUCKET = 8 << 20
 HELD_WORDS = 100_000
 _PIECE = 1 << 20
 _STRIDE = 1 << 14
+#: Keys that are sorted at a time, and tokens whose arcs are held at a time.
+_SORTED = 1 << 20
+_STRETCH = 1 << 16
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 _TAG = np.uint64(3)  # the lowest bits of a key hold the order; 0 is the beginning
 _BEGIN = np.uint64(0x9E3779B97F4A7C14)
@@ -109,6 +115,36 @@ class _Grams:
     starts: np.ndarray  # of each text's mark; then the end of the row
     places: list[np.ndarray]
 
+    def stretches(self) -> Iterator[_Grams]:
+        """Its texts in turn, as many at a time as have ``_STRETCH`` tokens, one at least."""
+        first = 0
+        while first + 1 < len(self.starts):
+            at = self.starts[first]
+            last = max(int(np.searchsorted(self.starts, at + _STRETCH, "right")) - 1, first + 1)
+            yield _Grams(self.keys, self.starts[first : last + 1] - at, [p[at : self.starts[last]] for p in self.places])
+            first = last
+
+
+def _distinct(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the place of each key, by ranges: sorting all at once
+    would take several times the keys' memory."""
+    n = min(len(flat) // _SORTED + 1, 16)
+    if n == 1:
+        distinct, inverse = np.unique(flat, return_inverse=True)
+        return distinct, inverse.astype(np.int32)
+    low, high = int(flat.min()), int(flat.max())
+    edges = [np.uint64(low + (high - low) * k // n) for k in range(n)]
+    inverse, found, size = np.empty(len(flat), np.int32), [], 0
+    for k, edge in enumerate(edges):
+        inside = flat >= edge
+        if k + 1 < n:
+            inside &= flat < edges[k + 1]
+        distinct, place = np.unique(flat[inside], return_inverse=True)
+        inverse[inside] = place + size
+        found.append(distinct)
+        size += len(distinct)
+    return np.concatenate(found), inverse
+
 
 def _grams(texts: list[bytes], order: int, width: int = 62) -> _Grams:
     hashes = _hashes()
@@ -120,29 +156,33 @@ def _grams(texts: list[bytes], order: int, width: int = 62) -> _Grams:
         parts.extend(found)
         starts.append(starts[-1] + 1 + sum(map(len, found)))
     row = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    del parts
     bounds = np.array(starts, np.int64)
-    keys, there = [row], [np.ones(len(row), bool)]
-    for k in range(2, order + 1):
-        longer = np.zeros(len(row), np.uint64)
-        longer[1:] = _longer(keys[-1][:-1], row[1:], k)
+    there = [np.ones(len(row), bool)]
+    for _ in range(2, order + 1):
         whole = np.zeros(len(row), bool)
         # a mark ends no longer n-gram, and one before the mark has no text
         whole[1:] = there[-1][:-1]
         whole[bounds[:-1]] = False
-        keys.append(longer)
         there.append(whole)
     cut = ~np.uint64((1 << 64 - width) - 1) | _TAG
-    flat = np.concatenate([x[t] & cut if k else x[t] for k, (x, t) in enumerate(zip(keys, there))])
-    del keys, row, parts
-    distinct, inverse = np.unique(flat, return_inverse=True)
+    sizes = np.cumsum([0, *(int(t.sum()) for t in there)]).tolist()
+    flat = np.empty(sizes[-1], np.uint64)
+    flat[: sizes[1]] = last = row
+    for k in range(1, order):
+        longer = np.zeros(len(row), np.uint64)
+        longer[1:] = _longer(last[:-1], row[1:], k + 1)
+        flat[sizes[k] : sizes[k + 1]] = longer[there[k]]
+        flat[sizes[k] : sizes[k + 1]] &= cut
+        last = longer
+    row = last = longer = None
+    distinct, inverse = _distinct(flat)
     del flat
-    places, at = [], 0
-    for t in there:
+    places = []
+    for k, t in enumerate(there):
         place = np.full(len(t), -1, np.int32)
-        n = int(t.sum())
-        place[t] = inverse[at : at + n]
+        place[t] = inverse[sizes[k] : sizes[k + 1]]
         places.append(place)
-        at += n
     return _Grams(distinct, bounds, places)
 
 
@@ -155,14 +195,19 @@ def _own_counts(grams: _Grams, training: list[bool]) -> np.ndarray:
     return counts
 
 
+@lru_cache(1)
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
+
+
 def _pack(counts: np.ndarray) -> bytes:
     """A byte for each count; those of 255 and more follow in full."""
     packed = np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
-    return zstandard.ZstdCompressor(1).compress(packed)
+    return _zstd()[0].compress(packed)
 
 
 def _unpack(packed: bytes, size: int) -> np.ndarray:
-    packed = zstandard.ZstdDecompressor().decompress(packed)
+    packed = _zstd()[1].decompress(packed)
     counts = np.frombuffer(packed, np.uint8, size).astype(np.int64)
     counts[counts == 255] = np.frombuffer(packed, "<i8", offset=size)
     return counts
@@ -172,15 +217,27 @@ def _pack_keys(keys: np.ndarray) -> bytes:
     """Gaps between sorted keys, the first byte of all, the second byte of all and so on:
     the upper bytes are few and shrink."""
     planes = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
-    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(planes).tobytes())
+    return _zstd()[0].compress(np.ascontiguousarray(planes).tobytes())
 
 
 def _unpack_keys(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(8, -1)
+    planes = np.frombuffer(_zstd()[1].decompress(packed), np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
-_TEXTS = "block long, texts array<struct<id: long, training: boolean, text: string>>"
+_TEXTS = "block long, texts binary"
+
+
+def _pack_texts(rows: pa.Table) -> bytes:
+    """Rows (id, training, text) as a compressed Arrow stream."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as stream:
+        stream.write_table(rows)
+    return out.getvalue().to_pybytes()
+
+
+def _unpack_texts(packed: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(packed.as_buffer()).read_all()
 
 
 def _dealer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,9 +247,8 @@ def _dealer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
 
     def row():
-        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        texts = pa.StructArray.from_arrays([*whole.columns[:2], whole.column(2).cast(pa.string())], ["id", "training", "text"])
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts)], ["block", "texts"])
+        packed = _pack_texts(pa.Table.from_batches(held).combine_chunks())
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([packed], pa.binary())], ["block", "texts"])
 
     for batch in sliced(batches):
         first = 0
@@ -215,40 +271,29 @@ _ASKED = "block long, bucket int, keys binary, counts binary"
 
 
 def _asker(bits: int, order: int, width: int):
-    """For a block's texts, which follow one another, a row for each bucket that holds
-    n-grams of the block, with their keys and training counts."""
+    """For a block's texts a row for each bucket that holds n-grams of the block, with their
+    keys and training counts."""
 
-    def ask(block: int, texts: list[bytes], training: list[bool]) -> pa.RecordBatch:
+    def ask(block: int, texts: pa.Table) -> pa.RecordBatch:
         trim()
-        grams = _grams(texts, order, width)
-        counts = _own_counts(grams, training)
-        bucket = (grams.keys >> np.uint64(64 - bits)).astype(np.int64)
-        cuts = np.concatenate([[0], np.nonzero(np.diff(bucket))[0] + 1, [len(bucket)]])
-        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+        grams = _grams(binaries(texts.column("text")), order, width)
+        counts = _own_counts(grams, texts.column("training").to_pylist())
+        edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+        cuts = [*np.searchsorted(grams.keys, edges).tolist(), len(grams.keys)]
+        spans = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
         made = [
             pa.array([block] * len(spans), pa.int64()),
-            pa.array([int(bucket[a]) for a, _ in spans], pa.int32()),
-            pa.array([_pack_keys(grams.keys[a:b]) for a, b in spans], pa.binary()),
-            pa.array([_pack(counts[a:b]) for a, b in spans], pa.binary()),
+            pa.array([k for k, _, _ in spans], pa.int32()),
+            pa.array([_pack_keys(grams.keys[a:b]) for _, a, b in spans], pa.binary()),
+            pa.array([_pack(counts[a:b]) for _, a, b in spans], pa.binary()),
         ]
         return pa.RecordBatch.from_arrays(made, [x.split()[0] for x in _ASKED.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache(__name__)
-        texts: list[bytes] = []
-        training: list[bool] = []
-        at = None
-        for batch in sliced(batches):
-            for block, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binaries(batch.column(2))):
-                if texts and block != at:
-                    yield ask(at, texts, training)
-                    texts.clear()
-                    training.clear()
-                at = block
-                texts.append(text)
-                training.append(mark)
-        if texts:
-            yield ask(at, texts, training)
+        for batch in batches:
+            for block, texts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                yield ask(block, _unpack_texts(texts))
 
     return run
 
@@ -263,14 +308,15 @@ def _answer(asked: pa.Table) -> pa.Table:
     keys = list(map(_unpack_keys, asked.column("keys").to_pylist()))
     cuts = np.cumsum([0, *map(len, keys)]).tolist()
     counts = np.concatenate([_unpack(x, len(k)) for x, k in zip(asked.column("counts").to_pylist(), keys)])
-    distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    distinct, inverse = _distinct(flat := np.concatenate(keys))
+    del keys, flat
     # whole numbers up to 2**53 are exact in bincount's weights
     sums = np.bincount(inverse, counts, len(distinct)).astype(np.int64)
     words = sums[distinct & _TAG == 1]
     packed = [_pack(sums[inverse[a:b]]) for a, b in zip(cuts, cuts[1:])]
-    zero, totals = [0] * len(keys), [int(words.sum()), int((words > 0).sum()), int((words == 1).sum()), int((words == 2).sum())]
+    zero, totals = [0] * len(packed), [int(words.sum()), int((words > 0).sum()), int((words == 1).sum()), int((words == 2).sum())]
     bucket = asked.column("bucket").to_pylist()
-    columns = [[*asked.column("block").to_pylist(), None], [*bucket, bucket[0]], [*map(len, keys), 0], [*packed, None], *([*zero, t] for t in totals)]
+    columns = [[*asked.column("block").to_pylist(), None], [*bucket, bucket[0]], [*np.diff(cuts).tolist(), 0], [*packed, None], *([*zero, t] for t in totals)]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), *[pa.int64()] * 4]
     return pa.table([pa.array(x, k) for x, k in zip(columns, kinds)], [x.split()[0] for x in _ANSWERS.split(", ")])
 
@@ -339,24 +385,27 @@ def _scorer(totals: Totals, order: int, width: int, priors: tuple[float, ...]):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         worker_cache(__name__)
         trim()
+        texts = _unpack_texts(texts.column("texts")[0])
         grams = _grams(binaries(texts.column("text")), order, width)
+        own = texts.select(["id", "training"])
+        del texts
         # buckets are ranges of keys, so that answers by bucket follow the sorted keys
         given = sorted(zip(*(answers.column(x).to_pylist() for x in ("bucket", "size", "counts"))))
         counts = np.concatenate([_unpack(packed, n) for _, n, packed in given])
         if len(counts) != len(grams.keys):
             raise ValueError("a block's answers do not match its n-grams")
-        arcs = _arcs(grams, counts, totals, priors)
-        words = counts[grams.places[0]]
-        base = np.log10((words + 1) / size)
-        spans = list(zip((grams.starts[:-1] + 1).tolist(), grams.starts[1:].tolist()))
-        columns = [
-            [b - a for a, b in spans],
-            [int((words[a:b] > 0).sum()) for a, b in spans],
-            [float(base[a:b].sum()) for a, b in spans],
-            [sum(arcs.traverse(i, min(i + _STRIDE, b)) for i in range(a, b, _STRIDE)) for a, b in spans],
-        ]
+        del given
+        columns: list[list] = [[], [], [], []]
+        for part in grams.stretches():
+            arcs = _arcs(part, counts, totals, priors)
+            words = counts[part.places[0]]
+            base = np.log10((words + 1) / size)
+            for a, b in zip((part.starts[:-1] + 1).tolist(), part.starts[1:].tolist()):
+                score = sum(arcs.traverse(i, min(i + _STRIDE, b)) for i in range(a, b, _STRIDE))
+                for column, value in zip(columns, (b - a, int((words[a:b] > 0).sum()), float(base[a:b].sum()), score)):
+                    column.append(value)
         made = [pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
-        return pa.table([texts.column("id"), texts.column("training"), *made], ["id", "training", "n_tokens", "n_known", "base_score", "score"])
+        return pa.table([*own.columns, *made], ["id", "training", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
@@ -370,9 +419,8 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(max(math.ceil(math.log2(max(size / BUCKET, 1))), 4), 30)
     width = min(max(math.ceil(math.log2(max(size, 1))) + 20, 40), 62)
-    blocks = stage(rows.mapInArrow(_dealer, _TEXTS), "lm-texts", "zstd")
-    texts = blocks.select("block", F.inline("texts"))
-    asked = texts.select("block", "training", "text").mapInArrow(_asker(bits, order, width), _ASKED)
+    texts = stage(rows.mapInArrow(_dealer, _TEXTS), "lm-texts", "none")
+    asked = texts.mapInArrow(_asker(bits, order, width), _ASKED)
     with shuffles_freed(docs.sparkSession):
         answers = stage(asked.groupBy("bucket").applyInArrow(_answer, _ANSWERS), "lm-answers")
     sums = answers.where("block is null").agg(*(F.sum(x) for x in ("n", "v", "once", "twice"))).first()

@@ -48,6 +48,12 @@ def stage(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     return out
 
 
+def as_table(spark: SparkSession, columns: dict[str, pa.Array]) -> DataFrame:
+    """The driver's columns as a table. Rows given as tuples would be read by Python workers of
+    another kind than those of the operators: a second daemon, and a second worker for each core."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def drop_staged(*frames: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in frames:

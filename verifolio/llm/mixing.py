@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UID, binaries, decided, drop_staged, few, identified, sliced, stage, with_uid
+from .common import UID, as_table, binaries, decided, drop_staged, few, identified, sliced, stage, with_uid, worker_cache
 
 MAX_FIT_ROWS = 6_000
 MAX_SOURCES = 256
@@ -107,6 +107,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, label_col: str = "quality
     rows = rows.groupBy("k").agg(F.first("y").alias("y"), F.min("text").alias("text")).select("y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache(None)
         for batch in sliced(batches):
             x = [features(t).astype(np.float32).tobytes() for t in binaries(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], ["y", "x"])
@@ -147,6 +148,7 @@ def fit_rates(
     classifier, shares = fit_classifier(docs, labels, id_col=id_col, text_col=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache(None)
         for batch in sliced(batches):
             texts = binaries(batch.column(3))
             n = [len(t.split()) for t in texts]
@@ -181,7 +183,7 @@ def fit_rates(
 def _listed_rates(known: DataFrame, sizes: DataFrame, source_weights: dict | None, by_class: list[float], steps: int, tolerance: float) -> DataFrame:
     """uid and rate r, with the domains' totals, targets and gaps as arrays."""
     names = [r.source for r in sizes.orderBy(F.desc("n"), F.col("source").asc_nulls_first()).collect()]
-    listed = known.sparkSession.createDataFrame([(name, i) for i, name in enumerate(names)], "s_name string, s int")
+    listed = as_table(known.sparkSession, {"s_name": pa.array(names, pa.string()), "s": pa.array(range(len(names)), pa.int32())})
     state = known.join(F.broadcast(listed), F.col("source").eqNullSafe(F.col("s_name")))
     k = len(by_class)
     state = state.select("uid", "s", "n", "p", F.lit(1.0).alias("r"))
@@ -222,7 +224,8 @@ def _joined_rates(known: DataFrame, sizes: DataFrame, source_weights: dict | Non
     fallback = sizes.withColumn("weight", F.when(F.col("n") > 0, F.pow(F.col("n").cast("double"), F.lit(TEMPER))).otherwise(0.0))
     weighted = fallback
     if source_weights is not None:
-        given = known.sparkSession.createDataFrame([(s, max(float(w), 0.0)) for s, w in source_weights.items()], "g_source string, g_weight double")
+        weights = [max(float(w), 0.0) for w in source_weights.values()]
+        given = as_table(known.sparkSession, {"g_source": pa.array(list(source_weights), pa.string()), "g_weight": pa.array(weights, pa.float64())})
         own = sizes.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("g_source")), "left").withColumn("weight", F.coalesce("g_weight", F.lit(0.0)))
         weighted = own if own.agg(F.sum("weight")).first()[0] else fallback
     share, tokens = weighted.agg(F.sum("weight"), F.sum("n")).first()

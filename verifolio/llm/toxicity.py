@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, crc_mod, drop_staged, stage
+from .common import append_columns, crc_mod, drop_staged, stage, worker_cache
 
 #: Labelled rows used for fitting: those with the smallest hash of their id.
 MAX_FIT_ROWS = 20_000
@@ -236,6 +236,7 @@ class Lexicon:
 
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(fold, toxic, text) rows to documents per form: clean and toxic, in either fold."""
+    worker_cache(None)
     counts: dict[str, list[int]] = {}
 
     def flush():
@@ -310,6 +311,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     terms = sorted({*both, *halves[0], *halves[1]})
 
     def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache(None)
         automaton = TermAutomaton(terms)
         for batch in batches:
             yield batch.filter(pa.array([bool(x) and bool(automaton.match(x)) for x in batch.column(0).to_pylist()], pa.bool_()))
@@ -335,6 +337,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
         lexicon.weights = {t: w for t, w in lexicon.weights.items() if automaton.match(t)}
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache(None)
         for batch in batches:
             fold, y, text = (batch.column(i).to_pylist() for i in range(3))
             found = [crossed[1 - f].features(t or "") for f, t in zip(fold, text)]

@@ -28,8 +28,10 @@ def local_session(cpus: int | None = None, partitions: int | None = None) -> Spa
     return spark
 
 
-#: Rows that Spark hands to Python at once, where the session has Spark's default.
+#: Rows, and bytes, that Spark hands to Python at once, where the session has Spark's default.
+#: Rows alone bound nothing where texts are long; a batch ends with the row that passes the bytes.
 ARROW_ROWS = 2048
+ARROW_BYTES = 1 << 20
 
 
 _shipped: set[str] = set()
@@ -41,6 +43,8 @@ def ship(spark: SparkSession) -> None:
     where the session has Spark's default for that (a setting of its own stays)."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         _shipped.add(context.applicationId)
